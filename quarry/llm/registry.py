@@ -1,12 +1,14 @@
 """The training-data queries and their SQL, by name."""
 
-from quarry.llm import exact_dedup, sharding
+from quarry.llm import exact_dedup, packing, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_kdtree_shards": sharding.op1_kdtree_shards,
+        "op2_simhash": simhash.op2_simhash,
         "op8_content_sort": exact_dedup.op8_content_sort,
+        "op9_bin_slack": packing.op9_bin_slack,
     }
 
 
