@@ -1,16 +1,22 @@
 """The training-data queries and their SQL, by name."""
 
-from quarry.llm import exact_dedup, packing, sharding, simhash
+from quarry.llm import exact_dedup, packing, sharding, simhash, suffixes, superkmers
 
 
 def queries() -> dict:
     return {
         "op1_kdtree_shards": sharding.op1_kdtree_shards,
         "op2_simhash": simhash.op2_simhash,
+        "op4_superkmers": superkmers.op4_superkmers,
         "op8_content_sort": exact_dedup.op8_content_sort,
         "op9_bin_slack": packing.op9_bin_slack,
+        "op10_suffix_array": suffixes.op10_suffix_array,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_content_sort": exact_dedup.OP8_SQL}
+    return {
+        "op4_superkmers": superkmers.OP4_SQL,
+        "op8_content_sort": exact_dedup.OP8_SQL,
+        "op10_suffix_array": superkmers.OP4_SQL,
+    }
