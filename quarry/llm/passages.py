@@ -44,10 +44,10 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = WHITE_TABLE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = WHITE_TABLE, stem: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts data[bounds[i]:bounds[i + 1]], and each text's first word (and the end).
 
-    `table` has the bytes that part words.
+    `table` has the bytes that part words; with `stem`, only a word's first so many bytes count.
     """
     white = table[data]
     before = np.empty(len(data), bool)
@@ -68,6 +68,9 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = WHITE_
     at = np.cumsum(sizes) - sizes
     place = np.arange(len(solid)) - np.repeat(at, sizes)
     solid *= powers(P, int(sizes.max()))[place]
+    if stem:
+        solid[place >= stem] = 0
+        sizes = np.minimum(sizes, stem)
     return mixed(np.add.reduceat(solid, at) + sizes.astype(np.uint64)), first
 
 

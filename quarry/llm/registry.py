@@ -1,6 +1,6 @@
 """The training-data queries and their SQL, by name."""
 
-from quarry.llm import exact_dedup, packing, sharding, simhash, suffixes, superkmers
+from quarry.llm import exact_dedup, packing, sharding, simhash, suffixes, superkmers, toxicity
 
 
 def queries() -> dict:
@@ -8,6 +8,7 @@ def queries() -> dict:
         "op1_kdtree_shards": sharding.op1_kdtree_shards,
         "op2_simhash": simhash.op2_simhash,
         "op4_superkmers": superkmers.op4_superkmers,
+        "op7_ftrl": toxicity.op7_ftrl,
         "op8_content_sort": exact_dedup.op8_content_sort,
         "op9_bin_slack": packing.op9_bin_slack,
         "op10_suffix_array": suffixes.op10_suffix_array,
@@ -17,6 +18,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_superkmers": superkmers.OP4_SQL,
+        "op7_ftrl": toxicity.op7_ftrl,
         "op8_content_sort": exact_dedup.OP8_SQL,
         "op10_suffix_array": superkmers.OP4_SQL,
     }
