@@ -8,9 +8,9 @@ pattern is repeated as often as counts allow. Pieces then find their place from
 
 from __future__ import annotations
 
-import os
-import re
+import json
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,15 +19,12 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Stored, read_table, running_offset
 
 CAPACITY, END_ID = 2048, 1
-SPECIAL = {"<|endoftext|>": 50256}
-#: Chunks whose ids a worker remembers.
-CACHE = 150_000
+END_OF_TEXT = "<|endoftext|>"
+# Fixed values of the vocabulary: its special token and the pattern that splits text before the merges.
+SPECIAL = {END_OF_TEXT: 50256}
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROWS_A_PART = 16_384
 OUT_ROWS = 8192
-#: Unicode's White_Space.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The vocabulary's pre-tokens never cross the ends of these, so each can be encoded by itself.
-CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 def default_vocabulary() -> str:
@@ -36,40 +33,48 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes with: printable Latin-1 as itself, the rest from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 class Encoder:
-    """Byte-level BPE ids of whole texts as little-endian 32-bit bytes; remembers chunks it has met."""
+    """Byte-level BPE ids of whole texts as little-endian 32-bit bytes, from a tokenizers file's vocabulary."""
 
     def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict[str, bytes] = {}
-        self.special = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
-
-    def _part(self, text: str) -> bytes:
-        chunks = CHUNK.findall(text)
-        known = self.known
-        new = list({c for c in chunks if c not in known})
-        if new:
-            if len(known) > CACHE:
-                known.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+        import tiktoken
+
+        letters = byte_letters()
+        # ids follow the order of the merges, so they serve as ranks
+        ranks = {bytes(letters[c] for c in piece): i for piece, i in json.loads(vocabulary)["model"]["vocab"].items() if piece not in SPECIAL}
+        self.encode_ordinary = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
-        if "<|endoftext|>" not in text:
-            return self._part(text)
-        return b"".join(np.array([SPECIAL[p]], "<u4").tobytes() if p in SPECIAL else self._part(p) for p in self.special.split(text))
+        if END_OF_TEXT not in text:
+            return array("I", self.encode_ordinary(text)).tobytes()
+        mark = array("I", [SPECIAL[END_OF_TEXT]]).tobytes()
+        return mark.join(array("I", self.encode_ordinary(part)).tobytes() for part in text.split(END_OF_TEXT))
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    """The worker's encoder of a vocabulary; later tasks of the worker find it ready."""
+    key = hash(vocabulary)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(vocabulary)
+    return _ENCODERS[key]
 
 
 def _pieces(vocabulary, capacity: int, end_id: int):
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(vocabulary.value)
+        encoder = encoder_of(vocabulary.value)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         end = np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
