@@ -1,6 +1,6 @@
 """The training-data queries and their SQL, by name."""
 
-from quarry.llm import exact_dedup, packing, sharding, simhash, suffixes, superkmers, toxicity
+from quarry.llm import exact_dedup, packing, sharding, simhash, sniffing, suffixes, superkmers, toxicity, unigram
 
 
 def queries() -> dict:
@@ -8,6 +8,8 @@ def queries() -> dict:
         "op1_kdtree_shards": sharding.op1_kdtree_shards,
         "op2_simhash": simhash.op2_simhash,
         "op4_superkmers": superkmers.op4_superkmers,
+        "op5_unigram": unigram.op5_unigram,
+        "op6_signatures": sniffing.op6_signatures,
         "op7_ftrl": toxicity.op7_ftrl,
         "op8_content_sort": exact_dedup.op8_content_sort,
         "op9_bin_slack": packing.op9_bin_slack,
@@ -18,7 +20,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_superkmers": superkmers.OP4_SQL,
-        "op7_ftrl": toxicity.op7_ftrl,
         "op8_content_sort": exact_dedup.OP8_SQL,
         "op10_suffix_array": superkmers.OP4_SQL,
     }
