@@ -1,12 +1,13 @@
 """The training-data queries and their SQL, by name."""
 
-from quarry.llm import exact_dedup, packing, sharding, simhash, sniffing, suffixes, superkmers, toxicity, unigram
+from quarry.llm import exact_dedup, packing, quality, sharding, simhash, sniffing, suffixes, superkmers, toxicity, unigram
 
 
 def queries() -> dict:
     return {
         "op1_kdtree_shards": sharding.op1_kdtree_shards,
         "op2_simhash": simhash.op2_simhash,
+        "op3_weak_labels": quality.op3_weak_labels,
         "op4_superkmers": superkmers.op4_superkmers,
         "op5_unigram": unigram.op5_unigram,
         "op6_signatures": sniffing.op6_signatures,
