@@ -105,22 +105,27 @@ def dedup_findings(findings: DataFrame, reach: int = 3) -> DataFrame:
     it runs over the rows of one (path, class), which is all that it can touch; findings without a path stay.
     """
     keyed = findings.withColumn("cls", vulnerability_class(F.col("rule_id"), F.coalesce("message", F.lit("")))).withColumn("rank", severity_rank(F.col("severity")))
-    schema = "path string, cls string, seq long"
 
-    def fold(rows):
+    def fold(batches):
         import pandas as pd
 
-        kept: list[list] = []  # [line, rank, seq]
-        for line, rank, seq in rows.sort_values("seq", kind="stable")[["line", "rank", "seq"]].itertuples(index=False):
-            near = next((k for k in kept if abs(k[0] - line) <= reach), None)
-            if near is None:
-                kept.append([line, rank, seq])
-            elif rank > near[1]:
-                near[1:] = [rank, seq]
-        return pd.DataFrame({"path": rows["path"].iloc[0], "cls": rows["cls"].iloc[0], "seq": [k[2] for k in kept]})
+        now, kept = None, []  # kept: [line, rank, seq] of one (path, class)
+        for pdf in batches:
+            out: list[int] = []
+            for path, cls, line, rank, seq in pdf.itertuples(index=False):
+                if (path, cls) != now:
+                    out += [k[2] for k in kept]
+                    now, kept = (path, cls), []
+                near = next((k for k in kept if abs(k[0] - line) <= reach), None)
+                if near is None:
+                    kept.append([line, rank, seq])
+                elif rank > near[1]:
+                    near[1:] = [rank, seq]
+            yield pd.DataFrame({"seq": pd.array(out, "int64")})
+        yield pd.DataFrame({"seq": pd.array([k[2] for k in kept], "int64")})
 
     placed = keyed.where("path is not null").select("path", "cls", "line", "rank", "seq")
-    chosen = placed.groupBy("path", "cls").applyInPandas(fold, schema).select("seq")
+    chosen = placed.repartition("path", "cls").sortWithinPartitions("path", "cls", "seq").mapInPandas(fold, "seq long")
     return findings.where("path is not null").join(chosen, "seq", "left_semi").unionByName(findings.where("path is null"))
 
 
