@@ -7,6 +7,7 @@ of a document's votes is its label; labels of a bounded sample train a scorer on
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from operator import eq
 
@@ -180,8 +181,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_
     chosen = voted.where("doc_id is not null").select("doc_id", "votes", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id", "votes").limit(max_rows)
     side = F.broadcast(docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema))  # at most max_rows rows of three numbers
     found = rows.join(side, "doc_id").select("o", "votes", "text").mapInArrow(_collected, "o long, votes int, features binary").collect()
-    found.sort(key=lambda r: (r["o"], r["votes"], bytes(r["features"])))
-    scorer = ftrl([(labels.posterior[r["votes"]], np.frombuffer(r["features"], "<u4").astype(np.int64)) for r in found], l1=1.0, positive=1.0)
+    found.sort(key=lambda r: (r["o"], r["votes"], zlib.crc32(r["features"])))
+    scorer = ftrl([(labels.posterior[r["votes"]], np.frombuffer(r["features"], "<u4")) for r in found], l1=1.0, positive=1.0)
     return labels, scorer
 
 

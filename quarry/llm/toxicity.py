@@ -5,6 +5,7 @@ Per-coordinate rates and an L1 term leave few weights; these, at most 2^BITS, ar
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,7 +84,7 @@ def ftrl(rows: list[tuple[int, np.ndarray]], *, alpha: float = 1.0, beta: float
 
     for _ in range(epochs):
         for label, feature in rows:
-            at = np.append(feature, 1 << BITS)
+            at = np.append(feature.astype(np.int64), 1 << BITS)
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             if label:
@@ -112,8 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
     side = F.broadcast(spark.createDataFrame(chosen.collect(), chosen.schema))
     found = docs.join(side, docs[id_col].cast("long") == F.col("__id")).select("o", "label", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = found.mapInArrow(_collected, "o long, label int, features binary").collect()
-    rows.sort(key=lambda r: (r["o"], r["label"], bytes(r["features"])))
-    return ftrl([(r["label"], np.frombuffer(r["features"], "<u4").astype(np.int64)) for r in rows])
+    rows.sort(key=lambda r: (r["o"], r["label"], zlib.crc32(r["features"])))
+    return ftrl([(r["label"], np.frombuffer(r["features"], "<u4")) for r in rows])
 
 
 def _scored(model, keep: list[str], text_col: str, out: str):
