@@ -58,9 +58,9 @@ def lane(risk: Column) -> Column:
 
 def normalized_risk(value: Column) -> Column:
     """Numbers over 10 count as percent; what is no number is 5."""
-    v = F.expr("1") * value.try_cast("double")
+    v = value.try_cast("double")
     v = F.when((v > 10) & (v <= 100), v / 10).otherwise(v)
-    return F.coalesce(F.least(F.greatest(v, F.lit(0.0)), F.lit(10.0)), F.lit(5.0))
+    return F.when(v.isNull(), 5.0).otherwise(F.least(F.greatest(v, F.lit(0.0)), F.lit(10.0)))
 
 
 def cvss_severity(vector: Column) -> Column:
