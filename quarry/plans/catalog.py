@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scores
 from quarry.operators import rules
-from quarry.plans import base, carriers, detect, find, graph, scan, stats  # noqa: F401
+from quarry.plans import base, carriers, detect, find, graph, more, scan, stats  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
