@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, source string, source_line int, sink string, sink_type string, sink_line int, labels array<string>, sanitizers array<string>, confidence double"
@@ -81,3 +83,106 @@ def taint_findings(paths: DataFrame) -> DataFrame:
     trusted = F.col("source").rlike(r"^(os\.environ|sys\.argv)")
     sure = (F.col("confidence") >= 0.8) & ~trusted
     return open_.select("path", F.col("sink_line").alias("line"), F.concat(F.lit("taint-"), F.lower("sink_type")).alias("rule_id"), F.when(sure, "high").otherwise("medium").alias("severity"), sure.alias("is_blocker"), "source", "sink")
+
+
+@dataclass(frozen=True)
+class Dialect:
+    """How a language assigns, and its sources, sinks (pattern -> type) and sanitisers (pattern -> types)."""
+
+    assign: str
+    sources: str
+    sinks: dict
+    sanitizers: dict
+
+
+_ALL = tuple(sorted(set(SINKS.values())))
+DIALECTS = {
+    "javascript": Dialect(
+        r"^\s*(?:const|let|var)?\s*([A-Za-z_$][\w$]*)\s*=\s*(.+?);?\s*$",
+        r"\breq\.(?:query|body|params)\b|\bprocess\.argv\b|\blocation\.(?:search|hash)\b",
+        {r"\.query\s*\(": "SQL-value", r"\bexec(?:Sync)?\s*\(": "CMD-argument", r"\beval\s*\(": "CODE-execution", r"\.innerHTML\s*=|\.send\s*\(": "HTML-content", r"\bfs\.\w+\s*\(": "FILE-path"},
+        {r"\bparseInt\s*\(|\bNumber\s*\(": _ALL, r"\bescapeHtml\s*\(|DOMPurify\.sanitize\s*\(": ("HTML-content",), r"path\.basename\s*\(": ("FILE-path",)},
+    ),
+    "go": Dialect(
+        r"^\s*(?:var\s+)?([A-Za-z_]\w*)(?:\s*,\s*\w+)?\s*:?=\s*(.+?)\s*$",
+        r"\br\.URL\.Query\(\)|\br\.FormValue\(|\bc\.(?:Query|Param)\(|\bos\.Args\b",
+        {r"\.(?:Query|Exec|QueryRow)\s*\(": "SQL-value", r"\bexec\.Command\s*\(": "CMD-argument", r"\bfmt\.Fprintf?\s*\(\s*w\b": "HTML-content", r"\bos\.(?:Open|ReadFile|WriteFile)\s*\(": "FILE-path"},
+        {r"\bstrconv\.(?:Atoi|ParseInt)\s*\(": _ALL, r"template\.HTMLEscapeString\s*\(": ("HTML-content",), r"filepath\.(?:Clean|Base)\s*\(": ("FILE-path",)},
+    ),
+    "java": Dialect(
+        r"^\s*(?:final\s+)?(?:[A-Z]\w*(?:<[^>]*>)?\s+)?([a-z_]\w*)\s*=\s*(.+?);\s*$",
+        r"getParameter\(|getHeader\(|getQueryString\(|System\.getenv\(",
+        {r"\.execute(?:Query|Update)?\s*\(": "SQL-value", r"\.exec\s*\(|new\s+ProcessBuilder\s*\(": "CMD-argument", r"\.println\s*\(": "HTML-content", r"new\s+File\s*\(|Paths\.get\s*\(": "FILE-path"},
+        {r"Integer\.parseInt\s*\(|Long\.parseLong\s*\(": _ALL, r"escapeHtml\w*\s*\(": ("HTML-content",), r"FilenameUtils\.getName\s*\(": ("FILE-path",)},
+    ),
+}
+
+
+def line_flows(path: str, source: str | None, language: str) -> list[tuple]:
+    """Flows of one file of a language without a parser here: sources once, propagation over at most ROUNDS rounds, sinks."""
+    import re
+
+    d = DIALECTS.get(language)
+    if d is None or not source:
+        return []
+    rows = source.split("\n")
+    known: dict[str, tuple] = {}
+
+    def of(text: str, line: int):
+        found = None
+        if m := re.search(d.sources, text):
+            found = (m[0], line, frozenset(_ALL), (), 0.85)
+        else:
+            bare = re.sub(r"\"[^\"]*\"|'[^']*'", "", text)  # names inside plain strings are none
+            found = next((known[w] for w in re.findall(r"[A-Za-z_$][\w$]*", bare) if w in known), None)
+        if found:
+            for p, cleaned in d.sanitizers.items():
+                if m := re.search(p, text):
+                    found = (found[0], found[1], found[2] - set(cleaned), (*found[3], m[0].rstrip("( ")), found[4])
+        return found
+
+    for _ in range(ROUNDS):
+        before = dict(known)
+        for n, text in enumerate(rows, 1):
+            if (m := re.match(d.assign, text)) and (t := of(m[2], n)):
+                known.setdefault(m[1], (*t[:4], round(t[4] * HOP, 6)))
+        if known == before:
+            break
+    out = []
+    for n, text in enumerate(rows, 1):
+        for p, kind in d.sinks.items():
+            if (m := re.search(p, text)) and (t := of(text[m.end() :], n)):
+                out.append((path, t[0], t[1], m[0].strip(" (=."), kind, n, sorted(t[2]), list(t[3]), t[4]))
+    return out
+
+
+def line_taint_paths(files: DataFrame) -> DataFrame:
+    """Rows of SCHEMA for JavaScript, Go and Java files (path, content, language)."""
+
+    def run(batches):
+        import pandas as pd
+
+        columns = [c.strip().split()[0] for c in SCHEMA.split(", ")]
+        for pdf in batches:
+            yield pd.DataFrame([r for p, c, g in zip(pdf["path"], pdf["content"], pdf["language"]) for r in line_flows(p, c, g)], columns=columns)
+
+    return files.select("path", "content", "language").mapInPandas(run, SCHEMA)
+
+
+#: Bare method names that suggest a sink, with words in parameters and modules that make it likelier.
+SIGNALS = (
+    ("SQL-value", ("execute", "query", "raw", "run_sql"), ("sql", "query", "statement"), ("db", "sql", "database")),
+    ("CMD-argument", ("system", "popen", "spawn", "shell"), ("cmd", "command", "args"), ("os", "subprocess", "shell")),
+    ("FILE-path", ("open", "read_file", "write_file"), ("path", "file", "filename"), ("io", "fs", "storage")),
+)
+
+
+def inferred_sink(method: Column, params: Column, module: Column) -> tuple[Column, Column]:
+    """Sink type and confidence of a call: the first signal that lists the method; 0.6, and 0.1 for each hint, at most 0.9."""
+    kind = score = None
+    for name, methods, words, modules in SIGNALS:
+        hit = method.isin(*methods)
+        value = F.least(F.lit(0.9), F.lit(0.6) + F.when(F.arrays_overlap(params, F.array(*[F.lit(w) for w in words])), 0.1).otherwise(0.0) + F.when(F.lower(module).rlike("|".join(modules)), 0.1).otherwise(0.0))
+        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
+        score = F.when(hit, value) if score is None else score.when(hit, value)
+    return kind, F.round(score, 2)

@@ -71,6 +71,41 @@ class Breaker:
         return self.state, True
 
 
+class Bucket:
+    """A token bucket: `rate` tokens a second, `size` at most; a request waits for its tokens, `longest` seconds at most."""
+
+    def __init__(self, rate: float, size: float, longest: float = 10.0):
+        self.rate, self.size, self.longest = rate, size, longest
+        self.tokens, self.at = size, None
+
+    def step(self, at: float, cost: float = 1.0) -> float:
+        """Seconds that a request at a time waits."""
+        if self.at is not None:
+            self.tokens = min(self.size, self.tokens + max(0.0, at - self.at) * self.rate)
+        self.at = at
+        self.tokens -= cost
+        return 0.0 if self.tokens >= 0 else min(self.longest, -self.tokens / self.rate)
+
+
+def replay_buckets(requests: DataFrame, rate: float, size: float) -> DataFrame:
+    """provider, seq, wait: each provider's bucket over its requests, in one sorted pass a partition."""
+
+    def run(batches):
+        import pandas as pd
+
+        provider, bucket = None, None
+        for pdf in batches:
+            out = []
+            for p, seq, at in pdf[["provider", "seq", "at"]].itertuples(index=False):
+                if p != provider:
+                    provider, bucket = p, Bucket(rate, size)
+                out.append((p, seq, round(bucket.step(at), 6)))
+            yield pd.DataFrame(out, columns=["provider", "seq", "wait"])
+
+    rows = requests.select("provider", "seq", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return rows.repartition("provider").sortWithinPartitions("provider", "at", "seq").mapInPandas(run, "provider string, seq long, wait double")
+
+
 def replay_breakers(requests: DataFrame, most: int = 3, wait: float = 300.0) -> DataFrame:
     """provider, seq, state, allowed: each provider's breaker over its requests, in one sorted pass a partition."""
 

@@ -157,3 +157,35 @@ def test_partials_sink_and_reports(spark, tmp_path):
     doc = json.loads(reports.sarif_document(df))
     assert [r["level"] for r in doc["runs"][0]["results"]] == ["error", "note"] and len(doc["runs"][0]["tool"]["driver"]["rules"]) == 2
     assert "high" in reports.markdown_summary(df) and reports.badge(9.0).startswith("<svg")
+
+
+def test_flows_by_lines_in_other_languages(spark):
+    rows = [
+        ("a.js", "const q = req.query.id;\nconst s = 'x' + q;\ndb.query(s);\nconst n = parseInt(req.query.n);\ndb.query(n);", "javascript"),
+        ("b.go", "id := c.Query(\"id\")\nexec.Command(\"sh\", id)", "go"),
+        ("C.java", 'String p = request.getParameter("p");\nFile f = new File(p);', "java"),
+        ("d.rb", "x", "ruby"),
+    ]
+    paths = taint.line_taint_paths(spark.createDataFrame(rows, FILES))
+    got = sorted((r["path"], r["sink_type"], r["sink_line"], r["sink_type"] in r["labels"]) for r in paths.collect())
+    assert got == [("C.java", "FILE-path", 2, True), ("a.js", "SQL-value", 3, True), ("a.js", "SQL-value", 5, False), ("b.go", "CMD-argument", 2, True)]
+
+
+def test_signals_add_up(spark):
+    df = spark.createDataFrame([("execute", ["sql"], "app.db"), ("execute", ["x"], "app"), ("nothing", ["sql"], "db")], "m string, p array<string>, mod string")
+    kind, score = taint.inferred_sink(F.col("m"), F.col("p"), F.col("mod"))
+    assert [tuple(r) for r in df.select(kind, score).collect()] == [("SQL-value", 0.8), ("SQL-value", 0.6), (None, None)]
+
+
+def test_token_bucket_waits_for_tokens():
+    b = lifecycle.Bucket(1.0, 2.0)
+    assert [b.step(t) for t in (0, 0, 0, 1, 60)] == [0.0, 0.0, 1.0, 1.0, 0.0]
+
+
+def test_web_contracts_meet_by_route(spark):
+    from quarry.operators import contracts
+
+    rows = [("s.py", '@app.get("/items/{id}")\ndef f(): pass\n@app.route("/old")', "python"), ("c.ts", "axios.get(`/items/${x}`)\nfetch('https://h/none?x=1')", "typescript")]
+    found = contracts.operations(spark.createDataFrame(rows, FILES))
+    assert found.count() == 4
+    assert sorted(tuple(r) for r in contracts.gaps(found).collect()) == [("missing", "any", "/none"), ("unused", "any", "/old")]
