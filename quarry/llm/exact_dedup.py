@@ -82,16 +82,11 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     dealt = rows.repartitionByRange("prefix", "h", *order).sortWithinPartitions("prefix", "h", "norm", *order)
     runs = stored(dealt.select("h", "norm", "row_id", "neg_len").mapInArrow(_runs, RUNS), "exact-runs")
     ends = runs.where("edge and first").groupBy("text_sha256").agg(F.sum("n").alias("all_n"), F.min(F.struct((-F.col("best_len")).alias("l"), F.col("best_id").isNull().alias("z"), F.col("best_id").alias("id"), F.col("pid").alias("p"))).alias("top"))
-    # two hashes a partition at most have an edge, so this side stays small beside any input
-    joined = runs.join(ends, "text_sha256", "left")
-    met = F.col("edge") & F.col("top").isNotNull()
-    return joined.select(
-        F.col("row_id").alias("doc_id"),
-        F.when(met, F.col("top.id")).otherwise(F.col("best_id")).alias("keep_id"),
-        F.when(met, F.col("all_n")).otherwise(F.col("n")).alias("group_size"),
-        (F.col("first") & (~met | (F.col("top.p") == F.col("pid")))).alias("kept"),
-        "text_sha256",
-    )
+    # only rows of runs at a partition's edge meet their run's other parts; all others are whole as they are
+    inner = runs.where("not edge").select(F.col("row_id").alias("doc_id"), F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("first").alias("kept"), "text_sha256")
+    joined = runs.where("edge").join(ends, "text_sha256")
+    outer = joined.select(F.col("row_id").alias("doc_id"), F.col("top.id").alias("keep_id"), F.col("all_n").alias("group_size"), (F.col("first") & (F.col("top.p") == F.col("pid"))).alias("kept"), "text_sha256")
+    return inner.unionByName(outer)
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
