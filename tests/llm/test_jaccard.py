@@ -72,3 +72,11 @@ def test_stage_drops_a_copy_beyond_three_bits(spark):
         raise AssertionError("no such copy")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()] == [0]
+
+
+def test_rows_that_repeat_an_id_stay_unless_near(spark):
+    a, b, c, d = (" ".join(words(60, 900 + i)) for i in range(4))
+    rows = [(1, a), (1, b), (1, b), (1, b.upper()), (None, c), (None, d), (2, a + " more"), (None, b + " more"), (3, d + " more")]
+    got = jaccard.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(1, a), (1, b.upper()), (None, c), (3, d + " more")]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
