@@ -103,30 +103,32 @@ def dedup_findings(findings: DataFrame, reach: int = 3) -> DataFrame:
     A finding goes if one that was kept before it has its class and stands within `reach` lines, unless it is
     strictly more severe: then it takes that one's place. The fold depends on order and is not transitive, so
     it runs over the rows of one (path, class), which is all that it can touch; findings without a path stay.
+    Numbers in `seq` may repeat: rows are told apart by their other columns, in whose order such rows follow.
     """
     keyed = findings.withColumn("cls", vulnerability_class(F.col("rule_id"), F.coalesce("message", F.lit("")))).withColumn("rank", severity_rank(F.col("severity")))
 
     def fold(batches):
         import pandas as pd
 
-        now, kept = None, []  # kept: [line, rank, seq] of one (path, class)
+        now, kept = None, []  # kept: [line, rank, nth] of one (path, class)
         for pdf in batches:
-            out: list[int] = []
-            for path, cls, line, rank, seq in pdf.itertuples(index=False):
+            out: list[tuple] = []
+            for path, cls, line, rank, nth in pdf.itertuples(index=False):
                 if (path, cls) != now:
-                    out += [k[2] for k in kept]
+                    out += [(*now, k[2]) for k in kept]
                     now, kept = (path, cls), []
                 near = next((k for k in kept if abs(k[0] - line) <= reach), None)
                 if near is None:
-                    kept.append([line, rank, seq])
+                    kept.append([line, rank, nth])
                 elif rank > near[1]:
-                    near[1:] = [rank, seq]
-            yield pd.DataFrame({"seq": pd.array(out, "int64")})
-        yield pd.DataFrame({"seq": pd.array([k[2] for k in kept], "int64")})
-
-    placed = keyed.where("path is not null").select("path", "cls", "line", "rank", "seq")
-    chosen = placed.repartition("path", "cls").sortWithinPartitions("path", "cls", "seq").mapInPandas(fold, "seq long")
-    return findings.where("path is not null").join(chosen, "seq", "left_semi").unionByName(findings.where("path is null"))
+                    near[1:] = [rank, nth]
+            yield pd.DataFrame(out, columns=["path", "cls", "nth"])
+        yield pd.DataFrame([(*now, k[2]) for k in kept], columns=["path", "cls", "nth"])
+
+    order = Window.partitionBy("path", "cls").orderBy("seq", *[c for c in findings.columns if c != "seq"])
+    placed = keyed.where("path is not null").withColumn("nth", F.row_number().over(order))
+    chosen = placed.select("path", "cls", "line", "rank", "nth").repartition("path", "cls").sortWithinPartitions("path", "cls", "nth").mapInPandas(fold, "path string, cls string, nth int")
+    return placed.join(chosen, ["path", "cls", "nth"], "left_semi").select(*findings.columns).unionByName(findings.where("path is null"))
 
 
 def aggregate_frames(frames: DataFrame) -> DataFrame:

@@ -241,7 +241,7 @@ def j36(findings):
 
 @query("d1_dedup", None, ("findings",))
 def d1(findings):
-    return O.dedup_findings(findings.where("line <= 25")).select("seq", "path", "line", "severity")
+    return O.dedup_findings(findings).select("seq", "path", "line", "severity")
 
 
 @query("d2_vulnerability_class", """SELECT DISTINCT rule_id, CASE rule_id WHEN 'sql-injection' THEN 'SQL_INJECTION' WHEN 'xss-dom' THEN 'XSS' WHEN 'hardcoded-password' THEN 'HARDCODED_SECRET' WHEN 'cmd-injection' THEN 'INJECTION' ELSE CASE WHEN contains(message, 'secret') THEN 'HARDCODED_SECRET' ELSE rule_id END END AS cls FROM findings""", ("findings",))
