@@ -56,14 +56,18 @@ def indented_block(lines: DataFrame, start: str) -> DataFrame:
     return ends.join(total, "path").select("path", "line", F.coalesce(F.col("next") - 1, F.col("total")).alias("last"))
 
 
-def sequence_ratio(a, b):
-    """Ratcliff-Obershelp similarity of two string columns, in Arrow batches; callers pass blocked pairs only."""
+def sequence_ratio(a, b, least: float = 0.0):
+    """Ratcliff-Obershelp similarity of two string columns, in Arrow batches; callers pass blocked pairs only.
+
+    Zero where the letters in common, an upper bound, show that it is under `least`.
+    """
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)])
+        pairs = (SequenceMatcher(None, p or "", q or "") for p, q in zip(x, y))
+        return pd.Series([m.ratio() if not least or m.quick_ratio() >= least else 0.0 for m in pairs])
 
     return ratio(a, b)
 

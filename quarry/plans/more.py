@@ -23,12 +23,14 @@ def j14(part):
 
 @query("j20_fuzzy_contracts", None, ("consumer_ops", "provider_ops"))
 def j20(c, p):
-    a = c.select("name").distinct().withColumn("block", F.substring(text.operation_stem(F.col("name")), 1, 5))
-    b = p.select(F.col("name").alias("provider")).distinct().withColumn("block", F.substring(text.operation_stem(F.col("provider")), 1, 5))
-    j = a.join(b, "block").where(text.verb_class(F.col("name")).eqNullSafe(text.verb_class(F.col("provider"))))
-    scored = j.withColumn("ratio", F.round(chunks.sequence_ratio(F.lower("name"), F.lower("provider")), 6)).where("ratio >= 0.8")
+    # 0.8 needs lengths within two thirds of each other: pairs meet by length, and lose none
+    a = c.select("name").distinct().withColumn("stem", F.lower(text.operation_stem(F.col("name")))).withColumn("verb", text.verb_class(F.col("name")))
+    b = p.select(F.col("name").alias("provider")).distinct().withColumn("p_stem", F.lower(text.operation_stem(F.col("provider")))).withColumn("p_verb", text.verb_class(F.col("provider")))
+    met = a.withColumn("len", F.explode(F.sequence(F.expr("(2 * length(stem) + 2) div 3"), F.expr("3 * length(stem) div 2"))))
+    j = met.join(b, F.col("len") == F.length("p_stem")).where(F.coalesce(F.col("verb") == F.col("p_verb"), F.lit(True)))
+    scored = j.withColumn("ratio", chunks.sequence_ratio(F.col("stem"), F.col("p_stem"), 0.8)).where("ratio >= 0.8")
     w = Window.partitionBy("name").orderBy(F.desc("ratio"), "provider")
-    return scored.withColumn("n", F.row_number().over(w)).where("n = 1").select("name", "provider", "ratio")
+    return scored.withColumn("n", F.row_number().over(w)).where("n = 1").select("name", "provider", F.round("ratio", 6).alias("ratio"))
 
 
 @query("x9_line_similarity", None, (), ("part",))

@@ -1,12 +1,14 @@
 """Queries without SQL, held against brute force over all their rows."""
 
 import os
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import text
 from quarry.operators import findings as O
-from quarry.plans import catalog
+from quarry.plans import catalog, more
 from quarry.plans.carriers import carrier
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +28,24 @@ def test_d1_folds_all_findings(spark):
             near[1:] = [rank.get(r["severity"], 1), (r["seq"], r["path"], r["line"], r["severity"])]
     got = catalog.queries()["d1_dedup"](spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted(k[2] for own in kept.values() for k in own)
+
+
+def test_j20_matches_all_pairs(spark):
+    consumers = ["fetchUserOrderItem", "getColourTable", "getItem1", "deleteItem12", "runReport", "computeTotals", "get", "", "createInvoice", "findXInvoice"]
+    providers = ["fetchOurOrderItem", "getColorTable", "loadItem12", "removeItem1", "getReportRun", "recomputeTotals", "deleteInvoice", "invoices", "list", "addInvoices"]
+    names = spark.createDataFrame([(n,) for n in [*consumers, *providers]], "name string")
+    of = {r[0]: (r[1].lower(), r[2]) for r in names.select("name", text.operation_stem(F.col("name")), text.verb_class(F.col("name"))).collect()}
+    want = []
+    for c in consumers:
+        best = []
+        for p in providers:
+            if of[c][1] and of[p][1] and of[c][1] != of[p][1]:
+                continue
+            ratio = SequenceMatcher(None, of[c][0], of[p][0]).ratio()
+            if ratio >= 0.8:
+                best.append((-ratio, p))
+        if best:
+            want.append((c, min(best)[1], round(-min(best)[0], 6)))
+    got = more.j20(names.where(F.col("name").isin(*consumers)), names.where(F.col("name").isin(*providers)))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {("getColourTable", "getColorTable"), ("fetchUserOrderItem", "fetchOurOrderItem"), ("computeTotals", "recomputeTotals")} <= {w[:2] for w in want}
