@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import passages
 from quarry.llm.common import read_table
 
-#: Suffixes that one pass of the kernel sorts, about: whole buckets.
-BATCH = 4096
+#: Strings that one pass of the kernel takes, about: whole buckets.
+BATCH = 1024
 
 
 def neighbours(bucket: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,8 +33,8 @@ def classes(order: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def solve(minis: list[int], spans: list[int], docs: list[int], strings: list[bytes], k: int, m: int):
-    """Rows (mini, span, off, len, keeper) of whole buckets."""
+def solve(cores: list[int], spans: list[bytes], docs: list[int], minis: list[int], strings: list[bytes], k: int, m: int):
+    """Columns (cls, off, len, keeper) of whole buckets."""
     ids: dict[bytes, int] = {}
     split = [s.split() for s in strings]
     size = np.array([len(s) for s in split])
@@ -57,7 +57,7 @@ def solve(minis: list[int], spans: list[int], docs: list[int], strings: list[byt
     right = np.where(place[:, None] + ahead < size[row][:, None], pad[anchor[:, None] + ahead], -1 - ahead)
     back = np.arange(1, reach + 1)
     left = np.where(place[:, None] >= back, pad[anchor[:, None] - back], -1)
-    bucket = np.unique(mini[row], return_inverse=True)[1]
+    bucket = np.unique(np.array(cores, np.int64)[row], return_inverse=True)[1]
     by_right, common_right = neighbours(bucket, right)
     by_left, common_left = neighbours(bucket, left)
     owner = np.array(docs, np.int64)[row]
@@ -82,29 +82,29 @@ def solve(minis: list[int], spans: list[int], docs: list[int], strings: list[byt
     r, a, g = r[new], a[new], g[new]
     edge = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (a[1:] != a[:-1] + 1) | (g[1:] != g[:-1])])
     count = np.diff(np.r_[edge, len(r)])
-    return mini[r[edge]], np.array(spans, np.int64)[r[edge]], a[edge].astype(np.int32), count.astype(np.int32), g[edge]
+    return [spans[i] for i in r[edge].tolist()], a[edge].astype(np.int32), count.astype(np.int32), g[edge]
 
 
 def buckets(k: int, m: int):
-    def run(batches):
-        import pyarrow as pa
+    """The kernel of `passages.repeated`: whole buckets, some at a time."""
 
-        held: tuple[list, list, list, list] = ([], [], [], [])
+    def run(batches):
+        held: tuple[list, ...] = ([], [], [], [], [])
 
         def out():
             found = solve(*held, k, m)
             for x in held:
                 x.clear()
             if found is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["mini", "span", "off", "len", "keeper"])
+                yield passages.rows_of(passages.RUNS, found)
 
         for batch in batches:
-            minis, spans, docs = (np.asarray(batch.column(i)).tolist() for i in (0, 1, 3))
-            texts = batch.column(4)
-            for i, mini in enumerate(minis):
-                if len(held[0]) >= BATCH and mini != held[0][-1]:
+            cores, docs, minis = (np.asarray(batch.column(i)).tolist() for i in (0, 3, 4))
+            classes, texts = batch.column(1), batch.column(5)
+            for i, core in enumerate(cores):
+                if len(held[0]) >= BATCH and core != held[0][-1]:
                     yield from out()
-                for x, y in zip(held, (mini, spans[i], docs[i], texts[i].as_py())):
+                for x, y in zip(held, (core, classes[i].as_py(), docs[i], minis[i], texts[i].as_py())):
                     x.append(y)
         if held[0]:
             yield from out()
@@ -113,10 +113,15 @@ def buckets(k: int, m: int):
 
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words without those of windows that a smaller doc_id has; for edge cases see `passages`."""
     docs = read_table(spark, sf_dir, "documents")
     return passages.digests(docs, passages.repeated(docs, buckets))
 
 
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = passages.K) -> DataFrame:
-    """`docs` with repeated passages cut out everywhere but in the smallest id."""
+    """`docs` with repeated passages cut out everywhere but in the smallest id, and its own columns only.
+
+    Null and empty texts, those under `k` words, and rows of null ids among themselves stay as they are; repeated rows
+    of one id lose the same words; an empty table stays empty; columns of any other name are kept.
+    """
     return passages.without(docs, passages.repeated(docs, buckets, id_col=id_col, text_col=text_col, k=k), id_col=id_col, text_col=text_col)

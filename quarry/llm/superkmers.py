@@ -35,48 +35,44 @@ def keepers(strings: list[bytes], docs: list[int], k: int) -> list[list[int]]:
 
 
 def buckets(k: int, m: int):
-    def run(batches):
-        import pyarrow as pa
+    """The kernel of `passages.repeated`: one bucket at a time, of at most BUCKET windows."""
 
+    def run(batches):
         rows: list[tuple] = []
-        bucket: list[tuple] = []  # (span, doc, packed) of one minimiser; its size has a bound
+        bucket: list[tuple] = []  # (cls, doc, packed) of one key
 
-        def solve(mini):
-            for (span, _, _), kept in zip(bucket, keepers([b[2] for b in bucket], [b[1] for b in bucket], k)):
+        def solve():
+            for (cls, _, _), kept in zip(bucket, keepers([b[2] for b in bucket], [b[1] for b in bucket], k)):
                 at = 0
                 for i in range(1, len(kept) + 1):
                     if i == len(kept) or kept[i] != kept[at]:
-                        rows.append((mini, span, at, i - at, kept[at]))
+                        rows.append((cls, at, i - at, kept[at]))
                         at = i
             bucket.clear()
 
-        def emit():
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["mini", "span", "off", "len", "keeper"])
-            rows.clear()
-            return out
-
         now = None
         for batch in batches:
-            minis, spans, docs = (np.asarray(batch.column(i)).tolist() for i in (0, 1, 3))
-            texts = batch.column(4)
-            for i, mini in enumerate(minis):
-                if mini != now:
+            cores, docs = (np.asarray(batch.column(i)).tolist() for i in (0, 3))
+            classes, texts = batch.column(1), batch.column(5)
+            for i, core in enumerate(cores):
+                if core != now:
                     if bucket:
-                        solve(now)
-                    now = mini
+                        solve()
+                    now = core
                     if len(rows) > 8192:
-                        yield emit()
-                bucket.append((spans[i], docs[i], texts[i].as_py()))
+                        yield passages.rows_of(passages.RUNS, zip(*rows))
+                        rows.clear()
+                bucket.append((classes[i].as_py(), docs[i], texts[i].as_py()))
         if bucket:
-            solve(now)
+            solve()
         if rows:
-            yield emit()
+            yield passages.rows_of(passages.RUNS, zip(*rows))
 
     return run
 
 
 def op4_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words without those of windows that a smaller doc_id has; for edge cases see `passages`."""
     docs = read_table(spark, sf_dir, "documents")
     return passages.digests(docs, passages.repeated(docs, buckets))
 

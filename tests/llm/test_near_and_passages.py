@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from quarry.llm import passages, simhash, suffixes, superkmers
+from tests.llm.conftest import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,15 +88,15 @@ def test_components_on_a_long_chain(spark):
 
 
 def brute_passages(rows, k=50):
-    words = [WORD.findall(t or "") for _, t, *_ in rows]
+    cut = [WORD.findall(t or "") for _, t, *_ in rows]
     keyed = [i if i is not None else passages.NO_ID for i, *_ in rows]
     first = {}
-    for d, w in zip(keyed, words):
+    for d, w in zip(keyed, cut):
         for p in range(len(w) - k + 1):
             g = tuple(w[p : p + k])
             first[g] = min(first.get(g, d), d)
     out = []
-    for (i, *_), d, w in zip(rows, keyed, words):
+    for (i, *_), d, w in zip(rows, keyed, cut):
         gone = set()
         for p in range(len(w) - k + 1):
             if first[tuple(w[p : p + k])] < d:
@@ -106,13 +107,53 @@ def brute_passages(rows, k=50):
 
 
 @pytest.mark.parametrize("kernel", [superkmers.buckets, suffixes.buckets])
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_passages_match_brute_force(docs, rows, empty, monkeypatch, kernel, hot):
-    monkeypatch.setattr(passages, "HOT", hot)
+@pytest.mark.parametrize("bucket", [1 << 15, 1])
+def test_passages_match_brute_force(docs, rows, monkeypatch, kernel, bucket):
+    monkeypatch.setattr(passages, "BUCKET", bucket)
     got = passages.digests(docs, passages.repeated(docs, kernel)).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_passages(rows)
 
 
+@pytest.mark.parametrize("kernel", [superkmers.buckets, suffixes.buckets])
+@pytest.mark.parametrize("long", [1024, 5])
+def test_a_line_and_a_passage_in_many_contexts(spark, monkeypatch, kernel, long):
+    """One line and one passage stand in every document; copies differ by one word; one text repeats few words."""
+    monkeypatch.setattr(passages, "BUCKET", 200)
+    monkeypatch.setattr(passages, "LONG", long)
+    line, passage, near = words(12, 1), words(70, 2), words(110, 3)
+    rows = []
+    for i in range(60):
+        own = words(120, 1000 + i)
+        text = own[:30] + line + own[30:60] + (passage if i % 2 else passage[:55]) + own[60:]
+        if i % 3 == 0:
+            text = near[: 15 + i] + [f"x{i}"] + near[15 + i :]
+        rows.append((i, " ".join(text)))
+    rows += [(100, "a b " * 90), (101, "b a " * 70 + "c"), (102, " ".join(line * 20)), (103, " ".join(line * 9 + ["end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = passages.digests(df, passages.repeated(df, kernel)).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_passages(rows)
+
+
+def test_halving_ends_at_single_places():
+    for reach in (1, 5, 44):
+        for depth in range(8):
+            low, high = passages.halves(reach, depth)
+            assert len(low) == reach + 1 and (low <= np.arange(reach + 1)).all() and (high >= np.arange(reach + 1)).all()
+            assert (high - low < 1 << max(0, (reach + 1).bit_length() - depth)).all()
+        low, high = passages.halves(reach, reach.bit_length())
+        assert (low == high).all()
+
+
+def test_cut_keeps_columns_of_any_name(spark):
+    text = " ".join(words(80, 4))
+    rows = [(1, text, "d", 5, None, "r"), (2, "x " + text, "d", 6, None, "r"), (None, text + " y", None, 7, 1, None), (3, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc string, u int, n_chars int, ranges string")
+    got = {r["doc_id"]: r for r in suffixes.suffix_dedup(df).collect()}
+    assert list(got[1].asDict()) == df.columns
+    assert [got[i]["text"] for i in (1, 2, None, 3)] == [text, "x ", "y", None]
+    assert got[2]["doc"] == "d" and got[2]["u"] == 6 and got[2]["n_chars"] == 2
+
+
 def test_passages_of_an_empty_table(empty):
     assert passages.digests(empty, passages.repeated(empty, superkmers.buckets)).count() == 0
     assert suffixes.suffix_dedup(empty).count() == 0
