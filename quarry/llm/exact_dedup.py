@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WHITE, read_table, stored
+from quarry.llm.common import WHITE, free_name, read_table, stored
 
 RUNS = "row_id long, text_sha256 string, n long, best_len long, best_id long, pid int, first boolean, edge boolean"
 OUT_ROWS = 4096
@@ -90,16 +90,22 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, one of each group, with the columns they came with."""
-    keep = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    tagged = docs.withColumn("__h", F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256))
-    found = tagged.join(keep, tagged[id_col].cast("long").eqNullSafe(keep["__keep"]) & (tagged["__h"] == keep["__sha"]), "left_semi")
+    """The rows of `docs` that stay, one of each group, with the columns they came with, whatever their names.
+
+    Null and empty texts are one group; ids that are null come last; of rows that repeat id and text one stays;
+    very long texts are compared whole; an empty table stays empty.
+    """
+    keep_id, sha, nth = (free_name(docs, n) for n in ("keep", "sha", "n"))
+    keep = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias("of"))
+    tagged = docs.withColumn(sha, F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256))
+    found = tagged.join(keep, tagged[id_col].cast("long").eqNullSafe(keep[keep_id]) & (tagged[sha] == keep["of"]), "left_semi")
     # rows that repeat an id and a normalised text: the longest original stays
-    first = Window.partitionBy(id_col, "__h").orderBy(F.length(F.coalesce(F.col(text_col), F.lit(""))).desc(), F.col(text_col))
-    return found.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
+    first = Window.partitionBy(id_col, sha).orderBy(F.length(F.coalesce(F.col(text_col), F.lit(""))).desc(), F.col(text_col))
+    return found.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)
 
 
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts; for nulls, ties and repeats see `exact_groups`."""
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 

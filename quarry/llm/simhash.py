@@ -42,7 +42,11 @@ def fingerprint(text: str | None) -> int:
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start = end - size
-    hashes = np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in zip(start[:-2].tolist(), end[2:].tolist())], dtype="<u8")
+    return majority(np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in zip(start[:-2].tolist(), end[2:].tolist())], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the unsigned hashes set."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -271,4 +275,5 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; for nulls, ties and repeats see `near_groups`."""
     return near_groups(read_table(spark, sf_dir, "documents"))

@@ -80,3 +80,30 @@ def test_rows_that_repeat_an_id_stay_unless_near(spark):
     got = jaccard.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     want = [(1, a), (1, b.upper()), (None, c), (3, d + " more")]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_sketches_never_say_less_than_two_sets_share():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**64, 30_000, dtype=np.uint64)
+    for n, m in [(1, 1), (1, 900), (5, 6), (40, 50), (700, 800), (5000, 5100), (20_000, 21_000)]:
+        a, b = (np.unique(rng.choice(pool, x)) for x in (n, m))
+        most = jaccard.most_common(jaccard.sketch(a), jaccard.sketch(b))
+        assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+    many = np.arange(2_000, dtype=np.uint64)  # all in the first count
+    assert jaccard.most_common(jaccard.sketch(many), jaccard.sketch(many)) is None
+
+
+def test_near_dedup_of_an_empty_table(empty):
+    assert jaccard.near_dedup(empty).count() == 0
+
+
+def test_a_large_group_of_near_copies(spark):
+    """One group of copies that differ in a few words of their own, and a line that every other text has."""
+    base, line = words(100, 50), words(20, 51)
+    rows = []
+    for i in range(250):
+        w = list(base)
+        w[(i * 7) % 100] = f"own{i}"
+        rows.append((i, " ".join(w) if i % 2 else " ".join(line + words(90, 2000 + i))))
+    got = jaccard.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted({1, *range(0, 250, 2)})
