@@ -208,4 +208,5 @@ def pack(docs: DataFrame, *, vocabulary: str | None = None, capacity: int = CAPA
 
 
 def op9_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces in sequences of CAPACITY; for nulls, ties and repeats see `pack`."""
     return pack(read_table(spark, sf_dir, "documents"))

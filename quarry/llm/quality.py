@@ -7,7 +7,6 @@ of a document's votes is its label; labels of a bounded sample train a scorer on
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 from operator import eq
 
@@ -17,11 +16,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import Stored, read_table
 from quarry.llm.passages import WHITE_TABLE, Q, mixed, word_hashes
-from quarry.llm.toxicity import BITS, Model, _parts, ftrl
+from quarry.llm.toxicity import BITS, MAX_ROWS, MAX_VALUES, Model, _parts, fitted
 
 BAD, NONE, GOOD = 0, 1, 2
-#: The bound on documents that the scorer is fitted on, by least hash of their id.
-MAX_ROWS = 12_000
 ROUNDS = 100
 KEEP = 0.5
 UPPER = bytes(range(65, 91))
@@ -74,7 +71,7 @@ def _voted(batches):
     for batch in batches:
         texts = batch.column(1)
         packed = [sum(v * 3**j for j, v in enumerate(votes(texts[i].as_py()))) for i in range(len(batch))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.int32())], names=["doc_id", "votes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.int32())], names=["row", "votes"])
 
 
 def unpacked(pattern: int) -> list[int]:
@@ -143,17 +140,6 @@ def shapes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes >> BITS, codes & ((1 << BITS) - 1)
 
 
-def _collected(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        for at, end, data, bounds in _parts(batch.column(2)):
-            text, feature = shapes(data, bounds)
-            cut = np.searchsorted(text, np.arange(end - at + 1))
-            packed = [feature[cut[i] : cut[i + 1]].astype("<u4").tobytes() for i in range(end - at)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], batch.column(1)[at:end], pa.array(packed, pa.binary())], names=["o", "votes", "features"])
-
-
 def _scored(model, posterior):
     def run(batches):
         import pyarrow as pa
@@ -173,16 +159,23 @@ def _scored(model, posterior):
     return run
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> tuple[LabelModel, Model]:
-    """The label model of all documents' votes, and the scorer of at most `max_rows` of them."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    voted = Stored(rows.mapInArrow(_voted, "doc_id long, votes int"), "votes").df
-    labels = label_model({r["votes"]: r["count"] for r in voted.groupBy("votes").count().collect()})
-    chosen = voted.where("doc_id is not null").select("doc_id", "votes", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id", "votes").limit(max_rows)
-    side = F.broadcast(docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema))  # at most max_rows rows of three numbers
-    found = rows.join(side, "doc_id").select("o", "votes", "text").mapInArrow(_collected, "o long, votes int, features binary").collect()
-    found.sort(key=lambda r: (r["o"], r["votes"], zlib.crc32(r["features"])))
-    scorer = ftrl([(labels.posterior[r["votes"]], np.frombuffer(r["features"], "<u4")) for r in found], l1=1.0, positive=1.0)
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_values: int = MAX_VALUES) -> tuple[LabelModel, Model]:
+    """The label model of all documents' votes, and the scorer of at most `max_rows` of them, by least hash.
+
+    Rows that repeat an id and a text are one for the scorer; null texts count as empty. An empty table gives a label
+    model without patterns and a scorer without weights.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("o"), text.alias("text"))
+    voted = Stored(rows.mapInArrow(_voted, "row long, votes int"), "votes")
+    labels = label_model({r["votes"]: r["count"] for r in voted.df.groupBy("votes").count().collect()})
+    chosen = voted.df.select(F.col("row").alias("o"), "votes").distinct().orderBy("o", "votes").limit(max_rows)
+    # at most max_rows rows of two numbers, and 3^LABELLERS posteriors
+    sample = rows.join(F.broadcast(chosen), "o").dropDuplicates(["o", "votes"])
+    posterior = docs.sparkSession.createDataFrame([(v, p) for v, p in labels.posterior.items()], "votes int, label double")
+    sample = sample.join(F.broadcast(posterior), "votes").select("o", F.lit(0).cast("long").alias("th"), "label", "text")
+    scorer = fitted(sample, shapes, max_values, l1=1.0, positive=1.0)
+    voted.drop()
     return labels, scorer
 
 
@@ -201,4 +194,5 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op3_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's posterior, score and decision; for nulls, repeats and empty tables see `quality`."""
     return quality(read_table(spark, sf_dir, "documents"))

@@ -135,4 +135,5 @@ def kd_shards(docs: DataFrame, *, n_shards: int | None = None, target_bytes: int
 
 
 def op1_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sixteen shards; for nulls, ties and repeats see `kd_shards`."""
     return kd_shards(read_table(spark, sf_dir, "documents"), n_shards=16)

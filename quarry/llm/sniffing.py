@@ -344,6 +344,7 @@ def stored_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a sniffed WAV value, read back; null texts are empty, repeated rows repeat, an empty table stays empty."""
     media = stored_texts(read_table(spark, sf_dir, "documents"))
     sniffed = sniff_media(media, declared_col="declared", keep=["doc_id", "n_bytes", "media"])
     return sniffed.mapInArrow(_digested, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

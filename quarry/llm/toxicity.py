@@ -1,23 +1,24 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Per-coordinate rates and an L1 term leave few weights; these, at most 2^BITS, are all that is broadcast.
+A fit is one task over a stored sample of bounded rows and values; only its weights come to the driver.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quarry.llm.common import read_table
+from quarry.llm.common import Stored, free_name, read_table
 from quarry.llm.passages import P, Q, R, mixed, sliced, word_hashes
 
 BITS = 18
-#: The bound on labelled rows that a fit takes, by least hash of their id.
-MAX_ROWS = 12_000
+#: The bounds of a fit: rows, by least hash, and features in all of them.
+MAX_ROWS, MAX_VALUES = 12_000, 24_000_000
 EPOCHS = 3
 THRESHOLD = 0.7
 #: A word's first so many bytes are features too: one n-gram for all inflections.
@@ -61,16 +62,20 @@ def _parts(texts):
         yield at, end, data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _collected(batches):
-    """(order, label, text) to (order, label, features as bytes)."""
-    import pyarrow as pa
+def collected(of):
+    """(o, th, label, text) to (o, th, label, features as bytes), by the features `of` slices of texts."""
 
-    for batch in batches:
-        for at, end, data, bounds in _parts(batch.column(2)):
-            text, feature = features(data, bounds)
-            cut = np.searchsorted(text, np.arange(end - at + 1))
-            packed = [feature[cut[i] : cut[i + 1]].astype("<u4").tobytes() for i in range(end - at)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], batch.column(1)[at:end], pa.array(packed, pa.binary())], names=["o", "label", "features"])
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at, end, data, bounds in _parts(batch.column(3)):
+                text, feature = of(data, bounds)
+                cut = np.searchsorted(text, np.arange(end - at + 1))
+                packed = [feature[cut[i] : cut[i + 1]].astype("<u4").tobytes() for i in range(end - at)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[at:end] for i in range(3)), pa.array(packed, pa.binary())], names=["o", "th", "label", "features"])
+
+    return run
 
 
 def ftrl(rows: list[tuple[int, np.ndarray]], *, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0, epochs: int = EPOCHS, positive: float = 2.0) -> Model:
@@ -101,30 +106,63 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Model:
+def _fit(max_values: int, options: dict):
+    """Sorted rows (o, th, label, features) to one row: the model that FTRL finds."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows, left = [], max_values
+        for batch in batches:
+            for label, packed in zip(batch.column(2).to_pylist(), batch.column(3)):
+                feature = np.frombuffer(packed.as_py(), "<u4")
+                left -= len(feature)
+                if left >= 0:
+                    rows.append((label, feature))
+        m = ftrl(rows, **options)
+        yield pa.RecordBatch.from_arrays([pa.array([m.index.astype("<i8").tobytes()], pa.binary()), pa.array([m.weight.astype("<f8").tobytes()], pa.binary()), pa.array([m.bias])], names=["index", "weight", "bias"])
+
+    return run
+
+
+def fitted(sample: DataFrame, of, max_values: int, **options) -> Model:
+    """FTRL's model of a bounded sample (o, th, label, text), in the order of its first three columns.
+
+    Rows that would bring the features beyond `max_values` are left out; an empty sample gives a model without weights.
+    """
+    found = Stored(sample.select("o", "th", F.col("label").cast("double").alias("label"), "text").mapInArrow(collected(of), "o long, th long, label double, features binary"), "sample")
+    rows = found.df.coalesce(1).sortWithinPartitions("o", "th", "label").mapInArrow(_fit(max_values, options), "index binary, weight binary, bias double").collect()
+    found.drop()
+    if not rows:
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
+    return Model(np.frombuffer(rows[0]["index"], "<i8"), np.frombuffer(rows[0]["weight"], "<f8"), rows[0]["bias"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_values: int = MAX_VALUES) -> Model:
     """Learns from labelled rows outside the held-out third: at most `max_rows`, those of least hash of the id.
 
-    Null labels and ids count as none. Without any row the model has no weights and scores 0.5.
+    Null labels and ids count as none, null texts as empty; rows that repeat an id, a label and a text count once,
+    and different texts of one id are rows of their own. Without any row the model has no weights and scores 0.5.
     """
-    spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    chosen = known.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col).cast("long")).alias("o")).orderBy("o", "__id", "label").limit(max_rows)
-    # at most max_rows rows of three numbers
-    side = F.broadcast(spark.createDataFrame(chosen.collect(), chosen.schema))
-    found = docs.join(side, docs[id_col].cast("long") == F.col("__id")).select("o", "label", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = found.mapInArrow(_collected, "o long, label int, features binary").collect()
-    rows.sort(key=lambda r: (r["o"], r["label"], zlib.crc32(r["features"])))
-    return ftrl([(r["label"], np.frombuffer(r["features"], "<u4")) for r in rows])
+    known = known.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).distinct().withColumn("o", F.xxhash64("id"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    # both sides that are broadcast have at most max_rows rows of a few numbers
+    some = F.broadcast(known.orderBy("o", "id", "label").limit(max_rows))
+    chosen = rows.select("id", "th").join(some, "id").distinct().orderBy("o", "th", "label").limit(max_rows)
+    sample = rows.join(F.broadcast(chosen), ["id", "th"]).dropDuplicates(["id", "th", "label"])
+    return fitted(sample, features, max_values)
 
 
-def _scored(model, keep: list[str], text_col: str, out: str):
+def _scored(model, keep: list[int], text_at: int, names: list[str]):
     def run(batches):
         import pyarrow as pa
 
         m = model.value
         weight = m.dense()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
+            texts = batch.column(text_at)
             if texts.null_count:
                 texts = texts.fill_null("")
             score = np.zeros(len(batch))
@@ -132,25 +170,35 @@ def _scored(model, keep: list[str], text_col: str, out: str):
                 text, feature = features(data, bounds)
                 score[at:end] = m.bias + np.bincount(text, weights=weight[feature], minlength=end - at)
             score = 1 / (1 + np.exp(-np.clip(score, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(score)], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(score)], names=names)
 
     return run
 
 
 def with_score(docs: DataFrame, model: Model, *, keep: list[str] | None = None, text_col: str = "text", out: str = "score") -> DataFrame:
-    """`docs` (its columns `keep`, or all) with the score of each whole text; null and empty texts get the bias's."""
+    """`docs` (its columns `keep`, or all) with the score of each whole text; null and empty texts get the bias's.
+
+    Repeated rows repeat, very long texts count whole, an empty table stays empty. `out` must be no column of `keep`.
+    """
     keep = list(docs.columns if keep is None else keep)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^BITS weights
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{out}` double"]
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(_scored(sent, keep, text_col, out), ", ".join(fields))
+    columns = list(dict.fromkeys([*keep, text_col]))
+    chosen = docs.select(*columns)
+    schema = StructType([*(chosen.schema[c] for c in keep), StructField(out, DoubleType())])
+    return chosen.mapInArrow(_scored(sent, [columns.index(c) for c in keep], columns.index(text_col), [*keep, out]), schema)
 
 
 def op7_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; for nulls, repeats and empty texts see `fit` and `with_score`."""
     docs = read_table(spark, sf_dir, "documents")
     scored = with_score(docs, fit(docs, read_table(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` whose score is below the threshold, with the columns they came with."""
-    return with_score(docs, fit(docs, labels), out="__score").where(F.col("__score") < threshold).drop("__score")
+    """The rows of `docs` whose score is below the threshold, with the columns they came with, whatever their names.
+
+    Null and empty texts have the bias's score, repeated rows go or stay together, an empty table stays empty.
+    """
+    score = free_name(docs, "score")
+    return with_score(docs, fit(docs, labels), out=score).where(F.col(score) < threshold).drop(score)

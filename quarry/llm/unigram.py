@@ -325,4 +325,5 @@ def encode(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id",
 
 
 def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces; for nulls, long texts and repeats see `encode`."""
     return encode(read_table(spark, sf_dir, "documents"), with_ids=False)

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import packing, quality, sniffing, toxicity, unigram
 
@@ -200,3 +201,127 @@ def test_label_model_trusts_the_labeller_that_is_right():
     m = quality.label_model(counts)
     post = sorted(m.posterior.values())
     assert post[0] < 0.1 and post[1] > 0.9 and m.accuracies()[0] > 0.9
+
+
+def brute_ftrl(rows, l1, positive, epochs=3):
+    """One coordinate at a time, as published: z and n a coordinate, lazy weights, per-coordinate rates."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        lasso = 0.0 if i == "bias" else l1
+        return 0.0 if abs(z[i]) <= lasso else -(z[i] - (lasso if z[i] > 0 else -lasso)) / (1.0 + n[i] ** 0.5 + 1.0)
+
+    for _ in range(epochs):
+        for label, at in rows:
+            w = {i: weight(i) for i in [*at, "bias"]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            g *= positive if label else 1
+            for i, x in w.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) * x
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+@pytest.mark.parametrize("l1,positive", [(10.0, 2.0), (0.5, 1.0)])
+def test_ftrl_matches_one_coordinate_at_a_time(l1, positive):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        at = rng.choice(60, 8, replace=False)
+        rows.append((float(7 in at or rng.random() < 0.1), np.sort(at).astype("<u4")))
+    m = toxicity.ftrl(rows, l1=l1, positive=positive)
+    want = brute_ftrl([(y, at.tolist()) for y, at in rows], l1, positive)
+    assert m.bias == pytest.approx(want.pop("bias"))
+    assert dict(zip(m.index.tolist(), m.weight.tolist())) == pytest.approx({i: w for i, w in want.items() if w})
+
+
+def one_text(of, text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return of(data, np.array([0, len(data)]))[1].tolist()
+
+
+def test_toxic_scores_match_a_fit_by_hand(spark):
+    texts = {i: f"word{i % 7} other{i % 5} {'vile thing' if i % 4 == 0 else 'kind thing'} end{i}" for i in range(90)}
+    docs = spark.createDataFrame([*texts.items(), (5, texts[5]), (5, "another text"), (None, "no id"), (91, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)] + [(0, 1), (70, None), (None, 1), (91, 0)], "doc_id long, toxic int")
+    keyed = spark.createDataFrame([(i, t) for i, t in [*texts.items(), (5, "another text"), (91, "")]], "i long, t string").selectExpr("i", "xxhash64(i) AS o", "xxhash64(t) AS th", "t").collect()
+    known = {i: int(i % 4 == 0) for i in range(60)} | {91: 0}
+    rows = sorted((r["o"], r["th"], known[r["i"]], r["t"]) for r in keyed if r["i"] in known and zlib.crc32(str(r["i"]).encode()) % 3 != 1)
+    want = brute_ftrl([(y, one_text(toxicity.features, t)) for _, _, y, t in rows], 10.0, 2.0)
+    got = toxicity.with_score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(got) == 94
+    for r in got:
+        w = want["bias"] + sum(want.get(i, 0.0) for i in one_text(toxicity.features, r["text"] or ""))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-w)))
+
+
+def test_a_repeated_id_is_bounded(spark, empty):
+    docs = spark.createDataFrame([(7, f"text {i % 40} of one id") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] * 50 + [(7, 0)], "doc_id long, toxic int")
+    assert zlib.crc32(b"7") % 3 != 1
+    sizes = []
+    real = toxicity.fitted
+
+    def spy(sample, *a, **k):
+        sizes.append(sample.count())
+        return real(sample, *a, **k)
+
+    for module in (toxicity, quality):
+        module.fitted, kept = spy, module.fitted
+        try:
+            toxicity.fit(docs, labels, max_rows=30) if module is toxicity else quality.fit(docs, max_rows=30)
+            toxicity.fit(docs, labels) if module is toxicity else quality.fit(docs)
+        finally:
+            module.fitted = kept
+    assert sizes == [30, 80, 30, 40]
+    assert toxicity.without_toxic(empty, labels).count() == 0 and toxicity.fit(empty, labels).bias == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["label", "o", "th", "id", "score", "_score", "sha", "keep", "n", "of"]
+    fields = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, f"some text {i % 3}", *names) for i in range(6)], fields)
+    labels = spark.createDataFrame([(i, 0) for i in range(6)], "doc_id long, toxic int").withColumn("o", F.lit(1)).withColumn("text", F.lit("x"))
+    from quarry.llm import exact_dedup, jaccard
+
+    for out in (toxicity.without_toxic(docs, labels), exact_dedup.exact_dedup(docs), jaccard.near_dedup(docs.withColumn("u", F.lit(1)).withColumn("place", F.lit(2))).drop("u", "place")):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert len(got) in (3, 6) and all([r[n] for n in names] == names for r in got)
+    assert quality.quality(docs).count() == 6
+
+
+def brute_label_model(patterns, rounds=100):
+    """Expectation-maximisation over one document at a time."""
+    post = [0.1 if v.count(quality.BAD) > v.count(quality.GOOD) else 0.95 if quality.BAD not in v else 0.5 for v in patterns]
+    for _ in range(rounds):
+        prior = (sum(post) + 1) / (len(post) + 2)
+        mass = (len(post) - sum(post), sum(post))
+        table = [[[(sum(p if y else 1 - p for p, v in zip(post, patterns) if v[j] == k) + 1) / (mass[y] + 3) for k in range(3)] for y in range(2)] for j in range(quality.LABELLERS)]
+        new = []
+        for v in patterns:
+            a, b = 1 - prior, prior
+            for j, k in enumerate(v):
+                a, b = a * table[j][0][k], b * table[j][1][k]
+            new.append(b / (a + b))
+        done = max(abs(x - y) for x, y in zip(new, post)) < 1e-9
+        post = new
+        if done:
+            break
+    return post
+
+
+def test_posteriors_and_scores_match_brute_force(spark, docs, rows):
+    texts = [t or "" for _, t, *_ in rows]
+    want = dict(zip(texts, brute_label_model([list(quality.votes(t)) for t in texts])))
+    order = {}
+    for r in docs.selectExpr("coalesce(text, '') AS t", "xxhash64(doc_id, coalesce(text, '')) AS o").distinct().collect():
+        order[r["o"]] = r["t"]
+    weights = brute_ftrl([(want[order[o]], one_text(quality.shapes, order[o])) for o in sorted(order)], 1.0, 1.0)
+    got = quality.quality(docs).collect()
+    assert len(got) == len(rows)
+    by_id = {i: t or "" for i, t, *_ in rows}
+    for r in got:
+        assert r["posterior"] == pytest.approx(want[by_id[r["doc_id"]]], abs=1e-6)
+        w = weights["bias"] + sum(weights.get(i, 0.0) for i in one_text(quality.shapes, by_id[r["doc_id"]]))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-w)), abs=1e-6)
