@@ -26,7 +26,7 @@ from quarry.llm.common import Stored, free_name, release
 
 K, M = 50, 6
 #: A bucket with more windows than this is split by the words around its minimiser.
-BUCKET = 1 << 15
+BUCKET = 1 << 13
 #: The most windows of one packed string.
 LONG = 1024
 #: Bytes of text that one numpy pass takes.
@@ -149,6 +149,14 @@ def sliced(texts, size: int = SLICE):
         at = end
 
 
+def small(batches, text_at: int):
+    """The batches in parts of about SLICE bytes of text, so that a task holds little beside its batch."""
+    for batch in batches:
+        if len(batch):
+            for at, end, _ in sliced(batch.column(text_at)):
+                yield batch.slice(at, end - at)
+
+
 def rows_of(schema: str, columns):
     """A record batch of the columns, by a schema of plain names and types."""
     import pyarrow as pa
@@ -336,7 +344,7 @@ def merged(ranges: list[dict]) -> list[tuple[int, int]]:
 def _digest(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in small(batches, 1):
         ids, texts, lists = (batch.column(i) for i in range(3))
         total, removed, shas = [], [], []
         for i in range(len(batch)):
@@ -369,7 +377,7 @@ def _cut(text_at: int, ranges_at: int):
         import pyarrow as pa
 
         word = re.compile(rb"[^\x20\x09-\x0D]+")
-        for batch in batches:
+        for batch in small(batches, text_at):
             texts, lists = batch.column(text_at), batch.column(ranges_at)
             out = []
             for i in range(len(batch)):

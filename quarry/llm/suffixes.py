@@ -14,7 +14,7 @@ from quarry.llm import passages
 from quarry.llm.common import read_table
 
 #: Strings that one pass of the kernel takes, about: whole buckets.
-BATCH = 1024
+BATCH = 256
 
 
 def neighbours(bucket: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +39,7 @@ def solve(cores: list[int], spans: list[bytes], docs: list[int], minis: list[int
     split = [s.split() for s in strings]
     size = np.array([len(s) for s in split])
     base = np.cumsum(size) - size
-    flat = np.fromiter((ids.setdefault(w, len(ids)) for s in split for w in s), np.int64, int(size.sum()))
+    flat = np.fromiter((ids.setdefault(w, len(ids)) for s in split for w in s), np.int32, int(size.sum()))
     data = np.frombuffer(b" ".join(strings), np.uint8)
     lengths = np.array([len(s) for s in strings]) + 1
     hashes, first = passages.word_hashes(data, np.r_[0, np.cumsum(lengths)[:-1], len(data)])
@@ -52,11 +52,11 @@ def solve(cores: list[int], spans: list[bytes], docs: list[int], minis: list[int
     inside = place + m <= size[row]
     anchor, row, place = anchor[inside], row[inside], place[inside]
     reach = k - m  # words that a window can have before its minimiser
-    pad = np.r_[flat, np.full(k, -1)]
-    ahead = np.arange(k)
+    pad = np.r_[flat, np.full(k, -1, np.int32)]
+    ahead = np.arange(k, dtype=np.int32)
     right = np.where(place[:, None] + ahead < size[row][:, None], pad[anchor[:, None] + ahead], -1 - ahead)
     back = np.arange(1, reach + 1)
-    left = np.where(place[:, None] >= back, pad[anchor[:, None] - back], -1)
+    left = np.where(place[:, None] >= back, pad[anchor[:, None] - back], np.int32(-1))
     bucket = np.unique(np.array(cores, np.int64)[row], return_inverse=True)[1]
     by_right, common_right = neighbours(bucket, right)
     by_left, common_left = neighbours(bucket, left)
