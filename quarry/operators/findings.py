@@ -98,37 +98,56 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def dedup_findings(findings: DataFrame, reach: int = 3) -> DataFrame:
-    """Greedy de-duplication in order of `seq`, within each file and class.
-
-    A finding goes if one that was kept before it has its class and stands within `reach` lines, unless it is
-    strictly more severe: then it takes that one's place. The fold depends on order and is not transitive, so
-    it runs over the rows of one (path, class), which is all that it can touch; findings without a path stay.
-    Numbers in `seq` may repeat: rows are told apart by their other columns, in whose order such rows follow.
+    """Greedy de-duplication in order of `seq`, within each file.
+
+    A finding with the line and rule of one that was kept before takes its place if it is strictly more severe, else
+    goes. Any other goes if a kept one of its class stands within `reach` lines, unless it is strictly more severe:
+    then that one goes, and the new one is kept at its own line, as the last of its class. Findings without a path stay.
+    The fold depends on order and is not transitive, so it runs in order over the rows of one segment: lines of a file
+    that are at most `reach` apart from line to line. No two segments can touch each other. Numbers in `seq` may repeat:
+    such rows follow in the order of their other columns. A task holds a segment's kept findings, not its rows.
     """
-    keyed = findings.withColumn("cls", vulnerability_class(F.col("rule_id"), F.coalesce("message", F.lit("")))).withColumn("rank", severity_rank(F.col("severity")))
+    cls, rank, segment = (next(n for n in (f"{'_' * k}{name}" for k in range(9)) if n not in findings.columns) for name in ("cls", "rank", "segment"))
+    line, message = F.coalesce("line", F.lit(0)), F.coalesce("message", F.lit(""))
+    keyed = findings.where("path is not null").withColumn(cls, vulnerability_class(F.col("rule_id"), message)).withColumn(rank, severity_rank(F.coalesce("severity", F.lit("low"))))
+    # segments come from a file's different lines only
+    at = Window.partitionBy("of").orderBy("at")
+    lines = findings.where("path is not null").select(F.col("path").alias("of"), line.alias("at")).distinct()
+    starts = lines.withColumn("new", F.coalesce((F.col("at") - F.lag("at").over(at) > reach).cast("int"), F.lit(0)))
+    parted = starts.select("of", "at", F.sum("new").over(at).alias(segment))
+    placed = keyed.join(parted, (F.col("path") == F.col("of")) & (line == F.col("at"))).select(*findings.columns, cls, rank, segment)
+    names = findings.columns
 
     def fold(batches):
-        import pandas as pd
-
-        now, kept = None, []  # kept: [line, rank, nth] of one (path, class)
-        for pdf in batches:
-            out: list[tuple] = []
-            for path, cls, line, rank, nth in pdf.itertuples(index=False):
-                if (path, cls) != now:
-                    out += [(*now, k[2]) for k in kept]
-                    now, kept = (path, cls), []
-                near = next((k for k in kept if abs(k[0] - line) <= reach), None)
-                if near is None:
-                    kept.append([line, rank, nth])
-                elif rank > near[1]:
-                    near[1:] = [rank, nth]
-            yield pd.DataFrame(out, columns=["path", "cls", "nth"])
-        yield pd.DataFrame([(*now, k[2]) for k in kept], columns=["path", "cls", "nth"])
-
-    order = Window.partitionBy("path", "cls").orderBy("seq", *[c for c in findings.columns if c != "seq"])
-    placed = keyed.where("path is not null").withColumn("nth", F.row_number().over(order))
-    chosen = placed.select("path", "cls", "line", "rank", "nth").repartition("path", "cls").sortWithinPartitions("path", "cls", "nth").mapInPandas(fold, "path string, cls string, nth int")
-    return placed.join(chosen, ["path", "cls", "nth"], "left_semi").select(*findings.columns).unionByName(findings.where("path is null"))
+        import pyarrow as pa
+
+        now, kept, by_class = None, {}, {}  # (line, rule) -> [rank, row]; class -> [(line, rule)] in order
+        for batch in batches:
+            kinds, out = batch.schema, []
+            for row in batch.to_pylist():
+                here = (row["path"], row[segment])
+                if here != now:
+                    out += [x for _, x in kept.values()]
+                    now, kept, by_class = here, {}, {}
+                key, own = (row["line"] or 0, row["rule_id"]), by_class.setdefault(row[cls], [])
+                if key in kept:
+                    if row[rank] > kept[key][0]:
+                        kept[key] = [row[rank], row]
+                    continue
+                near = next((k for k in own if abs(k[0] - key[0]) <= reach), None)
+                if near is not None:
+                    if row[rank] <= kept[near][0]:
+                        continue
+                    del kept[near]
+                    own.remove(near)
+                own.append(key)
+                kept[key] = [row[rank], row]
+            yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in out], schema=pa.schema([kinds.field(n) for n in names]))
+        if kept:
+            yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for _, x in kept.values()], schema=pa.schema([kinds.field(n) for n in names]))
+
+    chosen = placed.repartition("path", segment).sortWithinPartitions("path", segment, "seq", *[c for c in names if c != "seq"]).mapInArrow(fold, findings.schema)
+    return chosen.unionByName(findings.where("path is null"))
 
 
 def aggregate_frames(frames: DataFrame) -> DataFrame:
@@ -150,3 +169,10 @@ def risk_ordered(findings: DataFrame, churn: DataFrame) -> DataFrame:
     """Adds risk = severity x (1 + ln(1 + churn) / 5); an unknown severity counts as medium."""
     joined = findings.join(churn, "path", "left")
     return joined.withColumn("risk", severity_rank(F.col("severity"), 2) * (1 + F.log1p(F.coalesce("churn", F.lit(0))) * 0.2)).drop("churn")
+
+
+def evicted(entries: DataFrame, at: str, key: str, most: int) -> DataFrame:
+    """A cache after eviction: with over `most` entries, the newest four fifths of `most` stay (ties by key), else all."""
+    if len(entries.select(key).limit(most + 1).collect()) <= most:
+        return entries
+    return entries.orderBy(F.desc(at), key).limit(most * 4 // 5)

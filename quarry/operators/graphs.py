@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared checkpoint folder."""
+    """Ends the lineage in the shared checkpoint folder; a temporary one will do for executors inside this process only."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-"))
+        path, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not path:
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            path = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        spark.sparkContext.setCheckpointDir(path)
     return df.checkpoint()
 
 
@@ -44,25 +49,50 @@ def unreachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     return nodes.join(reachable(edges, entries).select("node"), "node", "left_anti")
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that lie on a cycle: what is left of them after nodes without predecessor or successor are
-    peeled off, and then reaches itself."""
-    core = _cut(edges.select("src", "dst").distinct())
-    n = core.count()
-    while True:
-        core = _cut(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        now = core.count()
-        if now == n:
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) without nodes that lack a predecessor or a successor, until none does."""
+    n = edges.count()
+    while n:
+        edges = _cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        n, before = edges.count(), n
+        if n == before:
             break
-        n = now
-    pairs = core
-    while True:
-        more = pairs.alias("a").join(core.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        grown = _cut(pairs.unionByName(more).distinct())
-        if grown.count() == pairs.count():
-            break
-        pairs = grown
-    return grown.where("src = dst").select(F.col("src").alias("node")).distinct()
+    return edges
+
+
+def cycle_groups(edges: DataFrame) -> DataFrame:
+    """(node, group) for every node on a cycle; nodes that reach each other have one group, their greatest node.
+
+    Rounds of colours: the greatest node that reaches a node is its colour; what reaches the colour's own node inside
+    its colour is one group. Groups leave, the rest is trimmed and coloured again. Only counts come to the driver, and
+    tables stay as narrow as the edges: no closure is built.
+    """
+    left = _trimmed(_cut(edges.select("src", "dst").distinct()))
+    found = left.select(F.col("src").alias("node"), F.col("src").alias("group")).limit(0)
+    while not left.isEmpty():
+        colour = _cut(left.select(F.col("src").alias("node"), F.col("src").alias("c")).distinct())
+        while True:
+            come = left.join(colour, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c")
+            best = _cut(colour.unionByName(come).groupBy("node").agg(F.max("c").alias("c")))
+            changed = best.join(colour, ["node", "c"], "left_anti").isEmpty()
+            colour = best
+            if changed:
+                break
+        of = lambda k, c: colour.select(F.col("node").alias(k), F.col("c").alias(c))
+        inside = left.join(of("src", "cs"), "src").join(of("dst", "cd"), "dst").where("cs = cd")
+        back = _cut(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        group = reachable(back, colour.where("node = c").select("node")).select("node")
+        # a colour's own node reaches back only inside the colour, so each member's group is its colour
+        members = _cut(group.join(colour, "node").select("node", F.col("c").alias("group")))
+        found = found.unionByName(members)
+        gone = members.select("node")
+        left = _trimmed(_cut(left.join(gone, F.col("src") == gone["node"], "left_anti").join(gone, F.col("dst") == gone["node"], "left_anti")))
+    return found.join(found.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "group").join(edges.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("own")).distinct(), "node", "left").where("n > 1 OR own").select("node", "group")
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that lie on a cycle, by their groups."""
+    return cycle_groups(edges).select("node")
 
 
 def who_uses(edges: DataFrame, nodes: DataFrame, include_tests: bool = False) -> DataFrame:

@@ -43,12 +43,65 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search(vectors: DataFrame, query: list[float], n: int, where: Column | None = None, least: float | None = None, id_col: str = "vec_id") -> DataFrame:
-    """The n nearest by cosine, with rank; `least` filters after ranks are given. Each task keeps only its best n."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    rows = vectors.where(where) if where is not None else vectors
-    top = rows.select(id_col, "label", F.round(cosine(F.col("embedding"), q), 6).alias("score")).orderBy(F.desc("score"), id_col).limit(n)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
+def _nearest(block, n: int, kinds: list):
+    """(id, label, embedding) to the n best of this task for each query of the block."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, rows = block.value
+        unit = rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+        best = None  # columns query, id, label, score
+        for batch in batches:
+            if not len(batch):
+                continue
+            v = np.array([x.as_py() for x in batch.column(2)], np.float64)
+            score = np.round(unit @ (v / np.sqrt((v * v).sum(1, keepdims=True))).T, 6)
+            own, label = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            q, at = np.divmod(np.arange(score.size), len(batch))
+            found = [q, own[at], label[at], score.ravel()]
+            if best is not None:
+                found = [np.concatenate(x) for x in zip(best, found)]
+            order = np.lexsort((found[1], -found[3], found[0]))
+            found = [x[order] for x in found]
+            first = np.searchsorted(found[0], found[0])
+            keep = np.arange(len(order)) - first < n
+            best = [x[keep] for x in found]
+        if best is not None:
+            columns = [np.asarray(ids)[best[0]], *best[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["query", "id", "label", "score"])
+
+    return run
+
+
+def search(vectors: DataFrame, queries: DataFrame, n: int, where: Column | None = None, least: float | None = None, id_col: str = "vec_id", block: int = 1024) -> DataFrame:
+    """The n nearest rows by cosine of every query: query, id, label, score, rank.
+
+    `queries` has id and embedding. They go in blocks of `block` vectors, each broadcast on its own; a task keeps the n
+    best of each query, so at most tasks x block x n rows are shuffled for the ranks. `least` filters after ranks are given.
+    Vectors of length zero have no score and come last.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    rows = (vectors.where(where) if where is not None else vectors).select(F.col(id_col).cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    wanted = queries.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    total = wanted.count()
+    parts = max(1, -(-total // block))
+    number = F.pmod(F.xxhash64("id"), F.lit(parts))
+    found = None
+    for k in range(parts):  # a block is about `block` vectors, whatever the input's size
+        some = wanted.where(number == k).orderBy("id").collect()
+        if not some:
+            continue
+        sent = spark.sparkContext.broadcast(([r["id"] for r in some], np.array([r["embedding"] for r in some])))
+        part = rows.mapInArrow(_nearest(sent, n, [pa.int64(), pa.int64(), pa.int64(), pa.float64()]), "query long, id long, label long, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "query long, id long, label long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= n)
     return ranked.where(F.col("score") >= least) if least is not None else ranked
 
 

@@ -174,22 +174,30 @@ def j19(c, p):
     return exact.unionByName(stem).unionByName(missing)
 
 
-@query("j21_model_fields", """SELECT coalesce(a.c_mktsegment, b.seg) AS model, coalesce(a.f, b.f) AS field, CASE WHEN b.f IS NULL THEN 'missing' WHEN a.f IS NULL THEN 'unused' WHEN a.t <> b.t THEN 'type' ELSE 'ok' END AS gap
-FROM (SELECT DISTINCT c_mktsegment, c_nationkey AS f, c_nationkey % 2 AS t FROM customer WHERE c_custkey % 3 = 0) a FULL JOIN (SELECT DISTINCT c_mktsegment AS seg, c_nationkey AS f, c_nationkey % 3 AS t FROM customer WHERE c_custkey % 11 = 1) b ON a.c_mktsegment = b.seg AND a.f = b.f""", (), ("customer",))
-def j21(customer):
-    a = customer.where("c_custkey % 3 = 0").select("c_mktsegment", F.col("c_nationkey").alias("fa"), (F.col("c_nationkey") % 2).alias("ta")).distinct()
-    b = customer.where("c_custkey % 11 = 1").select(F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("fb"), (F.col("c_nationkey") % 3).alias("tb")).distinct()
-    j = a.join(b, (a["c_mktsegment"] == b["seg"]) & (a["fa"] == b["fb"]), "full_outer")
-    gap = F.when(F.col("fb").isNull(), "missing").when(F.col("fa").isNull(), "unused").when(F.col("ta") != F.col("tb"), "type").otherwise("ok")
-    return j.select(F.coalesce("c_mktsegment", "seg").alias("model"), F.coalesce("fa", "fb").alias("field"), gap.alias("gap"))
+_SIDES = """c AS (SELECT DISTINCT p_brand AS model, split_part(p_name, ' ', 1) AS field, CASE WHEN p_size < 25 THEN 'int' ELSE 'String' END AS type, p_size % 2 = 0 AS optional FROM part WHERE p_retailprice < 1400),
+p AS (SELECT p_brand AS model, split_part(p_name, ' ', 1) AS field, min(CASE WHEN p_size < 20 THEN 'int' ELSE 'String' END) AS type, bool_or(p_size % 5 = 0) AS optional FROM part WHERE p_retailprice >= 1400 GROUP BY ALL)"""
 
 
-@query("j22_enum_gaps", """WITH a AS (SELECT c_mktsegment AS e, list(DISTINCT c_nationkey) AS v FROM customer WHERE c_custkey % 5 = 0 GROUP BY 1), b AS (SELECT c_mktsegment AS e, list(DISTINCT c_nationkey) AS v FROM customer WHERE c_custkey % 7 = 0 GROUP BY 1)
-SELECT e, array_to_string(list_sort(list_filter(a.v, lambda x: NOT list_contains(b.v, x))), ',') AS lost, array_to_string(list_sort(list_filter(b.v, lambda x: NOT list_contains(a.v, x))), ',') AS extra FROM a JOIN b USING (e)""", (), ("customer",))
-def j22(customer):
-    a = customer.where("c_custkey % 5 = 0").groupBy(F.col("c_mktsegment").alias("e")).agg(F.collect_set("c_nationkey").alias("va"))
-    b = customer.where("c_custkey % 7 = 0").groupBy(F.col("c_mktsegment").alias("e")).agg(F.collect_set("c_nationkey").alias("vb"))
-    return a.join(b, "e").select("e", F.array_join(F.array_sort(F.array_except("va", "vb")), ",").alias("lost"), F.array_join(F.array_sort(F.array_except("vb", "va")), ",").alias("extra"))
+@query("j21_model_fields", f"""WITH {_SIDES} SELECT c.model, c.field, c.type, c.optional, CASE WHEN p.field IS NULL THEN 'missing' WHEN c.type <> p.type THEN 'type' WHEN p.optional AND NOT c.optional THEN 'optionality' END AS gap
+FROM c LEFT JOIN p ON c.model = p.model AND c.field = p.field WHERE p.field IS NULL OR c.type <> p.type OR (p.optional AND NOT c.optional)""", (), ("part",))
+def j21(part):
+    """Fields that consumers of a model have, and its provider lacks, types otherwise, or may leave out."""
+    name, size = F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_size")
+    c = part.where("p_retailprice < 1400").select(F.col("p_brand").alias("model"), name.alias("field"), F.when(size < 25, "int").otherwise("String").alias("type"), (size % 2 == 0).alias("optional")).distinct()
+    p = part.where("p_retailprice >= 1400").groupBy(F.col("p_brand").alias("model"), name.alias("field")).agg(F.min(F.when(size < 20, "int").otherwise("String")).alias("p_type"), F.bool_or(size % 5 == 0).alias("p_optional"))
+    gap = F.when(F.col("p_type").isNull(), "missing").when(F.col("type") != F.col("p_type"), "type").when(F.col("p_optional") & ~F.col("optional"), "optionality")
+    return c.join(p, ["model", "field"], "left").withColumn("gap", gap).where("gap is not null").select("model", "field", "type", "optional", "gap")
+
+
+@query("j22_enum_gaps", """WITH a AS (SELECT p_brand AS e, list(DISTINCT p_type) AS v FROM part WHERE p_size <= 10 GROUP BY 1), b AS (SELECT p_brand AS e, list(DISTINCT p_type) AS v FROM part WHERE p_size >= 35 GROUP BY 1)
+SELECT e, x AS value, 'lost' AS gap FROM (SELECT e, unnest(list_filter(a.v, lambda x: NOT list_contains(b.v, x))) AS x FROM a JOIN b USING (e)) UNION ALL SELECT e, x, 'extra' FROM (SELECT e, unnest(list_filter(b.v, lambda x: NOT list_contains(a.v, x))) AS x FROM a JOIN b USING (e))""", (), ("part",))
+def j22(part):
+    """Values that one side of an enum has and the other lacks; enums that only one side has are no gap."""
+    a = part.where("p_size <= 10").select(F.col("p_brand").alias("e"), F.col("p_type").alias("value")).distinct()
+    b = part.where("p_size >= 35").select(F.col("p_brand").alias("e"), F.col("p_type").alias("value")).distinct()
+    lost = a.join(b.select("e").distinct(), "e", "left_semi").join(b, ["e", "value"], "left_anti").withColumn("gap", F.lit("lost"))
+    extra = b.join(a.select("e").distinct(), "e", "left_semi").join(a, ["e", "value"], "left_anti").withColumn("gap", F.lit("extra"))
+    return lost.unionByName(extra)
 
 
 @query("j25_cross_file_names", "SELECT name FROM (SELECT DISTINCT n.name, split_part(n.name, ' ', 1) AS w FROM nodes n) WHERE w NOT IN (SELECT DISTINCT unnest(string_split(lower(p_type || ' small red'), ' ')) FROM part)", ("nodes",), ("part",))
@@ -260,12 +268,6 @@ def d4(findings):
     return findings.groupBy("rule_id", "path", "line").agg(F.min("seq").alias("seq")).select("seq")
 
 
-@query("d6_multi_query_union", "SELECT vec_id, label, arg_min(q, q) AS q FROM (SELECT vec_id, label, 1 AS q FROM embeddings WHERE label <= 3 UNION ALL SELECT vec_id, label, 2 FROM embeddings WHERE label >= 2) GROUP BY vec_id, label", (), ("embeddings",))
-def d6(e):
-    a, b = e.where("label <= 3").select("vec_id", "label", F.lit(1).alias("q")), e.where("label >= 2").select("vec_id", "label", F.lit(2).alias("q"))
-    return a.unionByName(b).groupBy("vec_id", "label").agg(F.min("q").alias("q"))
-
-
 @query("d7_fingerprint_union", f"SELECT DISTINCT {_FP} AS fp FROM (SELECT rule_id, path, message FROM baseline UNION ALL SELECT rule_id, path, message FROM findings WHERE severity = 'low')", ("findings", "baseline"))
 def d7(findings, baseline):
     both = baseline.select("rule_id", "path", "message").unionByName(findings.where("severity = 'low'").select("rule_id", "path", "message"))
@@ -303,11 +305,10 @@ def d12(files):
 
 
 @query("o1_risk_order", f"""WITH ch AS (SELECT path, count(*) AS churn FROM commits WHERE ts >= TIMESTAMP '1996-01-01' GROUP BY path)
-SELECT seq, round(({_RANK.format(2)}) * (1 + ln(1 + coalesce(churn, 0)) * 0.2), 6) AS risk FROM findings LEFT JOIN ch USING (path) ORDER BY risk DESC, seq LIMIT 200""", ("findings", "commits"))
+SELECT seq, round(({_RANK.format(2)}) * (1 + ln(1 + coalesce(churn, 0)) * 0.2), 6) AS risk FROM findings LEFT JOIN ch USING (path)""", ("findings", "commits"))
 def o1(findings, commits):
     churn = commits.where("ts >= TIMESTAMP '1996-01-01'").groupBy("path").agg(F.count(F.lit(1)).alias("churn"))
-    ranked = O.risk_ordered(findings, churn).select("seq", F.round("risk", 6).alias("risk"))
-    return ranked.orderBy(F.desc("risk"), "seq").limit(200)
+    return O.risk_ordered(findings, churn).select("seq", F.round("risk", 6).alias("risk")).orderBy(F.desc("risk"), "seq")
 
 
 @query("o2_churn", "SELECT path, count(*) AS churn FROM commits WHERE ts >= (SELECT max(ts) FROM commits) - INTERVAL 90 DAY GROUP BY path", ("commits",))
@@ -316,14 +317,19 @@ def o2(commits):
     return commits.join(F.broadcast(last), F.col("ts") >= F.col("last") - F.expr("INTERVAL 90 DAY")).groupBy("path").agg(F.count(F.lit(1)).alias("churn"))
 
 
-@query("o4_priority_groups", "SELECT p_size % 7 AS priority, array_to_string(list_sort(list(p_partkey)), ',') AS members FROM part WHERE p_partkey < 200 GROUP BY 1", (), ("part",))
+@query("o4_priority_groups", "SELECT p_size % 7 AS priority, array_to_string(list_sort(list(p_partkey)), ',') AS members FROM part GROUP BY 1", (), ("part",))
 def o4(part):
-    return part.where("p_partkey < 200").groupBy((F.col("p_size") % 7).alias("priority")).agg(F.array_join(F.array_sort(F.collect_list("p_partkey")), ",").alias("members"))
+    return part.groupBy((F.col("p_size") % 7).alias("priority")).agg(F.array_join(F.array_sort(F.collect_list("p_partkey")), ",").alias("members"))
 
 
-@query("o6_lru_evict", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS n FROM events) WHERE n <= 800", (), ("events",))
+@query("o6_lru_evict", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS n, count(*) OVER () AS total FROM events) WHERE n <= CASE WHEN total > 1000 THEN 800 ELSE total END", (), ("events",))
 def o6(events):
-    return events.orderBy(F.desc("ts"), "event_id").limit(800).select("event_id")
+    return O.evicted(events, "ts", "event_id", 1000).select("event_id")
+
+
+@query("o7_triage_evict", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS n, count(*) OVER () AS total FROM events) WHERE n <= CASE WHEN total > 5000 THEN 4000 ELSE total END", (), ("events",))
+def o7(events):
+    return O.evicted(events, "ts", "event_id", 5000).select("event_id")
 
 
 @query("o8_top_per_file", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3", (), ("orders",))

@@ -91,7 +91,7 @@ def g4(calls):
     return G.reachable(edges, calls.sparkSession.createDataFrame([("n5",)], "node string"), 3).select("node", F.col("depth").cast("int").alias("depth"))
 
 
-@query("g5_on_cycles", "WITH RECURSIVE e AS (SELECT DISTINCT source AS src, target AS dst FROM calls WHERE relation IN ('inherits', 'implements')), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS node FROM r WHERE src = dst", ("calls",))
+@query("g5_on_cycles", "WITH RECURSIVE e AS (SELECT DISTINCT source AS src, target AS dst FROM calls WHERE relation IN ('inherits', 'implements') AND target IN (SELECT source FROM calls)), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS node FROM r WHERE src = dst", ("calls",))
 def g5(calls):
     return G.on_cycles(calls.where(F.col("relation").isin("inherits", "implements")).select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct())
 
@@ -101,7 +101,7 @@ def g6(calls, nodes):
     return G.orphans(nodes, calls).select("fqn")
 
 
-@query("g7_orphan_files", "SELECT 'f' || CAST(c_custkey AS STRING) AS file FROM customer WHERE 'f' || CAST(c_custkey AS STRING) NOT IN (SELECT src FROM imports UNION SELECT dst FROM imports)", ("imports",), ("customer",))
+@query("g7_orphan_files", "SELECT DISTINCT 'f' || CAST(c_custkey + c_nationkey * 40 AS STRING) AS file FROM customer WHERE 'f' || CAST(c_custkey + c_nationkey * 40 AS STRING) NOT IN (SELECT src FROM imports UNION SELECT dst FROM imports)", ("imports",), ("customer",))
 def g7(imports, customer):
     ends = imports.select(F.col("src").alias("file")).union(imports.select(F.col("dst").alias("file"))).distinct()
-    return customer.select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("file")).join(ends, "file", "left_anti")
+    return customer.select(F.concat(F.lit("f"), (F.col("c_custkey") + F.col("c_nationkey") * 40).cast("string")).alias("file")).distinct().join(ends, "file", "left_anti")

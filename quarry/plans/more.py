@@ -13,11 +13,11 @@ from quarry.plans.detect import _CODE_LINES, _match_sql
 from quarry.sources import python_ast
 
 
-@query("j14_similar_functions", """WITH t AS (SELECT DISTINCT p_brand AS file, p_partkey AS name, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part WHERE p_partkey < 500), n AS (SELECT file, name, count(*) AS n FROM t GROUP BY ALL),
+@query("j14_similar_functions", """WITH t AS (SELECT DISTINCT p_brand AS file, p_partkey AS name, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part), n AS (SELECT file, name, count(*) AS n FROM t GROUP BY ALL),
 c AS (SELECT a.file, a.name AS x, b.name AS y, count(*) AS shared FROM t a JOIN t b ON a.file = b.file AND a.t = b.t AND a.name < b.name GROUP BY ALL)
 SELECT c.file, x AS name_a, y AS name_b, floor(shared * 100.0 / (p.n + q.n - shared))::BIGINT AS percent FROM c JOIN n p ON p.file = c.file AND p.name = x JOIN n q ON q.file = c.file AND q.name = y WHERE shared >= 0.8 * (p.n + q.n - shared)""", (), ("part",))
 def j14(part):
-    f = part.where("p_partkey < 500").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("body"))
+    f = part.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("body"))
     return chunks.similar_functions(f)
 
 
@@ -59,11 +59,6 @@ def v7(code):
     return chunks.definitions(code, python_ast.parse(code)).select("path", "name", "chunk_type", "start", "end")
 
 
-@query("v9_retrieve", "SELECT vec_id FROM embeddings WHERE label = 1 ORDER BY vec_id LIMIT 7", (), ("embeddings",))
-def v9(e):
-    return e.where("label = 1").select("vec_id").orderBy("vec_id").limit(7)
-
-
 @query("v11_should_chunk", "SELECT path, length(content) // 4 > 60 AS chunk FROM code", ("code",))
 def v11(code):
     return code.select("path", (text.estimated_tokens(F.col("content")) > 60).alias("chunk"))

@@ -268,25 +268,47 @@ def j15(files):
 # searches
 
 
-_QUERY_SQL = "(SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
+def _search_sql(n: int, where: str = "true") -> str:
+    """The n nearest of every query (each id divisible by 20), as s(query, id, label, score, rank)."""
+    cos = "round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
+    all_pairs = f"SELECT q.vec_id AS query, e.vec_id AS id, e.label::BIGINT AS label, {cos} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {where}"
+    return f"s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank FROM ({all_pairs})) WHERE rank <= {n})"
 
 
-def _first_vector(e):
-    return e.orderBy("vec_id").limit(1).first()["embedding"]
-
+def _found(e, n, where=None, least=None):
+    from quarry.operators.similarity import search
 
-_COS = f"round(list_dot_product(e.embedding::DOUBLE[], q.v) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.v, q.v))), 6)"
+    return search(e, e.where("vec_id % 20 = 0"), n, where, least)
 
 
-@query("v1_cosine_top", f"WITH q AS (SELECT {_QUERY_SQL}::DOUBLE[] AS v), s AS (SELECT vec_id, label, {_COS} AS score FROM embeddings e, q) SELECT vec_id, label, score, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank FROM s ORDER BY score DESC, vec_id LIMIT 20", (), ("embeddings",))
+@query("v1_cosine_top", f"WITH {_search_sql(20)} SELECT * FROM s", (), ("embeddings",))
 def v1(e):
-    from quarry.operators.similarity import search
-
-    return search(e, _first_vector(e), 20)
+    return _found(e, 20)
 
 
-@query("v5_filtered_search", f"WITH q AS (SELECT {_QUERY_SQL}::DOUBLE[] AS v), s AS (SELECT vec_id, label, {_COS} AS score FROM embeddings e, q WHERE label IN (1, 2, 3) AND label <> 2) SELECT * FROM (SELECT vec_id, label, score, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank FROM s ORDER BY score DESC, vec_id LIMIT 10) WHERE score >= 0.05", (), ("embeddings",))
+@query("v5_filtered_search", f"WITH {_search_sql(10, 'e.label IN (1, 2, 3) AND e.label <> 2')} SELECT * FROM s WHERE score >= 0.05", (), ("embeddings",))
 def v5(e):
-    from quarry.operators.similarity import search
+    return _found(e, 10, F.col("label").isin(1, 2, 3) & (F.col("label") != 2), 0.05)
+
+
+_TOKENS = "(id * 7919 % 400 + 50)"
+
+
+@query("v9_retrieve", f"WITH {_search_sql(14)}, u AS (SELECT *, sum({_TOKENS}) OVER (PARTITION BY query ORDER BY rank) AS used, row_number() OVER (PARTITION BY query ORDER BY rank) AS n FROM s WHERE score >= 0.02) SELECT query, count(*) AS chunks, sum({_TOKENS})::BIGINT AS tokens, max(score) AS best FROM u WHERE used <= 1500 AND n <= 7 GROUP BY query", (), ("embeddings",))
+def v9(e):
+    """What a query retrieves: twice the chunks wanted are searched, the leading ones within the budget are taken."""
+    from quarry.operators.similarity import within_budget
+
+    tokens = F.expr(_TOKENS)
+    taken = within_budget(_found(e, 14, least=0.02), 1500, 7, "query", [F.col("rank")], tokens)
+    return taken.groupBy("query").agg(F.count(F.lit(1)).alias("chunks"), F.sum(tokens).alias("tokens"), F.max("score").alias("best"))
+
+
+@query("d6_multi_query_union", f"WITH {_search_sql(10)}, g AS (SELECT query - query % 100 AS asked, * FROM s), f AS (SELECT asked, id, score, query, row_number() OVER (PARTITION BY asked, id ORDER BY query) AS n FROM g), u AS (SELECT *, sum({_TOKENS}) OVER (PARTITION BY asked ORDER BY score DESC, id) AS used FROM f WHERE n = 1) SELECT asked, id, query, score FROM u WHERE used <= 4000", (), ("embeddings",))
+def d6(e):
+    """Several queries' chunks as one list: of a chunk the first query's score, then the budget again."""
+    from quarry.operators.similarity import within_budget
 
-    return search(e, _first_vector(e), 10, F.col("label").isin(1, 2, 3) & (F.col("label") != 2), 0.05)
+    each = _found(e, 10).withColumn("asked", F.col("query") - F.col("query") % 100)
+    first = each.groupBy("asked", "id").agg(F.min(F.struct("query", "score")).alias("f")).select("asked", "id", "f.query", "f.score")
+    return within_budget(first, 4000, 1 << 30, "asked", [F.desc("score"), F.col("id")], F.expr(_TOKENS)).select("asked", "id", "query", "score")

@@ -32,28 +32,46 @@ def test_an_entry_with_file_and_line_matches_other_files_by_line(spark):
     assert m({"rules": ["x"]}) == [] and len(m({})) == 4 and m({"enabled": False}) == []
 
 
-def test_greedy_dedup_equals_the_sequential_fold(spark):
-    rnd = random.Random(5)
-    sev = ["critical", "high", "medium", "low", "odd"]
-    rows = [(i, rnd.choice(["sql-a", "xss-b", "style"]), rnd.choice(sev), "m", rnd.choice(["p", "q", None]), rnd.randint(0, 30)) for i in range(300)]
-    df = spark.createDataFrame(rows, "seq long, rule_id string, severity string, message string, path string, line int").repartition(5)
-    rank = {"critical": 4, "high": 3, "medium": 2, "low": 1, "odd": 1}
-    kept = {}
-    free = []
-    for seq, rule, s, _, path, line in rows:
+def sequential_dedup(rows):
+    """(path, line, rule, class, rank, value) in order to the values that stay."""
+    alive, free = [], []
+    for path, line, rule, cls, rank, value in rows:
         if path is None:
-            free.append(seq)
+            free.append(value)
+            continue
+        same = [x for x in alive if x["at"] == (path, line, rule)]
+        if same:
+            if rank > same[0]["rank"]:
+                same[0].update(rank=rank, value=value)  # its place and class in the index stay
+            continue
+        near = [x for x in alive if x["at"][0] == path and x["cls"] == cls and abs(x["at"][1] - line) <= 3]
+        if near and rank <= near[0]["rank"]:
             continue
-        own = kept.setdefault((path, rule), [])
-        near = next((k for k in own if abs(k[0] - line) <= 3), None)
-        if near is None:
-            own.append([line, rank[s], seq])
-        elif rank[s] > near[1]:
-            near[1:] = [rank[s], seq]
-    want = sorted(free + [k[2] for own in kept.values() for k in own])
+        if near:
+            alive.remove(near[0])
+        alive.append({"at": (path, line, rule), "cls": cls, "rank": rank, "value": value})
+    return free + [x["value"] for x in alive]
+
+
+RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}  # others 1
+
+
+@pytest.mark.parametrize("seed,most", [(5, 30), (6, 12), (7, 200)])
+def test_greedy_dedup_equals_the_sequential_fold(spark, seed, most):
+    rnd = random.Random(seed)
+    rows = [(i, rnd.choice(["sql-a", "sql-b", "xss-b", "style"]), rnd.choice([*RANK, "odd"]), rnd.choice(["m", "a secret"]), rnd.choice(["p", "q", None]), rnd.randint(0, most)) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, rule_id string, severity string, message string, path string, line int").repartition(5)
+    of = lambda rule, message: "SQL_INJECTION" if "sql" in rule else "XSS" if "xss" in rule else "HARDCODED_SECRET" if "secret" in message else rule
+    want = sorted(sequential_dedup((path, line, rule, of(rule, m), RANK.get(s, 1), seq) for seq, rule, s, m, path, line in rows))
     assert sorted(r["seq"] for r in O.dedup_findings(df).collect()) == want
 
 
+def test_a_replaced_finding_stands_at_its_own_line(spark):
+    rows = [(1, "sql", "low", "", "f", 10), (2, "sql-b", "high", "", "f", 13), (3, "sql-c", "low", "", "f", 16)]
+    df = spark.createDataFrame(rows, "seq long, rule_id string, severity string, message string, path string, line int")
+    assert [r["line"] for r in O.dedup_findings(df).collect()] == [13]
+
+
 def test_unknown_files_and_line_zero_pass_the_diff_filter(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 6), (3, "a", 0), (4, "z", 9)], "seq long, path string, line int")
     changed = spark.createDataFrame([("a", 5), ("a", 5)], "path string, line int")
@@ -189,3 +207,45 @@ def test_web_contracts_meet_by_route(spark):
     found = contracts.operations(spark.createDataFrame(rows, FILES))
     assert found.count() == 4
     assert sorted(tuple(r) for r in contracts.gaps(found).collect()) == [("missing", "any", "/none"), ("unused", "any", "/old")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycle_groups_are_the_strong_components(spark, seed):
+    from quarry.operators.graphs import cycle_groups
+
+    rnd = random.Random(seed)
+    edges = {(rnd.randint(0, 24), rnd.randint(0, 24)) for _ in range(34)}
+    reach = {a: {a} for a in range(25)}
+    for _ in range(25):
+        for a, b in edges:
+            for r in reach.values():
+                if a in r:
+                    r.add(b)
+    want = {a: max(b for b in reach[a] if a in reach[b]) for a in range(25) if (a, a) in edges or any(b != a and a in reach[b] for b in reach[a])}
+    got = cycle_groups(spark.createDataFrame([(f"{a:02}", f"{b:02}") for a, b in edges], "src string, dst string")).collect()
+    assert {int(r["node"]): int(r["group"]) for r in got} == want
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_search_equals_all_pairs(spark, block):
+    from quarry.operators.similarity import search
+
+    rnd = random.Random(3)
+    rows = [(i, i % 4, [rnd.gauss(0, 1) for _ in range(5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(3).cache()
+    rows = [tuple(r) for r in df.collect()]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = []
+    for q, _, v in rows:
+        if q % 10 == 0:
+            near = sorted((-round(dot(v, w) / (dot(v, v) * dot(w, w)) ** 0.5, 6), i) for i, label, w in rows if label != 2)[:7]
+            want += [(q, i, k + 1) for k, (_, i) in enumerate(near)]
+    got = search(df, df.where("vec_id % 10 = 0"), 7, F.col("label") != 2, block=block)
+    assert sorted((r["query"], r["id"], r["rank"]) for r in got.collect()) == sorted(want)
+    assert search(df, df.where("false"), 7).count() == 0
+
+
+def test_eviction_keeps_four_fifths_of_the_cap(spark):
+    df = spark.createDataFrame([(i, i // 2) for i in range(30)], "k long, at long")
+    assert O.evicted(df, "at", "k", 30).count() == 30
+    assert sorted(r["k"] for r in O.evicted(df, "at", "k", 20).collect()) == list(range(14, 30))

@@ -10,6 +10,7 @@ from quarry.functions import text
 from quarry.operators import findings as O
 from quarry.plans import catalog, more
 from quarry.plans.carriers import carrier
+from tests.test_operators import RANK, sequential_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,17 +18,11 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 def test_d1_folds_all_findings(spark):
     df = carrier(spark, SF, "findings").withColumn("cls", O.vulnerability_class(F.col("rule_id"), F.col("message")))
-    rank = {"critical": 4, "high": 3, "medium": 2, "low": 1}  # others 1
-    kept = {}
-    for r in sorted(df.collect(), key=lambda r: (r["seq"], r["frame_id"], r["rule_id"], r["severity"], r["message"], r["path"], r["line"])):
-        own = kept.setdefault((r["path"], r["cls"]), [])
-        near = next((k for k in own if abs(k[0] - r["line"]) <= 3), None)
-        if near is None:
-            own.append([r["line"], rank.get(r["severity"], 1), (r["seq"], r["path"], r["line"], r["severity"])])
-        elif rank.get(r["severity"], 1) > near[1]:
-            near[1:] = [rank.get(r["severity"], 1), (r["seq"], r["path"], r["line"], r["severity"])]
+    columns = [c for c in df.columns if c not in ("seq", "cls")]
+    key = lambda r: (r["seq"], [(r[c] is not None, r[c]) for c in columns])
+    rows = [(r["path"], r["line"], r["rule_id"], r["cls"], RANK.get(r["severity"], 1), (r["seq"], r["path"], r["line"], r["severity"])) for r in sorted(df.collect(), key=key)]
     got = catalog.queries()["d1_dedup"](spark, SF).collect()
-    assert sorted(map(tuple, got)) == sorted(k[2] for own in kept.values() for k in own)
+    assert sorted(map(tuple, got)) == sorted(sequential_dedup(rows))
 
 
 def test_j20_matches_all_pairs(spark):
