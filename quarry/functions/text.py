@@ -97,12 +97,35 @@ def masked_quotes(line: Column) -> Column:
 
 
 #: Words that mark a quoted value as a placeholder.
-PLACEHOLDERS = ("your_", "example", "placeholder", "changeme", "xxx", "todo", "<", "none", "null")
+PLACEHOLDERS = ("your_password", "password_here", "enter_password", "change_me", "placeholder", "example", "todo", "xxx")
 
 
 def likely_password(quoted: Column) -> Column:
+    """Whether a quoted value is no placeholder, no template variable and not shorter than 3."""
     v = F.lower(quoted)
-    return reduce(Column.__and__, [~v.contains(p) for p in PLACEHOLDERS], (F.length(v) >= 3) & ~v.contains("${") & ~v.contains("{{"))
+    return reduce(Column.__and__, [~v.contains(p) for p in (*PLACEHOLDERS, "{{", "}}", "${")], F.length(v) >= 3)
+
+
+#: What is taken out of a text before it goes into a prompt, in this order, and what stands there then.
+PROMPT_FILTERS = (
+    (r"(?i)ignore.*instruction", "[FILTERED_INSTRUCTION_OVERRIDE]"),
+    (r"(?i)forget.*prompt", "[FILTERED_CONTEXT_RESET]"),
+    (r"(?i)system.*prompt", "[FILTERED_SYSTEM_REF]"),
+    (r"<\s*/?system", "[FILTERED_XML_SYSTEM]"),
+    (r"<\s*/?prompt", "[FILTERED_XML_PROMPT]"),
+)
+COMMENT_STARTS = ("#", "//", "/*", '"""', "'''")
+
+
+def escaped_prompt(text: Column, steps: int = len(PROMPT_FILTERS)) -> Column:
+    for pattern, instead in PROMPT_FILTERS[:steps]:
+        text = F.regexp_replace(text, pattern, instead)
+    return text
+
+
+def starts_comment(code: Column) -> Column:
+    """Whether code starts with a comment or docstring, after white space."""
+    return reduce(Column.__or__, [F.startswith(F.regexp_replace(code, r"^\s+", ""), F.lit(m)) for m in COMMENT_STARTS])
 
 
 def finding_keywords(text: Column, stop: tuple[str, ...] = ("this", "that", "with", "from", "have", "code", "line", "file", "found")) -> Column:

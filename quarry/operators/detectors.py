@@ -46,13 +46,6 @@ PATH_TRAVERSAL = Conjunction(
     r"os\.path\.basename\s*\(|path\.basename\s*\(|sanitize_path|safe_path|validate_path|filepath\.Clean\s*\(|filepath\.Abs\s*\(|realpath\s*\(",
     2,
 )
-TIMEOUTS = (
-    Rule("timeout-requests", r"requests\.(?:get|post|put|delete|patch)\((?:(?!timeout).)*?\)", "medium"),
-    Rule("timeout-httpx", r"httpx\.(?:get|post|put|delete|patch)\((?:(?!timeout).)*?\)", "medium"),
-    Rule("timeout-fetch", r"fetch\((?:(?!signal).)*?\)", "medium"),
-    Rule("timeout-axios", r"axios\.(?:get|post|put|delete|patch)\((?:(?!timeout).)*?\)", "medium"),
-    Rule("timeout-go-http", r"\bhttp\.(?:Get|Post|PostForm)\s*\(", "medium"),
-)
 WEAK_HASH = r"hashlib\.(?:md5|sha1)\s*\(|crypto\.createHash\s*\(\s*['\"](?:md5|sha1)['\"]\s*\)|\bmd5\.New\s*\(\s*\)|\bsha1\.New\s*\(\s*\)"
 
 

@@ -119,16 +119,69 @@ def repeated_lines(lines: DataFrame, least: int = 20) -> DataFrame:
     return first.where("line > first_line").select("path", "line", "first_line")
 
 
-def line_blocks(lines: DataFrame, least: int = 3) -> DataFrame:
-    """Runs of `least` or more equal consecutive lines at two places of a file: path, a, b (first lines), n.
+def similar_lines(texts: list[str], least: float) -> set[tuple[int, int]]:
+    """Ordered pairs of places in `texts` (all different) whose sequence ratio is `least` or more.
 
-    Lines meet by content, runs are islands of equal distance. Blank and comment lines meet nothing; of a
-    line that stands in a file often, only neighbouring places are paired, so no file's pairs grow with the square.
+    Two texts share no more characters than both have of each, which the ratio's length bound turns into a filter
+    that loses no pair; only what passes is compared.
     """
-    t = F.trim("text")
-    rows = lines.where((t != "") & ~F.startswith(t, F.lit("#")) & ~F.startswith(t, F.lit("//"))).select("path", "line", F.xxhash64(t).alias("h"))
-    seen = Window.partitionBy("path", "h").orderBy("line")
-    pairs = rows.withColumn("before", F.lag("line").over(seen)).where("before is not null").withColumn("gap", F.col("line") - F.col("before"))
-    run = Window.partitionBy("path", "gap").orderBy("line")
-    isles = pairs.withColumn("isle", F.col("line") - F.row_number().over(run))
-    return isles.groupBy("path", "gap", "isle").agg(F.min("before").alias("a"), F.min("line").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("path", "a", "b", "n")
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    size = np.array([len(t) for t in texts])
+    counts = np.zeros((len(texts), 64), np.int32)
+    for i, t in enumerate(texts):
+        np.add.at(counts[i], np.fromiter((ord(c) % 64 for c in t), np.int64, len(t)), 1)
+    found = {(i, i) for i in range(len(texts))}
+    for i, t in enumerate(texts):
+        most = np.minimum(counts[i], counts[i + 1 :]).sum(1)
+        for j in (np.flatnonzero(2.0 * most >= least * (size[i] + size[i + 1 :])) + i + 1).tolist():
+            for a, b in ((i, j), (j, i)):
+                if SequenceMatcher(None, texts[a], texts[b]).ratio() >= least:
+                    found.add((a, b))
+    return found
+
+
+def blocks_of(content: str | None, lines: int, least: float) -> list[tuple[int, int, int]]:
+    """(first line, first line of its repeat, lines) of every repeated block of one text, numbered from 1."""
+    import numpy as np
+
+    rows = [t.strip() for t in (content or "").split("\n")]
+    number: dict[str, int] = {}
+    place = np.array([number.setdefault(t, len(number)) if t and not t.startswith(("#", "//")) else -1 for t in rows])
+    if not number:
+        return []
+    names = len(number)
+    codes = np.array(sorted(a * names + b for a, b in similar_lines(list(number), least)))
+    out = []
+    for apart in range(lines, len(rows)):
+        a, b = place[:-apart], place[apart:]
+        code = a * names + b
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        same = (a >= 0) & (b >= 0) & (codes[at] == code)
+        if same.any():
+            edges = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)))
+            for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                # a block ends where its repeat begins; what is left of the run is a block of its own
+                out += [(k + 1, k + apart + 1, min(apart, end - k)) for k in range(start, end, apart) if min(apart, end - k) >= lines]
+    return sorted(out)
+
+
+def line_blocks(files: DataFrame, lines: int = 3, least: float = 0.8) -> DataFrame:
+    """Blocks of `lines` or more consecutive similar lines at two places of a file: path, a, b (first lines), n.
+
+    Every pair of places counts. Lines are similar if their sequence ratio is `least` or more, without the white space
+    around them; blank and comment lines are similar to none. Work grows with the square of a file's lines; a file's
+    content is one value, so it is read in one task whatever is done with it.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(path, *x) for path, content in zip(batch.column(0).to_pylist(), batch.column(1)) for x in blocks_of(content.as_py(), lines, least)]
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32()))], names=["path", "a", "b", "n"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, a int, b int, n int")

@@ -13,7 +13,7 @@ from quarry.sources import diffs, python_ast
 from quarry.streaming import lifecycle
 
 CARRIERS["code"] = """SELECT p_partkey AS id, 'pkg/' || p_brand || '/m' || CAST(p_partkey AS STRING) || '.py' AS path, 'python' AS language,
- 'import os' || chr(10) || 'import json' || chr(10) || 'class Part' || CAST(p_partkey AS STRING) || '(Base):' || chr(10) || '    def load(self, filename, a, b, c, d, e):' || chr(10) ||
+ 'import os' || chr(10) || 'import json' || chr(10) || 'class Part' || CAST(p_partkey AS STRING) || '(Base):' || chr(10) || '    def load(self, filename, a, b' || CASE WHEN p_size % 2 = 0 THEN '):' ELSE ', c, d, e):' END || chr(10) || CASE WHEN p_size % 5 = 0 THEN '        "Loads."' ELSE '        # loads' END || chr(10) ||
  CASE p_size % 6 WHEN 0 THEN '        return open(filename)' WHEN 1 THEN '        q = "SELECT * FROM t WHERE id=" + filename' || chr(10) || '        return db.execute(q)'
   WHEN 2 THEN '        # TODO: tidy ' || p_name || chr(10) || '        return redirect(next_url)' WHEN 3 THEN '        x = input()' || chr(10) || '        os.system(x)' || chr(10) || '        return 1' || chr(10) || '        y = 2' || chr(10) || '        requests.get(x)'
   WHEN 4 THEN '        try:' || chr(10) || '            el.innerHTML = filename' || chr(10) || '        except:' || chr(10) || '            pass' ELSE '        password = hashlib.md5(filename)' || chr(10) || '        self.state = password' || chr(10) || '        return os.path.basename(filename)' END AS content FROM part"""
@@ -66,11 +66,6 @@ def c27(code):
     return D.todo_comments(code).select("path", "line", "detail")
 
 
-@query("c32_timeouts", None, ("code",))
-def c32(code):
-    return R.match_patterns(code, D.TIMEOUTS).select("path", "line", "rule_id")
-
-
 @query("c33_no_breaker", f"WITH lines AS ({_CODE_LINES}) SELECT path, min(line) FILTER (contains(text, 'execute')) AS line, 'no-breaker' AS rule_id, 'medium' AS severity FROM lines GROUP BY path HAVING bool_or(contains(text, 'execute')) AND NOT bool_or(contains(text, 'breaker'))", ("code",))
 def c33(code):
     return D.absent_guard(code, "execute", "breaker", "no-breaker")
@@ -81,18 +76,23 @@ def c25(code):
     return D.structure_findings(python_ast.parse(code)).where(F.col("rule_id").isin("bare-except", "empty-except")).select("path", "rule_id")
 
 
-@query("c36_dead_code", "SELECT path, 7 AS line FROM code WHERE contains(content, 'y = 2')", ("code",))
+@query("c36_dead_code", "SELECT path, 8 AS line FROM code WHERE contains(content, 'y = 2')", ("code",))
 def c36(code):
     tree = python_ast.parse(code)
     return tree.where("kind = 'dead'").select("path", (F.col("line") - 1).cast("int").alias("line"))
 
 
-@query("c49_wide_functions", "SELECT path, 'load' AS name, 6 AS n_params FROM code", ("code",))
+@query("c49_wide_functions", "SELECT path, 'load' AS name, 6 AS n_params FROM code WHERE contains(content, 'c, d, e')", ("code",))
 def c49(code):
     return python_ast.parse(code).where("kind = 'function' and n_params > 5").select("path", "name", F.col("n_params").cast("int").alias("n_params"))
 
 
-@query("c53_doc_coverage", "SELECT path, 0.0::DOUBLE AS coverage FROM code", ("code",))
+@query("x32_halstead", None, ("code",))
+def x32(code):
+    return python_ast.halstead(code).select("path", "vocabulary", "length", *[F.round(c, 6).alias(c) for c in ("volume", "difficulty", "effort")])
+
+
+@query("c53_doc_coverage", "SELECT path, CASE WHEN contains(content, 'Loads.') THEN 50.0 ELSE 0.0 END::DOUBLE AS coverage FROM code", ("code",))
 def c53(code):
     return D.documentation_coverage(python_ast.parse(code)).select("path", F.col("coverage").cast("double").alias("coverage"))
 
@@ -122,7 +122,7 @@ def c16(code):
     return taint.taint_paths(code).select("path", "source", "sink", "sink_type")
 
 
-@query("c22_taint_findings", "SELECT path, 6 AS line, 'taint-cmd-argument' AS rule_id, 'high' AS severity FROM code WHERE contains(content, 'os.system(x)')", ("code",))
+@query("c22_taint_findings", "SELECT path, 7 AS line, 'taint-cmd-argument' AS rule_id, 'high' AS severity FROM code WHERE contains(content, 'os.system(x)')", ("code",))
 def c22(code):
     return taint.taint_findings(taint.taint_paths(code)).select("path", "line", "rule_id", "severity")
 

@@ -121,38 +121,9 @@ def x40(findings):
 
 
 # Patterns of the further line detectors.
-PASSWORDS = (R.Rule("hardcoded-password", r"(?i)\b(?:password|passwd|pwd|pass|secret|auth|credential|token|key)\s*[=:]\s*[\"'][^\"'{}]+[\"']", "critical"),)
-HTTP = (R.Rule("cors-wildcard", r"Access-Control-Allow-Origin.*\*|origins?\s*=\s*[\"']\*", "high"), R.Rule("bind-all", r"0\.0\.0\.0", "medium"), R.Rule("debug-mode", r"debug\s*=\s*True", "high"))
-JWT = (R.Rule("jwt-none", r"(?i)algorithms?\s*=\s*\[?[\"']none", "critical"), R.Rule("jwt-unverified", r"verify(?:_signature)?[\"']?\s*[=:]\s*False", "high"))
-LOGGING = (R.Rule("sensitive-log", r"(?:print|logging\.\w+|logger\.\w+)\s*\(.*(?:password|passwd|secret|token|api_key|credential)", "high"),)
 DEBUG = (R.Rule("debug-call", r"\b(?:print|breakpoint|pdb\.set_trace)\s*\(|console\.log\s*\(|\bdebugger\b", "low"),)
 
 
-@query("c3_passwords", _match_sql(PASSWORDS), ("code",))
-def c3(code):
-    return R.match_patterns(code, PASSWORDS).select("path", "line", "rule_id")
-
-
-@query("c3_passwords_in_documents", r"""WITH lines AS (SELECT path, generate_subscripts(string_split(coalesce(content, ''), chr(10)), 1) AS line, unnest(string_split(coalesce(content, ''), chr(10))) AS text FROM files) SELECT path, line, 'hardcoded-password' AS rule_id FROM lines WHERE regexp_matches(text, '(?i)\b(?:password|passwd|pwd|pass|secret|auth|credential|token|key)\s*[=:]\s*["''][^"''{}]+["'']')""", ("files",))
-def c3_docs(files):
-    return R.match_patterns(files, PASSWORDS).select("path", "line", "rule_id")
-
-
-@query("c4_http", _match_sql(HTTP), ("code",))
-def c4(code):
-    return R.match_patterns(code, HTTP).select("path", "line", "rule_id")
-
-
-@query("c7_jwt", _match_sql(JWT), ("code",))
-def c7(code):
-    return R.match_patterns(code, JWT).select("path", "line", "rule_id")
-
-
-@query("c11_sensitive_logging", _match_sql(LOGGING), ("code",))
-def c11(code):
-    return R.match_patterns(code, LOGGING).select("path", "line", "rule_id")
-
-
 @query("c26_debug_calls", _match_sql(DEBUG), ("code",))
 def c26(code):
     return R.match_patterns(code, DEBUG).select("path", "line", "rule_id")
@@ -169,7 +140,7 @@ def c50(code):
     return python_ast.parse(code).where((F.col("kind") == "literal") & (F.col("name") == "int") & ~F.col("value").isin(*ok)).select("path", "value")
 
 
-@query("c55_data_clumps", "SELECT 'a,b,c' AS clump, count(*) AS n FROM code UNION ALL SELECT 'b,c,d', count(*) FROM code UNION ALL SELECT 'c,d,e', count(*) FROM code UNION ALL SELECT 'a,b,filename', count(*) FROM code", ("code",))
+@query("c55_data_clumps", "SELECT clump, n FROM (SELECT clump, count(*) AS n FROM code, (VALUES ('a,b,c'), ('b,c,d'), ('c,d,e'), ('a,b,filename')) AS v(clump) WHERE contains(content, 'c, d, e') OR clump = 'a,b,filename' GROUP BY clump) WHERE n > 2", ("code",))
 def c55(code):
     f = python_ast.parse(code).where("kind = 'function' and n_params >= 3")
     runs = f.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(F.split("value", ",")) - 3), lambda i: F.array_join(F.array_sort(F.slice(F.split("value", ","), i + 1, 3)), ","))).alias("clump"))

@@ -241,9 +241,11 @@ def x21(docs):
     return docs.select("doc_id", F.sha2(text.masked_quotes(F.col("text")), 256).alias("h"))
 
 
-@query("x22_likely_password", "SELECT p_partkey, length(p_name) >= 3 AND NOT contains(lower(p_name), 'none') AND NOT contains(lower(p_name), 'todo') AS likely FROM part", (), ("part",))
+@query("x22_likely_password", "SELECT p_partkey, length(v) >= 3 AND NOT regexp_matches(v, 'your_password|password_here|enter_password|change_me|placeholder|example|todo|xxx|[{][{]|[}][}]|[$][{]') AS likely FROM (SELECT p_partkey, lower(CASE p_size % 7 WHEN 0 THEN 'Your_Password1' WHEN 1 THEN substr(p_name, 1, 2) WHEN 2 THEN '{{' || p_name || '}}' WHEN 3 THEN p_name || ' TODO' WHEN 4 THEN '${' || p_name || '}' ELSE p_name END) AS v FROM part)", (), ("part",))
 def x22(part):
-    return part.select("p_partkey", text.likely_password(F.col("p_name")).alias("likely"))
+    kinds = {0: F.lit("Your_Password1"), 1: F.substring("p_name", 1, 2), 2: F.concat(F.lit("{{"), "p_name", F.lit("}}")), 3: F.concat("p_name", F.lit(" TODO")), 4: F.concat(F.lit("${"), "p_name", F.lit("}"))}
+    value = F.coalesce(*[F.when(F.col("p_size") % 7 == k, v) for k, v in kinds.items()], F.col("p_name"))
+    return part.select("p_partkey", text.likely_password(value).alias("likely"))
 
 
 @query("x24_keywords", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda w: length(w) > 3))), ',') AS words FROM part", (), ("part",))

@@ -255,14 +255,11 @@ def c58(files):
     return repeated_lines(R.lines(files))
 
 
-@query("j15_line_blocks", f"""WITH lines AS ({_LINES}), r AS (SELECT path, line, trim(text, ' ') AS t FROM lines WHERE trim(text, ' ') <> '' AND NOT starts_with(trim(text, ' '), '#') AND NOT starts_with(trim(text, ' '), '//')),
-p AS (SELECT path, line, lag(line) OVER (PARTITION BY path, t ORDER BY line) AS before FROM r), g AS (SELECT *, line - before AS gap FROM p WHERE before IS NOT NULL),
-i AS (SELECT *, line - row_number() OVER (PARTITION BY path, gap ORDER BY line) AS isle FROM g)
-SELECT path, min(before) AS a, min(line) AS b, count(*) AS n FROM i GROUP BY path, gap, isle HAVING count(*) >= 3""", ("files",))
+@query("j15_line_blocks", None, ("files",))
 def j15(files):
     from quarry.operators.similarity import line_blocks
 
-    return line_blocks(R.lines(files))
+    return line_blocks(files)
 
 
 # searches

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = (
     "path string, kind string, name string, parent string, line int, end_line int, n_params int, nesting int, complexity int, "
@@ -109,3 +110,45 @@ def parse(files: DataFrame) -> DataFrame:
         return out
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def terms(files: DataFrame) -> DataFrame:
+    """path, kind (operator or operand), term: a row for each operator, name and constant of the files that parse."""
+
+    def run(batches):
+        import ast
+
+        import pyarrow as pa
+
+        signs = (ast.operator, ast.boolop, ast.cmpop, ast.Not)
+        left_out = (ast.LShift, ast.RShift, ast.BitOr, ast.BitXor, ast.BitAnd, ast.MatMult)
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    tree = ast.parse(content.as_py() or "")
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    continue
+                for n in ast.walk(tree):
+                    if isinstance(n, signs) and not isinstance(n, left_out):
+                        rows.append((path, "operator", type(n).__name__))
+                    elif isinstance(n, ast.Name):
+                        rows.append((path, "operand", n.id))
+                    elif isinstance(n, ast.Constant):
+                        rows.append((path, "operand", str(n.value)))
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "kind", "term"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, kind string, term string")
+
+
+def halstead(files: DataFrame) -> DataFrame:
+    """path, vocabulary, length, volume, difficulty, effort: from the different and all operators and operands."""
+    sign = F.col("kind") == "operator"
+    g = terms(files).groupBy("path").agg(
+        F.countDistinct(F.when(sign, F.col("term"))).alias("n1"), F.countDistinct(F.when(~sign, F.col("term"))).alias("n2"), F.count_if(sign).alias("all1"), F.count_if(~sign).alias("all2")
+    )
+    g = g.select("path", "n1", "n2", "all2", (F.col("n1") + F.col("n2")).alias("vocabulary"), (F.col("all1") + F.col("all2")).alias("length"))
+    volume = F.when(F.col("vocabulary") > 0, F.col("length") * F.log2("vocabulary")).otherwise(0.0)
+    difficulty = F.when(F.col("n2") > 0, F.col("n1") / 2 * (F.col("all2") / F.col("n2"))).otherwise(0.0)
+    return g.select("path", "vocabulary", "length", volume.alias("volume"), difficulty.alias("difficulty"), (difficulty * volume).alias("effort"))

@@ -44,3 +44,59 @@ def test_j20_matches_all_pairs(spark):
     got = more.j20(names.where(F.col("name").isin(*consumers)), names.where(F.col("name").isin(*providers)))
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert {("getColourTable", "getColorTable"), ("fetchUserOrderItem", "fetchOurOrderItem"), ("computeTotals", "recomputeTotals")} <= {w[:2] for w in want}
+
+
+def pairwise_blocks(content):
+    """Every pair of places, line by line."""
+    rows = content.split("\n")
+
+    def similar(x, y):
+        x, y = x.strip(), y.strip()
+        return bool(x and y) and not x.startswith(("#", "//")) and not y.startswith(("#", "//")) and SequenceMatcher(None, x, y).ratio() >= 0.8
+
+    out, done = [], set()
+    for i in range(len(rows)):
+        for j in range(i + 3, len(rows)):
+            n = 0
+            while (i, j) not in done and i + n < j and j + n < len(rows) and similar(rows[i + n], rows[j + n]):
+                n += 1
+            if n >= 3:
+                out.append((i + 1, j + 1, n))
+                done |= {(i + k, j + k) for k in range(n)}
+    return sorted(out)
+
+
+def test_line_blocks_match_every_pair_of_places(spark):
+    import random
+
+    from quarry.operators.similarity import line_blocks
+
+    rnd = random.Random(2)
+    pool = ["total = total + price", "total = total + prices", "print(total)", "print (total)", "}", "", "# note", "return compute(total, tax)", "x"]
+    texts = ["\n".join(rnd.choice(pool) for _ in range(n)) for n in (0, 1, 5, 20, 40, 60)] + ["\n".join(["a = 1", "b = 2", "c = 3"] * 4), "\n".join(["same"] * 13), "A\nB\nC\nq\nA\nz\nA\nB\nC"]
+    got = line_blocks(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("none", None)], "path string, content string")).collect()
+    want = [(str(i), *b) for i, t in enumerate(texts) for b in pairwise_blocks(t)]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
+
+
+def test_halstead_counts_operators_and_operands(spark):
+    from math import log2
+
+    from quarry.sources.python_ast import halstead
+
+    code = [("a", "x = a + b * 2\ny = a and not b or x < 2"), ("b", "pass"), ("c", "def ("), ("d", "a << b | c")]
+    got = {r["path"]: r for r in halstead(spark.createDataFrame(code, "path string, content string")).collect()}
+    # a: + * and not or < once each; x a b 2 y, and a b x 2 again
+    assert set(got) == {"a", "d"}
+    assert (got["a"]["vocabulary"], got["a"]["length"]) == (6 + 5, 6 + 9)
+    assert got["a"]["volume"] == pytest.approx(15 * log2(11)) and got["a"]["difficulty"] == pytest.approx(3 * 9 / 5)
+    assert got["d"]["vocabulary"] == 3 and got["d"]["difficulty"] == 0
+
+
+def test_timeouts_skip_comments_and_see_the_limit(spark):
+    from quarry.operators.line_checks import timeout_findings
+
+    text = "REQUESTS.get(u)\n# requests.get(u)\nrequests.get(u, timeout=1)\n&http.Client{}\n&http.Client{ Timeout: 3}\naiohttp.ClientSession()\nhttp.Get(u)"
+    got = timeout_findings(spark.createDataFrame([("f", "go", text)], "path string, language string, content string")).collect()
+    assert {(r["line"], r["rule_id"]) for r in got} == {(1, "timeout-requests"), (4, "timeout-go-client"), (6, "timeout-aiohttp"), (7, "timeout-go-http")}
+    assert {r["severity"] for r in got} == {"high"}
