@@ -119,11 +119,21 @@ def repeated_lines(lines: DataFrame, least: int = 20) -> DataFrame:
     return first.where("line > first_line").select("path", "line", "first_line")
 
 
+def common_length(marks: dict[str, int], n: int, other: str) -> int:
+    """The length of the longest common subsequence of `other` and a text of n characters, whose places `marks` has as bits."""
+    whole = (1 << n) - 1
+    left = whole
+    for c in other:
+        met = left & marks.get(c, 0)
+        left = ((left + met) | (left - met)) & whole
+    return n - left.bit_count()
+
+
 def similar_lines(texts: list[str], least: float) -> set[tuple[int, int]]:
     """Ordered pairs of places in `texts` (all different) whose sequence ratio is `least` or more.
 
-    Two texts share no more characters than both have of each, which the ratio's length bound turns into a filter
-    that loses no pair; only what passes is compared.
+    Two texts share no more characters than both have of each, and no more in order than their longest common
+    subsequence has; both bound the ratio, so these filters lose no pair, and only what passes is compared.
     """
     from difflib import SequenceMatcher
 
@@ -136,7 +146,12 @@ def similar_lines(texts: list[str], least: float) -> set[tuple[int, int]]:
     found = {(i, i) for i in range(len(texts))}
     for i, t in enumerate(texts):
         most = np.minimum(counts[i], counts[i + 1 :]).sum(1)
+        marks: dict[str, int] = {}
+        for k, c in enumerate(t):
+            marks[c] = marks.get(c, 0) | 1 << k
         for j in (np.flatnonzero(2.0 * most >= least * (size[i] + size[i + 1 :])) + i + 1).tolist():
+            if 2.0 * common_length(marks, len(t), texts[j]) < least * (len(t) + len(texts[j])):
+                continue
             for a, b in ((i, j), (j, i)):
                 if SequenceMatcher(None, texts[a], texts[b]).ratio() >= least:
                     found.add((a, b))
