@@ -41,19 +41,62 @@ def packed_units(units: DataFrame, budget: int, overhead: int = 0, least: int =
     return rows.repartition("path").sortWithinPartitions("path", "line").mapInPandas(run, schema)
 
 
-def indented_block(lines: DataFrame, start: str) -> DataFrame:
-    """path, line, last: the end of each block that a line matching `start` opens, by indentation.
+def _ends(files: DataFrame, start: str, close) -> DataFrame:
+    """path, line, last of each block that a line matching `start` opens, by `close` over a file's lines in order."""
 
-    A block ends before the first later line that is not blank and not deeper; the dedent is found by one
-    window over all lines: the next line of each indent or less is the least of running minima.
-    """
-    indent = F.length("text") - F.length(F.ltrim("text"))
-    rows = lines.where(F.trim("text") != "").withColumn("indent", indent)
-    heads = rows.where(F.col("text").rlike(start)).select("path", "line", F.col("indent").alias("base"))
-    later = rows.select(F.col("path").alias("p"), F.col("line").alias("l"), F.col("indent").alias("i"))
-    ends = heads.join(later, (F.col("path") == F.col("p")) & (F.col("l") > F.col("line")) & (F.col("i") <= F.col("base")), "left").groupBy("path", "line").agg(F.min("l").alias("next"))
-    total = rows.groupBy("path").agg(F.max("line").alias("total"))
-    return ends.join(total, "path").select("path", "line", F.coalesce(F.col("next") - 1, F.col("total")).alias("last"))
+    def run(batches):
+        import re
+
+        import pyarrow as pa
+
+        head = re.compile(start)
+        for batch in batches:
+            rows = [(path, a, b) for path, content in zip(batch.column(0).to_pylist(), batch.column(1)) for a, b in close((content.as_py() or "").split("\n"), head)]
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()))], names=["path", "line", "last"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, line int, last int")
+
+
+def _by_indent(rows: list[str], head):
+    open_heads: list[tuple[int, int]] = []  # (line, indent), each deeper than the one before
+    filled = 0  # the last line that is not blank
+    for i, row in enumerate(rows, 1):
+        if not row.strip():
+            continue
+        indent = len(row) - len(row.lstrip())
+        while open_heads and indent <= open_heads[-1][1]:
+            yield open_heads.pop()[0], filled
+        if head.search(row):
+            open_heads.append((i, indent))
+        filled = i
+    yield from ((line, filled) for line, _ in open_heads)
+
+
+def _by_brace(rows: list[str], head):
+    open_heads: list[list] = []  # [line, depth before it, whether a brace has opened]
+    depth = 0
+    for i, row in enumerate(rows, 1):
+        if head.search(row):
+            open_heads.append([i, depth, False])
+        depth += row.count("{") - row.count("}")
+        for h in open_heads:
+            h[2] |= "{" in row
+        yield from ((h[0], i) for h in open_heads if h[2] and depth <= h[1])
+        open_heads = [h for h in open_heads if not (h[2] and depth <= h[1])]
+    yield from ((h[0], len(rows)) for h in open_heads)
+
+
+def indented_blocks(files: DataFrame, start: str) -> DataFrame:
+    """The blocks that a matching line opens by indentation: they end before the first later line that is neither
+    blank nor deeper, without the blank lines before it. One pass over a file, with the open blocks on a stack."""
+    return _ends(files, start, _by_indent)
+
+
+def brace_blocks(files: DataFrame, start: str) -> DataFrame:
+    """The blocks that a matching line opens by braces: they end on the line where, after a first brace, as many have
+    closed as opened since the block's own line; else with the file. One pass over a file."""
+    return _ends(files, start, _by_brace)
 
 
 def sequence_ratio(a, b, least: float = 0.0):

@@ -176,3 +176,33 @@ def evicted(entries: DataFrame, at: str, key: str, most: int) -> DataFrame:
     if len(entries.select(key).limit(most + 1).collect()) <= most:
         return entries
     return entries.orderBy(F.desc(at), key).limit(most * 4 // 5)
+
+
+def nearest_function(targets: DataFrame, functions: DataFrame) -> DataFrame:
+    """Adds number: the function (path, number, first, last) of the target's file that encloses or is nearest to its line.
+
+    Ties go to the first by number; targets in files without functions go. A file's functions are one array, so a
+    target meets them in its own row and the join does not multiply rows.
+    """
+    per = functions.groupBy("path").agg(F.collect_list(F.struct("first", "last", "number")).alias("of"))
+    apart = F.transform("of", lambda f: F.struct(F.greatest(f["first"] - F.col("line"), F.col("line") - f["last"], F.lit(0)).alias("apart"), f["number"].alias("number")))
+    return targets.join(per, "path").withColumn("number", F.array_min(apart)["number"]).drop("of")
+
+
+def module_debt(current: DataFrame, baseline: DataFrame, debt: DataFrame) -> DataFrame:
+    """module, findings, new_debt, resolved_debt, total_debt of every module with current findings.
+
+    All have module and fingerprint. A current finding outside the baseline and the debt is new debt, row by row; debt
+    that no current finding shows is resolved; the total is the debt that stays and the new.
+    """
+    known = baseline.select("module", "fingerprint").distinct().withColumn("known", F.lit(True))
+    held = debt.select("module", "fingerprint").distinct().withColumn("held", F.lit(True))
+    rows = current.groupBy("module", "fingerprint").agg(F.count(F.lit(1)).alias("n")).join(known, ["module", "fingerprint"], "left").join(held, ["module", "fingerprint"], "full_outer")
+    fresh = F.col("n").isNotNull() & F.col("known").isNull() & F.col("held").isNull()
+    per = rows.groupBy("module").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("findings"),
+        F.coalesce(F.sum(F.when(fresh, F.col("n"))), F.lit(0)).alias("new_debt"),
+        F.count_if(F.col("n").isNull() & F.col("held")).alias("resolved_debt"),
+        F.count_if(F.col("n").isNotNull() & F.coalesce("held", F.lit(False))).alias("stays"),
+    )
+    return per.where("findings > 0").select("module", "findings", "new_debt", "resolved_debt", (F.col("stays") + F.col("new_debt")).alias("total_debt"))

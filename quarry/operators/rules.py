@@ -127,3 +127,50 @@ def conjunctions(files: DataFrame, rules: Sequence[Conjunction]) -> DataFrame:
         part = hit.select("path", "line", F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# What a file needs no closer look for.
+SAFE_EXTENSIONS = (
+    ".md", ".txt", ".rst", ".json", ".yaml", ".yml", ".css", ".scss", ".html", ".xml", ".csv", ".lock", ".svg", ".png", ".jpg", ".jpeg", ".gif",
+    ".ico", ".woff", ".woff2", ".eot", ".ttf", ".map", ".pyi", ".typed", ".toml", ".ini", ".cfg",
+)
+SAFE_NAMES = (
+    "__init__.py", "__main__.py", "conftest.py", "_version.py", "setup.py", "setup.cfg", "pyproject.toml", "poetry.lock", "Makefile", "Dockerfile", ".dockerignore", ".gitignore",
+    ".editorconfig", ".flake8", ".pylintrc", "tox.ini", "requirements.txt", "requirements-dev.txt", "MANIFEST.in", "LICENSE", "CHANGELOG.md", "CONTRIBUTING.md", "OWNERS", "CODEOWNERS",
+)
+GENERATED_ENDINGS = (
+    ".min.js", ".min.css", ".g.dart", ".freezed.dart", "_pb2.py", "_pb2_grpc.py", "_pb.js", "_pb.ts", ".pb.go", ".pb.swift", ".pb.cc", ".pb.h", "_grpc_pb.js", "_grpc_pb.d.ts", ".graphql.ts",
+)
+SAFE_FOLDERS = (
+    "/tests/", "/test/", "/docs/", "/migrations/", "/node_modules/", "/dist/", "/build/", "/__pycache__/", "/site-packages/", "/.git/", "/.tox/", "/.mypy_cache/", "/.pytest_cache/", "/.venv/", "/venv/",
+    "/.eggs/", "/__generated__/", "/generated/", "/gen/", "/grpc_generated/",
+)
+LOGIC = (" if ", " if(", "\nif ", " for ", " for(", "\nfor ", " while ", " while(", "\nwhile ", " try:", "\ntry:", " except ", " except:", "\nexcept", " with ", "\nwith ", " await ", "\nawait ")
+BOILERPLATE = ("abstractmethod", "dataclass", "pydantic", "basemodel", "typeddict", "namedtuple")
+HEADS = ("#", "import", "from", "class ", "def ", "@")
+LEAST_CHARACTERS, LEAST_LINES, DECLARATIONS = 300, 30, 2000
+
+
+def heuristic_safe(path: Column, content: Column) -> Column:
+    """Whether a file needs no closer look: by its ending, name, folder, size, or as declarations without logic.
+
+    Names are compared in lower case, as they stand in the list; null content is empty.
+    """
+    low, text = F.lower(path), F.coalesce(content, F.lit(""))
+    name = F.element_at(F.split(low, "/"), -1)
+    ending = F.regexp_extract(name, r"[^./][^/]*?(\.[^./]*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.replace(low, F.lit("\\"), F.lit("/")), "^/+", ""))
+    any_of = lambda c, words: reduce(Column.__or__, [c.contains(w) for w in words])
+    starts = lambda line: reduce(Column.__or__, [F.startswith(F.trim(line), F.lit(h)) for h in HEADS])
+    rows = F.split(F.regexp_replace(text, "\\r\\n?", "\n"), "\n")
+    declared = any_of(F.lower(text), BOILERPLATE) | F.forall(rows, lambda r: (F.trim(r) == "") | starts(r))
+    return (
+        ending.isin(*SAFE_EXTENSIONS)
+        | name.isin(*SAFE_NAMES)
+        | reduce(Column.__or__, [F.endswith(name, F.lit(e)) for e in GENERATED_ENDINGS])
+        | any_of(folder, SAFE_FOLDERS)
+        | any_of(name, ("config", "settings"))
+        | (F.length(text) < LEAST_CHARACTERS)
+        | (F.size(F.split(text, "\n")) < LEAST_LINES)
+        | ((F.length(text) < DECLARATIONS) & ~any_of(text, LOGIC) & declared)
+    )

@@ -206,12 +206,13 @@ def j25(nodes, part):
     return nodes.select("name").distinct().withColumn("w", F.split_part("name", F.lit(" "), F.lit(1))).join(words, "w", "left_anti").select("name")
 
 
-@query("j29_nearest", """SELECT seq, anchor FROM (SELECT f.seq, a.line AS anchor, row_number() OVER (PARTITION BY f.seq ORDER BY abs(f.line - a.line), a.line) AS n
-FROM findings f JOIN (SELECT DISTINCT path, line FROM changed WHERE line % 5 = 0) a ON f.path = a.path WHERE f.severity = 'critical') WHERE n = 1""", ("findings", "changed"))
-def j29(findings, changed):
-    a = changed.where("line % 5 = 0").select("path", F.col("line").alias("anchor")).distinct()
-    j = findings.where("severity = 'critical'").join(a, "path")
-    return j.groupBy("seq").agg(F.min(F.struct(F.abs(F.col("line") - F.col("anchor")).alias("d"), "anchor")).alias("m")).select("seq", "m.anchor")
+@query("j29_nearest", """WITH f AS (SELECT 'src/m' || CAST(p_partkey % 7 AS STRING) || '/f' || CAST(p_partkey % 211 AS STRING) || '.py' AS path, p_partkey AS number, p_size AS first, p_size + p_partkey % 9 AS last FROM part)
+SELECT seq, number FROM (SELECT x.seq, f.number, row_number() OVER (PARTITION BY x.seq, x.line, x.path, x.message, x.rule_id ORDER BY greatest(f.first - x.line, x.line - f.last, 0), f.number) AS n FROM (SELECT DISTINCT seq, line, path, message, rule_id FROM findings) x JOIN f ON f.path = x.path) WHERE n = 1""", ("findings",), ("part",))
+def j29(findings, part):
+    path = F.concat(F.lit("src/m"), (F.col("p_partkey") % 7).cast("string"), F.lit("/f"), (F.col("p_partkey") % 211).cast("string"), F.lit(".py"))
+    functions = part.select(path.alias("path"), F.col("p_partkey").alias("number"), F.col("p_size").alias("first"), (F.col("p_size") + F.col("p_partkey") % 9).alias("last"))
+    targets = findings.select("seq", "line", "path", "message", "rule_id").distinct()
+    return O.nearest_function(targets, functions).select("seq", "number")
 
 
 @query("j31_reconcile", "SELECT seq, CASE WHEN line BETWEEN 20 AND 40 THEN line WHEN line BETWEEN 1 AND 21 THEN line + 19 ELSE 20 END AS fixed FROM findings", ("findings",))

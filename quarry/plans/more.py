@@ -9,6 +9,7 @@ from quarry.functions import scores, text
 from quarry.operators import chunks, registry
 from quarry.operators import rules as R
 from quarry.plans.base import query
+from quarry.plans.carriers import CARRIERS
 from quarry.plans.detect import _CODE_LINES, _match_sql
 from quarry.sources import python_ast
 
@@ -49,9 +50,23 @@ def w8(code):
     return R.line_window(R.lines(code), 3, 2).select("path", "line", F.md5("window").alias("h"))
 
 
-@query("w10_indented_blocks", "SELECT path, 4 AS line, len(string_split(content, chr(10))) AS last FROM code", ("code",))
-def w10(code):
-    return chunks.indented_block(R.lines(code), r"^\s*def ").select("path", F.col("line").cast("int").alias("line"), "last")
+CARRIERS["nested"] = """SELECT p_brand || '/' || CAST(p_partkey AS STRING) AS path, 'class A {' || chr(10) || '  def f():' || chr(10) || '    x = {' || CASE p_size % 3 WHEN 0 THEN '}' ELSE ' a' END || chr(10) || chr(10) ||
+ CASE p_partkey % 4 WHEN 0 THEN '    }' WHEN 1 THEN '  y } }' WHEN 2 THEN 'def g():' ELSE '      def h(): {}' END || chr(10) || '  ' || chr(10) || CASE p_size % 4 WHEN 0 THEN '  def k():' WHEN 1 THEN 'def m():' WHEN 2 THEN '}' ELSE '   z' END || chr(10) || '    q }' || chr(10) AS content FROM part"""
+_NESTED = "l AS (SELECT path, generate_subscripts(string_split(content, chr(10)), 1) AS line, unnest(string_split(content, chr(10))) AS text FROM nested)"
+
+
+@query("w10_indented_blocks", f"""WITH {_NESTED}, f AS (SELECT *, length(text) - length(ltrim(text)) AS indent FROM l WHERE trim(text) <> ''), h AS (SELECT * FROM f WHERE regexp_matches(text, '^ *(def|class) ')),
+e AS (SELECT h.path, h.line, min(f.line) AS next FROM h LEFT JOIN f ON f.path = h.path AND f.line > h.line AND f.indent <= h.indent GROUP BY ALL)
+SELECT e.path, e.line::INT AS line, max(f.line)::INT AS last FROM e JOIN f ON f.path = e.path AND (e.next IS NULL OR f.line < e.next) GROUP BY ALL""", ("nested",))
+def w10(files):
+    return chunks.indented_blocks(files, r"^ *(def|class) ")
+
+
+@query("w11_brace_blocks", f"""WITH {_NESTED}, d AS (SELECT *, sum(o - c) OVER (PARTITION BY path ORDER BY line) AS depth FROM (SELECT *, length(text) - length(replace(text, chr(123), '')) AS o, length(text) - length(replace(text, chr(125), '')) AS c FROM l)),
+h AS (SELECT path, line, depth - o + c AS base FROM d WHERE regexp_matches(text, '^ *(def|class) ')), b AS (SELECT h.path, h.line, h.base, min(d.line) FILTER (d.o > 0) AS first, max(d.line) AS total FROM h JOIN d ON d.path = h.path AND d.line >= h.line GROUP BY ALL)
+SELECT b.path, b.line::INT AS line, coalesce(min(d.line), any_value(b.total))::INT AS last FROM b LEFT JOIN d ON d.path = b.path AND d.line >= b.first AND d.depth <= b.base GROUP BY b.path, b.line""", ("nested",))
+def w11(files):
+    return chunks.brace_blocks(files, r"^ *(def|class) ")
 
 
 @query("v7_code_chunks", "SELECT path, 'Part' || CAST(id AS STRING) AS name, 'class' AS chunk_type, 3 AS start, len(string_split(content, chr(10))) AS \"end\" FROM code", ("code",))
@@ -70,10 +85,15 @@ def a8(requests):
     return g.select("tier", F.bround(scores.decayed(10.0, F.col("p")), 1).alias("base"))
 
 
-@query("a13_module_debt", "SELECT module, count(*) AS n FROM (SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 2) ELSE 'root' END AS module FROM findings WHERE severity = 'high') GROUP BY module", ("findings",))
-def a13(findings):
-    module = F.when(F.contains("path", F.lit("/")), F.split_part("path", F.lit("/"), F.lit(2))).otherwise("root")
-    return findings.where("severity = 'high'").groupBy(module.alias("module")).agg(F.count(F.lit(1)).alias("n"))
+@query("a13_module_debt", """WITH c AS (SELECT type, code_hash FROM issues WHERE snapshot = 3), b AS (SELECT DISTINCT type, code_hash FROM issues WHERE snapshot = 0), d AS (SELECT DISTINCT type, code_hash FROM issues WHERE snapshot = 2),
+n AS (SELECT type, count(*) AS n FROM c WHERE (type, code_hash) NOT IN (SELECT (type, code_hash) FROM b) AND (type, code_hash) NOT IN (SELECT (type, code_hash) FROM d) GROUP BY type),
+r AS (SELECT type, count(*) AS n FROM d WHERE (type, code_hash) NOT IN (SELECT (type, code_hash) FROM c) GROUP BY type), k AS (SELECT type, count(*) AS n FROM d WHERE (type, code_hash) IN (SELECT (type, code_hash) FROM c) GROUP BY type)
+SELECT c.type AS module, count(*) AS findings, coalesce(any_value(n.n), 0) AS new_debt, coalesce(any_value(r.n), 0) AS resolved_debt, coalesce(any_value(k.n), 0) + coalesce(any_value(n.n), 0) AS total_debt FROM c LEFT JOIN n USING (type) LEFT JOIN r USING (type) LEFT JOIN k USING (type) GROUP BY c.type""", ("issues",))
+def a13(issues):
+    from quarry.operators.findings import module_debt
+
+    part = lambda n: issues.where(F.col("snapshot") == n).select(F.col("type").alias("module"), F.col("code_hash").alias("fingerprint"))
+    return module_debt(part(3), part(0), part(2))
 
 
 @query("a21_project_statistics", "SELECT language, count(*) AS n, count(*) FILTER (contains(path, 'src1')) AS tests, max(len(string_split(path, '/'))) AS depth FROM files GROUP BY language", ("files",))

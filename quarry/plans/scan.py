@@ -123,10 +123,19 @@ def f23(files):
     return files.select("path", F.sha2(F.regexp_replace(F.coalesce("content", F.lit("")), 'token = "[0-9a-f]+"', ""), 256).alias("h"))
 
 
-@query("f33_heuristic_safe", """SELECT path, (regexp_matches(path, '\\.sql$') OR contains(path, '/src3/') OR length(coalesce(content, '')) < 120 OR len(string_split(coalesce(content, ''), chr(10))) <= 1) AS safe FROM files""", ("files",))
-def f33(files):
-    c = F.coalesce("content", F.lit(""))
-    return files.select("path", (F.col("path").rlike(r"\.sql$") | F.contains("path", F.lit("/src3/")) | (F.length(c) < 120) | (F.size(F.split(c, "\n")) <= 1)).alias("safe"))
+def _contains_any(of: str, words) -> str:
+    return "(" + " OR ".join("contains({}, {})".format(of, " || chr(10) || ".join("'" + w + "'" for w in x.split("\n"))) for x in words) + ")"
+
+
+_KIND_PATH = "CASE p_size % 9 WHEN 0 THEN 'app/' || p_brand || '.MD' WHEN 1 THEN 'a/tests/' || p_brand || '.py' WHEN 2 THEN p_brand || '/setup.py' WHEN 3 THEN 'web/x.min.js' WHEN 4 THEN 'my_Config.go' ELSE 'src/' || p_brand || '.v1.py' END"
+_KIND_BODY = "repeat(CASE p_partkey % 5 WHEN 0 THEN '# note ' || p_name || chr(10) WHEN 1 THEN 'x = ' || p_name || chr(10) WHEN 2 THEN '@dataclass' || chr(10) WHEN 3 THEN '    if x:' || chr(10) ELSE 'class A: ' || p_name || chr(10) END, CAST(20 + p_size * 2 AS INT))"
+
+
+@query("f33_heuristic_safe", f"""WITH kinds AS (SELECT p_partkey AS id, {_KIND_PATH} AS path, {_KIND_BODY} AS content FROM part), n AS (SELECT *, lower(path) AS low, lower(string_split(path, '/')[-1]) AS name FROM kinds)
+SELECT id, (regexp_extract(name, '[^./][^/]*?([.][^./]*)$', 1) IN {R.SAFE_EXTENSIONS} OR name IN {R.SAFE_NAMES} OR {' OR '.join(f"ends_with(name, '{e}')" for e in R.GENERATED_ENDINGS)} OR {_contains_any("('/' || low)", R.SAFE_FOLDERS)} OR contains(name, 'config') OR contains(name, 'settings')
+ OR length(content) < 300 OR len(string_split(content, chr(10))) < 30 OR (length(content) < 2000 AND NOT {_contains_any('content', R.LOGIC)} AND ({_contains_any('lower(content)', R.BOILERPLATE)} OR len(list_filter(string_split(content, chr(10)), lambda r: NOT (trim(r) = '' OR regexp_matches(trim(r), '^(#|import|from|class |def |@)')))) = 0))) AS safe FROM n""", (), ("part",))
+def f33(part):
+    return part.select(F.col("p_partkey").alias("id"), R.heuristic_safe(F.expr(_KIND_PATH), F.expr(_KIND_BODY)).alias("safe"))
 
 
 @query("f34_static_prefilter", """SELECT path, CASE WHEN strlen(coalesce(content, '')) > 20000 THEN NULL WHEN trim(coalesce(content, ''), ' ') = '' THEN 'orphan' WHEN regexp_matches(path, 'requirements|pyproject') THEN 'deps' WHEN contains(path, '/src2/') THEN 'orphan' WHEN length(content) < 100 THEN 'tiny' END AS decision FROM files""", ("files",))

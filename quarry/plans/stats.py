@@ -234,14 +234,6 @@ def w9(files):
     return R.lines(files).withColumn("q", F.coalesce(F.sum(quotes).over(w), F.lit(0))).where((F.col("q") % 4 == 0) & F.contains("text", F.lit("token"))).select("path", "line")
 
 
-@query("w11_brace_balance", """WITH o AS (SELECT o_custkey, o_orderkey, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE -1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS balance FROM orders)
-SELECT o_custkey, min(o_orderkey) AS closes FROM o WHERE balance <= 0 GROUP BY o_custkey""", (), ("orders",))
-def w11(orders):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    bal = F.sum(F.when(F.col("o_orderstatus") == "O", 1).otherwise(-1)).over(w)
-    return orders.withColumn("balance", bal).where("balance <= 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("closes"))
-
-
 @query("w13_oldest_age", "SELECT user_id, date_diff('day', min(ts)::DATE, DATE '2024-02-01')::INT AS days FROM events GROUP BY user_id", (), ("events",))
 def w13(events):
     return events.groupBy("user_id").agg(F.datediff(F.lit("2024-02-01").cast("date"), F.to_date(F.min("ts"))).alias("days"))
