@@ -242,6 +242,7 @@ def _compare(radius: int, most: int | None):
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between the distinct longs of `fp`, as stars that hold each group together.
 
+    A key of both levels fixes at least 46 of the 64 bits, so no group that is compared whole has more than 2^18 of them.
     Any two fingerprints within `radius` (at most 3) bits end in one component of the links;
     the pairs themselves are not all listed.
     """
