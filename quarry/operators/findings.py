@@ -121,30 +121,36 @@ def dedup_findings(findings: DataFrame, reach: int = 3) -> DataFrame:
     def fold(batches):
         import pyarrow as pa
 
-        now, kept, by_class = None, {}, {}  # (line, rule) -> [rank, row]; class -> [(line, rule)] in order
+        def emit(done):
+            of: dict[int, tuple] = {}
+            for batch, i in done:
+                of.setdefault(id(batch), (batch, []))[1].append(i)
+            for batch, at in of.values():
+                yield batch.take(pa.array(at)).select(names)
+
+        now, kept, by_class = None, {}, {}  # (line, rule) -> [rank, batch, row]; class -> [(line, rule)] in order
         for batch in batches:
-            kinds, out = batch.schema, []
-            for row in batch.to_pylist():
-                here = (row["path"], row[segment])
+            done = []
+            paths, segments, ats, rules, classes, ranks = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", segment, "line", "rule_id", cls, rank))
+            for i, here in enumerate(zip(paths, segments)):
                 if here != now:
-                    out += [x for _, x in kept.values()]
+                    done += [(x[1], x[2]) for x in kept.values()]
                     now, kept, by_class = here, {}, {}
-                key, own = (row["line"] or 0, row["rule_id"]), by_class.setdefault(row[cls], [])
+                key, own = (ats[i] or 0, rules[i]), by_class.setdefault(classes[i], [])
                 if key in kept:
-                    if row[rank] > kept[key][0]:
-                        kept[key] = [row[rank], row]
+                    if ranks[i] > kept[key][0]:
+                        kept[key] = [ranks[i], batch, i]
                     continue
                 near = next((k for k in own if abs(k[0] - key[0]) <= reach), None)
                 if near is not None:
-                    if row[rank] <= kept[near][0]:
+                    if ranks[i] <= kept[near][0]:
                         continue
                     del kept[near]
                     own.remove(near)
                 own.append(key)
-                kept[key] = [row[rank], row]
-            yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in out], schema=pa.schema([kinds.field(n) for n in names]))
-        if kept:
-            yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for _, x in kept.values()], schema=pa.schema([kinds.field(n) for n in names]))
+                kept[key] = [ranks[i], batch, i]
+            yield from emit(done)
+        yield from emit([(x[1], x[2]) for x in kept.values()])
 
     chosen = placed.repartition("path", segment).sortWithinPartitions("path", segment, "seq", *[c for c in names if c != "seq"]).mapInArrow(fold, findings.schema)
     return chosen.unionByName(findings.where("path is null"))
