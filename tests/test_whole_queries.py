@@ -105,3 +105,28 @@ def test_timeouts_skip_comments_and_see_the_limit(spark):
     got = timeout_findings(spark.createDataFrame([("f", "go", text)], "path string, language string, content string")).collect()
     assert {(r["line"], r["rule_id"]) for r in got} == {(1, "timeout-requests"), (4, "timeout-go-client"), (6, "timeout-aiohttp"), (7, "timeout-go-http")}
     assert {r["severity"] for r in got} == {"high"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+def test_w4_packs_units_in_order(spark):
+    want = []
+    for r in carrier(spark, SF, "code").collect():
+        chunk, used = 0, 4
+        for line, text_ in enumerate(r["content"].split("\n"), 1):
+            tokens = len(text_) // 4
+            if tokens < 1:
+                continue
+            if used > 4 and used + tokens > 20:
+                chunk, used = chunk + 1, 4
+            used += tokens
+            want.append((r["path"], line, tokens, chunk))
+    got = catalog.queries()["w4_packed_chunks"](spark, SF).select("path", "line", "tokens", "chunk").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and max(w[3] for w in want) > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+def test_x9_is_the_sequence_ratio(spark):
+    parts = spark.read.parquet(f"{SF}/part.parquet").collect()
+    want = {r["p_partkey"]: round(SequenceMatcher(None, r["p_name"], r["p_type"].lower()).ratio(), 6) for r in parts}
+    got = catalog.queries()["x9_line_similarity"](spark, SF).collect()
+    assert {r["p_partkey"]: r["ratio"] for r in got} == pytest.approx(want)
