@@ -1,6 +1,6 @@
 """The training-data queries and their SQL, by name."""
 
-from quarry.llm import exact_dedup, packing, quality, sharding, simhash, sniffing, suffixes, superkmers, toxicity, unigram
+from quarry.llm import exact_dedup, multiset, packing, quality, sharding, simhash, sniffing, suffixes, superkmers, toxicity, unigram
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_content_sort": exact_dedup.op8_content_sort,
         "op9_bin_slack": packing.op9_bin_slack,
         "op10_suffix_array": suffixes.op10_suffix_array,
+        "op11_multiset": multiset.op11_multiset,
     }
 
 
