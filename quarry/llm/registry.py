@@ -1,6 +1,6 @@
 """The training-data queries and their SQL, by name."""
 
-from quarry.llm import exact_dedup, multiset, packing, quality, sharding, simhash, sniffing, suffixes, superkmers, toxicity, unigram
+from quarry.llm import alignment, exact_dedup, multiset, packing, quality, resampling, sharding, simhash, sniffing, suffixes, superkmers, toxicity, unigram
 
 
 def queries() -> dict:
@@ -16,6 +16,8 @@ def queries() -> dict:
         "op9_bin_slack": packing.op9_bin_slack,
         "op10_suffix_array": suffixes.op10_suffix_array,
         "op11_multiset": multiset.op11_multiset,
+        "op12_groups": alignment.op12_groups,
+        "op13_importance": resampling.op13_importance,
     }
 
 
@@ -24,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_superkmers": superkmers.OP4_SQL,
         "op8_content_sort": exact_dedup.OP8_SQL,
         "op10_suffix_array": superkmers.OP4_SQL,
+        "op13_importance": resampling.OP13_SQL,
     }
