@@ -1,80 +1,144 @@
-"""Data-flow paths in Python sources: sources to sinks through assignments, with labels that sanitisers remove."""
+"""Taint as relations: definitions, uses, arguments, returns and imports are rows, and taint is a fixpoint over their joins.
+
+Every definition of a variable is a node. A use joins the last definition before it, in its function, else at the top
+of its file, else in the file that it is imported from. Arguments lead to parameters and returns to callers, in the
+same file or through imports. A fact is a node with a label, the kind of sink that it is still dangerous for, and keeps
+the best confidence and its source. Each round joins only the facts that got better with the edges, until none does.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "path string, source string, source_line int, sink string, sink_type string, sink_line int, labels array<string>, sanitizers array<string>, confidence double"
+from quarry.operators.graphs import cut
+from quarry.operators.projects import resolve_modules
+from quarry.sources import python_flows
+
 SINKS = {"execute": "SQL-value", "executemany": "SQL-value", "system": "CMD-argument", "popen": "CMD-argument", "run": "CMD-argument", "eval": "CODE-execution", "exec": "CODE-execution", "render_template_string": "HTML-content", "open": "FILE-path"}
 SOURCES = ("input", "request.args", "request.form", "request.json", "request.values", "request.data", "sys.argv", "os.environ")
 SANITIZERS = {"int": set(SINKS.values()), "float": set(SINKS.values()), "quote": {"CMD-argument"}, "escape": {"HTML-content"}, "basename": {"FILE-path"}, "secure_filename": {"FILE-path"}}
-HOP, ROUNDS = 0.95, 5
-
-
-def flows(path: str, source: str | None) -> list[tuple]:
-    """Flows of one file: names gain a source's labels by assignment, over at most ROUNDS rounds until none changes."""
-    import ast
-
-    try:
-        tree = ast.parse(source or "")
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    every = frozenset(SINKS.values())
-
-    def dotted(n):
-        return f"{dotted(n.value)}.{n.attr}" if isinstance(n, ast.Attribute) else n.id if isinstance(n, ast.Name) else dotted(n.value) if isinstance(n, ast.Subscript) else dotted(n.func) if isinstance(n, ast.Call) else ""
-
-    known: dict[str, tuple] = {}  # name -> (source, line, labels, sanitizers, confidence)
-
-    def of(n):
-        """The taint that an expression carries."""
-        name = dotted(n) if isinstance(n, (ast.Attribute, ast.Name, ast.Subscript, ast.Call)) else ""
-        for s in SOURCES:
-            if name == s or name.startswith(s + "."):
-                return (s, n.lineno, every, (), 0.9)
-        if isinstance(n, ast.Call):
-            cleaner = name.rpartition(".")[2]
-            inner = next((t for a in [*n.args, *(k.value for k in n.keywords), n.func] if (t := of(a))), None)
-            if inner and cleaner in SANITIZERS:
-                return (inner[0], inner[1], inner[2] - SANITIZERS[cleaner], (*inner[3], cleaner), inner[4])
-            return inner
-        if isinstance(n, ast.Name):
-            return known.get(n.id)
-        return next((t for c in ast.iter_child_nodes(n) if isinstance(c, ast.expr | ast.FormattedValue) and (t := of(c))), None)
-
-    for _ in range(ROUNDS):
-        before = dict(known)
-        for n in ast.walk(tree):
-            if isinstance(n, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and n.value is not None and (t := of(n.value)):
-                for target in n.targets if isinstance(n, ast.Assign) else [n.target]:
-                    if isinstance(target, ast.Name):
-                        known.setdefault(target.id, (*t[:4], round(t[4] * HOP, 6)))
-        if known == before:
-            break
-    out = []
-    for n in ast.walk(tree):
-        if isinstance(n, ast.Call) and (kind := SINKS.get(dotted(n.func).rpartition(".")[2])):
-            for a in [*n.args, *(k.value for k in n.keywords)]:
-                if t := of(a):
-                    out.append((path, t[0], t[1], dotted(n.func), kind, n.lineno, sorted(t[2]), list(t[3]), t[4]))
-                    break
-    return out
+#: What a call, a return or an import leaves of a confidence, and what a flow has whose sanitiser took the sink's label.
+HOP, SANITIZED = 0.75, 0.3
+#: The label that no sanitiser takes: it follows flows that are safe.
+ANY = "*"
+LABELS = (*sorted(set(SINKS.values())), ANY)
+
+
+def _names(flows: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of variable uses (path, scope, src, seq -> node, far), and scopes of called names (path, name -> to_path, to_scope).
+
+    `far` is true where the definition is in another file. `imports` has path, alias, symbol and target_file.
+    """
+    defs = flows.where("dst_kind IN ('def', 'param') AND dst <> ''").select("path", "scope", F.col("dst").alias("name"), "seq").distinct()
+    uses = flows.where("src_kind = 'var'").select("path", "scope", F.col("src").alias("name"), "seq").distinct()
+    both = defs.select("*", F.lit(1).alias("own"), F.col("seq").alias("at")).unionByName(uses.select("*", F.lit(0).alias("own"), F.lit(None).cast("int").alias("at")))
+    before = Window.partitionBy("path", "scope", "name").orderBy("seq", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("at", F.last("at", ignorenulls=True).over(before)).where("own = 0").drop("own")
+    top = defs.where("scope = ''").groupBy("path", "name").agg(F.max("seq").alias("top"))
+    met = met.join(top, ["path", "name"], "left")
+    exported = imports.join(top.select(F.col("path").alias("target_file"), F.col("name").alias("symbol"), F.col("top").alias("there")), ["target_file", "symbol"])
+    exported = exported.groupBy("path", F.col("alias").alias("name")).agg(F.max_by(F.struct("target_file", "symbol", "there"), "line").alias("far"))
+    met = met.join(exported, ["path", "name"], "left")
+    node = F.coalesce(_node("path", "scope", "name", "at"), F.when(F.col("scope") != "", _node("path", F.lit(""), "name", "top")), _node("far.target_file", F.lit(""), "far.symbol", "far.there"))
+    is_far = F.col("at").isNull() & ((F.col("scope") == "") | F.col("top").isNull())
+    uses = met.select("path", "scope", F.col("name").alias("src"), "seq", node.alias("node"), is_far.alias("far")).where("node IS NOT NULL")
+
+    functions = flows.where("dst_kind = 'param' AND pos = -1").groupBy("path", F.col("label").alias("name")).agg(F.max_by("scope", "line").alias("to_scope"))
+    called = flows.where("dst_kind = 'arg'").select("path", F.col("dst").alias("name")).union(flows.where("src_kind = 'call'").select("path", F.col("src").alias("name"))).distinct()
+    called = called.withColumn("last", F.element_at(F.split("name", r"\."), -1)).withColumn("head", F.regexp_replace("name", r"\.?[^.]*$", ""))
+    here = called.join(functions.withColumnRenamed("name", "last"), ["path", "last"]).select("path", "name", F.col("path").alias("to_path"), "to_scope", F.lit(0).alias("rank"))
+    there = functions.select(F.col("path").alias("target_file"), F.col("name").alias("function"), "to_scope")
+    by_symbol = called.join(imports.where("symbol IS NOT NULL").select("path", F.col("alias").alias("name"), F.col("symbol").alias("function"), "target_file"), ["path", "name"])
+    by_module = called.join(imports.where("symbol IS NULL").select("path", F.col("alias").alias("head"), "target_file"), ["path", "head"]).withColumn("function", F.col("last"))
+    away = by_symbol.select("path", "name", "function", "target_file").unionByName(by_module.select("path", "name", "function", "target_file"))
+    away = away.join(there, ["target_file", "function"]).select("path", "name", F.col("target_file").alias("to_path"), "to_scope", F.lit(1).alias("rank"))
+    scopes = here.unionByName(away).groupBy("path", "name").agg(F.min(F.struct("rank", "to_path", "to_scope")).alias("to"))
+    return uses, scopes.select("path", "name", "to.to_path", "to.to_scope")
+
+
+def _node(path, scope, name, seq) -> Column:
+    """A definition's name; null where any part is."""
+    part = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.concat(part(path), F.lit("#"), part(scope), F.lit("#"), part(name), F.lit("#"), part(seq).cast("string"))
+
+
+def edges_of(flows: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, sinks): src, dst, factor, cleaned, by, and for seeds (no src) source, path, line; sinks: node, path, line, sink, label."""
+    uses, scopes = _names(flows, imports)
+    uses, scopes = cut(uses), cut(scopes)
+    calls = scopes.select("path", F.col("name").alias("src"), F.concat("to_path", F.lit("#"), "to_scope", F.lit("#ret")).alias("returned"))
+    args = scopes.select("path", F.col("name").alias("dst"), "to_path", "to_scope")
+    params = flows.where("dst_kind = 'param' AND pos >= 0").select(F.col("path").alias("to_path"), F.col("scope").alias("to_scope"), "pos", _node("path", "scope", "dst", "seq").alias("param"))
+    rows = flows.where("src_kind <> 'none'")
+    var = rows.where("src_kind = 'var'").join(uses, ["path", "scope", "src", "seq"]).withColumn("factor", F.when(F.col("far"), HOP).otherwise(1.0)).drop("far")
+    call = rows.where("src_kind = 'call'").join(calls, ["path", "src"]).withColumnRenamed("returned", "node").withColumn("factor", F.lit(HOP))
+    seed = rows.where("src_kind = 'source'").withColumn("node", F.lit(None).cast("string")).withColumn("factor", F.col("confidence"))
+    begun = cut(var.unionByName(call).unionByName(seed))
+    arg = begun.where("dst_kind = 'arg'").join(args, ["path", "dst"]).join(params, ["to_path", "to_scope", "pos"]).withColumn("to", F.col("param")).withColumn("factor", F.col("factor") * HOP)
+    sink_node = F.concat("path", F.lit("#"), "scope", F.lit("#sink#"), "dst", F.lit("#"), F.col("line").cast("string"), F.lit("#"), F.col("seq").cast("string"))
+    to = F.when(F.col("dst_kind") == "def", _node("path", "scope", "dst", "seq")).when(F.col("dst_kind") == "ret", F.concat("path", F.lit("#"), "scope", F.lit("#ret"))).otherwise(sink_node)
+    plain = begun.where("dst_kind IN ('def', 'ret', 'sink')").withColumn("to", to)
+    kept = [F.col("node").alias("src"), F.col("to").alias("dst"), "factor", "cleaned", "by", F.col("src").alias("source"), "path", "line"]
+    sinks = plain.where("dst_kind = 'sink'").select(F.col("to").alias("node"), "path", "line", F.col("dst").alias("sink"), "label").distinct()
+    return plain.select(*kept).unionByName(arg.select(*kept)), sinks
+
+
+def fixpoint(edges: DataFrame) -> DataFrame:
+    """The best fact of each node and label: node, label, best (lost, source_path, source_line, source, by, confidence).
+
+    Semi-naive: a round joins only facts that are new or better. Facts compare by confidence, then by
+    place, and confidences only shrink along an edge, so a cycle ends and the result hangs on no order.
+    """
+    labels = F.explode(F.array(*[F.lit(x) for x in LABELS])).alias("label")
+
+    def facts(rows: DataFrame) -> DataFrame:
+        return rows.where(~F.array_contains("cleaned", F.col("label"))).groupBy("node", "label").agg(F.min("best").alias("best"))
+
+    def fact(confidence, path, line, source, by):
+        kept = F.round(confidence, 6)
+        return F.struct((-kept).alias("lost"), path.alias("source_path"), line.alias("source_line"), source.alias("source"), by.alias("by"), kept.alias("confidence")).alias("best")
+
+    seeds = edges.where("src IS NULL").select(F.col("dst").alias("node"), "cleaned", fact(F.col("factor"), F.col("path"), F.col("line"), F.col("source"), F.col("by")), labels)
+    steps = cut(edges.where("src IS NOT NULL").select(F.col("src").alias("from"), "dst", "factor", "cleaned", F.col("by").alias("more")))
+    known = delta = cut(facts(seeds))
+    while not delta.isEmpty():
+        b = F.col("best")
+        come = delta.join(steps, delta["node"] == steps["from"]).select(
+            F.col("dst").alias("node"), "label", "cleaned",
+            fact(b["confidence"] * F.col("factor"), b["source_path"], b["source_line"], b["source"], F.array_distinct(F.concat(b["by"], F.col("more")))),
+        )
+        old = known.select("node", "label", F.col("best").alias("old"))
+        better = F.col("old").isNull() | (F.col("best") < F.col("old"))
+        delta = cut(facts(come).join(old, ["node", "label"], "left").where(better).drop("old"))
+        known = cut(known.join(delta.select("node", "label"), ["node", "label"], "left_anti").unionByName(delta))
+    return known
+
+
+def solved(flows: DataFrame, imports: DataFrame) -> DataFrame:
+    """Where taint meets a sink: path, source, source_path, source_line, sink, sink_type, sink_line, labels, sanitizers, confidence.
+
+    One row a sink call, with its best source. Where sanitisers took the sink's own label on every way, the row is one of a safe
+    flow: its labels lack the sink's type and its confidence is SANITIZED of what it was.
+    """
+    edges, sinks = edges_of(cut(flows), imports)
+    found = sinks.join(fixpoint(cut(edges)).withColumnRenamed("label", "on"), "node")
+    own = F.col("on") == F.col("label")
+    per = found.groupBy("node", "path", "line", "sink", "label").agg(
+        F.min(F.when(own, F.col("best"))).alias("open"), F.min(F.when(F.col("on") == ANY, F.col("best"))).alias("any"), F.array_sort(F.collect_set(F.when(F.col("on") != ANY, F.col("on")))).alias("labels")
+    )
+    best = F.coalesce("open", "any")
+    sure = F.when(F.col("open").isNull(), F.round(best["confidence"] * SANITIZED, 6)).otherwise(best["confidence"])
+    return per.select("path", best["source"].alias("source"), best["source_path"].alias("source_path"), best["source_line"].alias("source_line"), "sink", F.col("label").alias("sink_type"), F.col("line").alias("sink_line"), "labels", best["by"].alias("sanitizers"), sure.alias("confidence"))
 
 
 def taint_paths(files: DataFrame) -> DataFrame:
-    """Rows of SCHEMA for Python files (path, content)."""
-
-    def run(batches):
-        import pandas as pd
-
-        columns = [c.strip().split()[0] for c in SCHEMA.split(", ")]
-        for pdf in batches:
-            yield pd.DataFrame([r for p, c in zip(pdf["path"], pdf["content"]) for r in flows(p, c)], columns=columns)
-
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    """Flows of Python files (path, content) that import one another by `path`; columns as in `solved`."""
+    flows = python_flows.flows(files, SOURCES, SINKS, SANITIZERS)
+    imports = resolve_modules(python_flows.imports(files), files).where("target_file IS NOT NULL")
+    return solved(flows, cut(imports))
 
 
 def taint_findings(paths: DataFrame) -> DataFrame:
@@ -118,55 +182,41 @@ DIALECTS = {
 }
 
 
-def line_flows(path: str, source: str | None, language: str) -> list[tuple]:
-    """Flows of one file of a language without a parser here: sources once, propagation over at most ROUNDS rounds, sinks."""
-    import re
-
-    d = DIALECTS.get(language)
-    if d is None or not source:
-        return []
-    rows = source.split("\n")
-    known: dict[str, tuple] = {}
-
-    def of(text: str, line: int):
-        found = None
-        if m := re.search(d.sources, text):
-            found = (m[0], line, frozenset(_ALL), (), 0.85)
-        else:
-            bare = re.sub(r"\"[^\"]*\"|'[^']*'", "", text)  # names inside plain strings are none
-            found = next((known[w] for w in re.findall(r"[A-Za-z_$][\w$]*", bare) if w in known), None)
-        if found:
-            for p, cleaned in d.sanitizers.items():
-                if m := re.search(p, text):
-                    found = (found[0], found[1], found[2] - set(cleaned), (*found[3], m[0].rstrip("( ")), found[4])
-        return found
-
-    for _ in range(ROUNDS):
-        before = dict(known)
-        for n, text in enumerate(rows, 1):
-            if (m := re.match(d.assign, text)) and (t := of(m[2], n)):
-                known.setdefault(m[1], (*t[:4], round(t[4] * HOP, 6)))
-        if known == before:
-            break
-    out = []
-    for n, text in enumerate(rows, 1):
-        for p, kind in d.sinks.items():
-            if (m := re.search(p, text)) and (t := of(text[m.end() :], n)):
-                out.append((path, t[0], t[1], m[0].strip(" (=."), kind, n, sorted(t[2]), list(t[3]), t[4]))
+def line_flows(files: DataFrame) -> DataFrame:
+    """Rows of `python_flows.FLOWS` for JavaScript, Go and Java files, line by line: assignments, names outside of strings, sinks."""
+    from quarry.operators.rules import lines
+
+    out = None
+    rows = lines(files)
+    for language, d in DIALECTS.items():
+        text = F.col("text")
+        own = rows.where(F.col("language") == language)
+        taken = F.flatten(F.array(*[F.when(text.rlike(p), F.array(*map(F.lit, cleaned))).otherwise(F.array().cast("array<string>")) for p, cleaned in d.sanitizers.items()]))
+        by = F.array_compact(F.array(*[F.when(text.rlike(p), F.rtrim(F.regexp_replace(F.regexp_extract(text, p, 0), r"[( ]+$", ""))) for p in d.sanitizers]))
+        nothing = F.lit(None).cast("string")
+        ends = [F.when(text.rlike(d.assign), F.struct(F.lit("def").alias("dst_kind"), F.regexp_extract(text, d.assign, 1).alias("dst"), nothing.alias("label"), F.regexp_extract(text, d.assign, 2).alias("from")))]
+        for p, label in d.sinks.items():
+            name = F.regexp_replace(F.regexp_extract(text, p, 0), r"^[ (=.]+|[ (=.]+$", "")
+            ends.append(F.when(text.rlike(p), F.struct(F.lit("sink").alias("dst_kind"), name.alias("dst"), F.lit(label).alias("label"), F.regexp_extract(text, f"(?:{p})(.*)$", 1).alias("from"))))
+        met = own.withColumn("end", F.explode(F.array_compact(F.array(*ends)))).select("path", "line", "end.*", taken.alias("cleaned"), by.alias("by"))
+        bare = F.regexp_replace("from", r"\"[^\"]*\"|'[^']*'", "")
+        words = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))
+        source = F.regexp_extract("from", f"({d.sources})", 1)
+        named = F.transform(words, lambda w: F.struct(F.lit("var").alias("src_kind"), w.alias("src")))
+        first = F.array(F.when(source != "", F.struct(F.lit("source").alias("src_kind"), source.alias("src"))).otherwise(F.struct(F.lit("none").alias("src_kind"), nothing.alias("src"))))
+        met = met.withColumn("s", F.explode(F.when(source != "", first).otherwise(F.concat(first, named))))
+        part = met.where("dst_kind = 'def' OR s.src_kind <> 'none'").select(
+            "path", F.lit("").alias("scope"), F.col("line").alias("seq"), "line", "s.src_kind", "s.src", F.when(F.col("s.src_kind") == "source", 0.85).alias("confidence"),
+            "dst_kind", "dst", F.lit(None).cast("int").alias("pos"), "label", "cleaned", "by",
+        )
+        out = part if out is None else out.unionByName(part)
     return out
 
 
 def line_taint_paths(files: DataFrame) -> DataFrame:
-    """Rows of SCHEMA for JavaScript, Go and Java files (path, content, language)."""
-
-    def run(batches):
-        import pandas as pd
-
-        columns = [c.strip().split()[0] for c in SCHEMA.split(", ")]
-        for pdf in batches:
-            yield pd.DataFrame([r for p, c, g in zip(pdf["path"], pdf["content"], pdf["language"]) for r in line_flows(p, c, g)], columns=columns)
-
-    return files.select("path", "content", "language").mapInPandas(run, SCHEMA)
+    """Flows of JavaScript, Go and Java files (path, content, language), each file for itself; columns as in `solved`."""
+    none = files.sparkSession.createDataFrame([], "path string, alias string, symbol string, target_file string, line int")
+    return solved(line_flows(files), none)
 
 
 #: Bare method names that suggest a sink, with words in parameters and modules that make it likelier.

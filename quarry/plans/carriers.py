@@ -24,7 +24,8 @@ CARRIERS = {
     "baseline": "SELECT DISTINCT 'src/m' || CAST(p_partkey % 7 AS STRING) || '/f' || CAST(p_partkey % 211 AS STRING) || '.py' AS path, 'xss-dom' AS rule_id, 'secret in source' AS message FROM part WHERE p_size <= 10",
     "calls": "SELECT DISTINCT 'n' || CAST(l_partkey AS STRING) AS source, 'n' || CAST(l_orderkey AS STRING) AS target, CASE l_linenumber % 4 WHEN 0 THEN 'inherits' WHEN 1 THEN 'imports' WHEN 2 THEN 'calls' ELSE 'implements' END AS relation FROM lineitem",
     "nodes": "SELECT 'n' || CAST(p_partkey + CASE WHEN p_size > 45 THEN 100000000000 ELSE 0 END AS STRING) AS fqn, p_name AS name, CASE p_size % 5 WHEN 0 THEN 'mixin' WHEN 1 THEN 'interface' WHEN 2 THEN 'class' ELSE 'function' END AS kind, 'src/' || p_brand || '.py' AS file_path, p_size % 4 = 0 AS is_test FROM part",
-    "imports": "SELECT 'f' || CAST(c_custkey AS STRING) AS src, 'f' || CAST(CASE WHEN c_nationkey % 4 = 0 THEN c_custkey - c_nationkey ELSE CAST(FLOOR(c_custkey / (2 + c_nationkey % 3)) AS BIGINT) END AS STRING) AS dst FROM customer",
+    # a tree of imports whose links go down, up, or both ways: closures are deep, some files are out of reach
+    "imports": "SELECT 'f' || CAST(CAST(FLOOR(c_custkey / 2) AS BIGINT) AS STRING) AS src, 'f' || CAST(c_custkey AS STRING) AS dst FROM customer WHERE c_custkey > 1 AND c_nationkey % 5 <> 1 UNION ALL SELECT 'f' || CAST(c_custkey AS STRING), 'f' || CAST(CAST(FLOOR(c_custkey / 2) AS BIGINT) AS STRING) FROM customer WHERE c_custkey > 1 AND c_nationkey % 5 <> 0",
     "writes": "SELECT 'fld' || CAST(l_partkey AS STRING) AS field, 'fn' || CAST(l_suppkey AS STRING) AS func_name, l_orderkey AS site, l_linenumber AS line FROM lineitem",
     "reads": "SELECT 'fld' || CAST(p_partkey + CASE WHEN p_size > 45 THEN 100000000000 ELSE 0 END AS STRING) AS field, 'rd' || CAST(p_size AS STRING) AS func_name FROM part WHERE p_size > 5",
     "inits": "SELECT DISTINCT 'fld' || CAST(p_partkey + CASE WHEN p_size > 40 THEN 100000000 ELSE 0 END AS STRING) AS field FROM part",
@@ -50,6 +51,8 @@ def _needs(sql: str) -> list[str]:
 
 def carrier(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = CARRIERS[name]
+    for other in CARRIERS:  # a carrier can read another
+        sql = re.sub(rf"\b(FROM|JOIN) {other}\b", lambda m, o=other: f"{m[1]} ({CARRIERS[o]}) AS {o}", sql)
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)]
     text = re.sub(r"[{}]", lambda m: m[0] * 2, sql)
     for t in used:
