@@ -28,8 +28,8 @@ SAMPLE, FEW, COMMON = 16, 4096, 1 << 17
 COUNTS = 4096
 #: Pairs that a task holds before it writes them.
 PAIRS = 1 << 20
-#: Places along a meeting that count as neighbours.
-REACH = 16
+#: Places along a meeting that count as neighbours, and the units of a block of a large meeting.
+REACH, BLOCK = 16, 4096
 SKETCHES = "u long, n int, fp long, counts binary"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -162,15 +162,28 @@ def _runs(batches):
 
 
 def _met(batches):
-    """The rows of sorted (h, n, u, at) whose h is one of several units."""
+    """The rows of sorted (h, n, u, at) whose h is one of several units; of a run only one row is held at a time."""
     import pyarrow as pa
 
-    for h, n, u, at in _runs(batches):
-        keep = np.r_[True, (h[1:] != h[:-1]) | (u[1:] != u[:-1])]
-        h, n, u, at = (c[keep] for c in (h, n, u, at))
-        size = np.diff(np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]))
-        many = np.repeat(size > 1, size)
-        yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (h, n, u, at)], names=["h", "n", "u", "at"])
+    names = ["h", "n", "u", "at"]
+    last, open_ = None, False  # the row before, and whether it still waits for another unit of its run
+
+    for batch in batches:
+        cols = [np.asarray(c) for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        if last is not None:
+            cols = [np.r_[x, c].astype(c.dtype) for x, c in zip(last, cols)]
+        h, u = cols[0], cols[2]
+        new = np.r_[True, (h[1:] != h[:-1]) | (u[1:] != u[:-1])]
+        waits = np.r_[open_ or last is None, np.ones(len(h) - 1, bool)]
+        cols = [c[new] for c in cols]
+        waits, h = waits[new], cols[0]
+        same = np.r_[h[1:] == h[:-1], False]
+        many = same | np.r_[False, same[:-1]]
+        last, open_ = [c[-1:] for c in cols], not many[-1] and bool(waits[-1])
+        keep = many & waits
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=names)
 
 
 def _packed(batches):
@@ -181,40 +194,78 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([np.asarray(c).astype(np.int64).tobytes()], pa.binary()) for c in batch.columns], names=["h", "n"])
 
 
-def _across(reach: int | None):
-    """Sorted (h, n, u, at, label) -> pairs (a, b) of a run with different labels that may reach 0.8; within `reach` places, if given."""
-
-    def batch_of(pairs):
-        import pyarrow as pa
+def _batch_of(pairs):
+    import pyarrow as pa
 
-        a, b = (np.concatenate(c) for c in zip(*pairs))
-        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    a, b = (np.concatenate(c) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else (a, b)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    def run(batches):
-        for h, n, u, at, label in _runs(batches):
-            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            size = np.diff(np.r_[start, len(h)])
-            end = np.repeat(start + size, size)
-            i, step, held, found = np.arange(len(h)), 1, 0, []
-            while reach is None or step <= reach:
-                i = i[i + step < end[i]]
-                i = i[5 * n[i].astype(np.int64) >= 4 * n[i + step]]  # sizes rise along a run
-                if not len(i):
-                    break
-                j = i + step
-                ok = (label[i] != label[j]) & near(n[i], n[j], np.minimum(n[i] - at[i], n[j] - at[j]))
-                if ok.any():
-                    found.append((u[i[ok]], u[j[ok]]))
-                    held += int(ok.sum())
-                    if held > PAIRS:
-                        yield batch_of(found)
-                        found, held = [], 0
-                step += 1
-            if found:
-                yield batch_of(found)
 
-    return run
+def _neighbours(batches):
+    """Sorted (h, n, u, at) -> pairs (a, b) that lie within REACH places of a run and may reach 0.8."""
+    held = None
+    for batch in batches:
+        cols = [np.asarray(c) for c in batch.columns]
+        before = len(held[0]) if held else 0
+        if held:
+            cols = [np.r_[x, c] for x, c in zip(held, cols)]
+        h, n, u, at = cols
+        found = []
+        for step in range(1, min(REACH, len(h) - 1) + 1):
+            i = np.arange(max(0, before - step), len(h) - step)
+            j = i + step
+            ok = (h[i] == h[j]) & (u[i] != u[j]) & near(n[i], n[j], np.minimum(n[i] - at[i], n[j] - at[j]))
+            found.append((u[i[ok]], u[j[ok]]))
+        held = [c[-REACH:] for c in cols]
+        yield _batch_of(found)
+
+
+def _cells(named: DataFrame) -> DataFrame:
+    """(cell, side, n, u, at, label) of (h, n, u, at, label): runs as they are, large ones as blocks of BLOCK units that meet in pairs.
+
+    A run of one label has nothing to compare and goes. A large run is ordered by label; two blocks meet only if they
+    hold two labels and their sizes allow a similarity of 0.8. `side` tells the blocks of a cell apart; a block that
+    meets itself has -1.
+    """
+    sizes = named.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("h", "size")
+    rows = named.join(sizes, "h")
+    small = rows.where(F.col("size") <= BLOCK).select(F.col("h").alias("cell"), F.lit(-1).alias("side"), "n", "u", "at", "label")
+    place = F.row_number().over(Window.partitionBy("h").orderBy("label", "n", "u")) - 1  # sorted, not held: rows of a few numbers
+    large = rows.where(F.col("size") > BLOCK).withColumn("block", F.floor(place / BLOCK).cast("int"))
+    large = Stored(large.select("h", "block", "n", "u", "at", "label"), "blocks").df
+    spans = large.groupBy("h", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    other = spans.select("h", *[F.col(c).alias(f"{c}_") for c in ("block", "l0", "l1", "n0", "n1")])
+    met = spans.join(other, "h").where("block <= block_ AND least(l0, l0_) < greatest(l1, l1_) AND 5 * cast(n1 as bigint) >= 4 * cast(n0_ as bigint) AND 5 * cast(n1_ as bigint) >= 4 * cast(n0 as bigint)")
+    cell = F.xxhash64("h", "block", "block_").alias("cell")
+    sides = met.select("h", cell, F.explode(F.when(F.col("block") == F.col("block_"), F.array(F.struct(F.col("block"), F.lit(-1).alias("side")))).otherwise(F.array(F.struct(F.col("block"), F.lit(0).alias("side")), F.struct(F.col("block_").alias("block"), F.lit(1).alias("side"))))).alias("s"))
+    spread = large.join(sides.select("h", "cell", "s.block", "s.side"), ["h", "block"]).select("cell", "side", "n", "u", "at", "label")
+    return small.unionByName(spread)
+
+
+def _across(batches):
+    """Sorted (cell, n, u, at, label, side) -> pairs (a, b) of a cell's different labels and sides that may reach 0.8."""
+    for h, n, u, at, label, side in _runs(batches):
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        size = np.diff(np.r_[start, len(h)])
+        end = np.repeat(start + size, size)
+        i, step, held, found = np.arange(len(h)), 1, 0, []
+        while True:
+            i = i[i + step < end[i]]
+            i = i[5 * n[i].astype(np.int64) >= 4 * n[i + step]]  # sizes rise along a cell
+            if not len(i):
+                break
+            j = i + step
+            ok = (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j])) & near(n[i], n[j], np.minimum(n[i] - at[i], n[j] - at[j]))
+            if ok.any():
+                found.append((u[i[ok]], u[j[ok]]))
+                held += int(ok.sum())
+                if held > PAIRS:
+                    yield _batch_of(found)
+                    found, held = [], 0
+            step += 1
+        if found:
+            yield _batch_of(found)
 
 
 def _verify(batches):
@@ -283,12 +334,13 @@ def labels(units: DataFrame) -> DataFrame:
     release(spark)
     sketched = Stored(units.select("u", "words").mapInArrow(_sketches, SKETCHES).dropDuplicates(["u"]), "sketches")
     sketches = sketched.df
-    near_by = met.df.withColumn("label", F.col("u")).repartition("h").sortWithinPartitions("h", "n", "u").mapInArrow(_across(REACH), "a long, b long")
+    near_by = met.df.repartition("h").sortWithinPartitions("h", "n", "u").mapInArrow(_neighbours, "a long, b long")
     first = _links(units, sketches, _by_fingerprint(sketches).unionByName(near_by), "near")
     label = components(first)
     release(spark)
     named = met.df.join(label, F.col("u") == label["node"], "left").select("h", "n", "u", "at", F.coalesce("label", "u").alias("label"))
-    rest = named.repartition("h").sortWithinPartitions("h", "n", "u").mapInArrow(_across(None), "a long, b long")
+    cells = _cells(Stored(named, "named").df).select("cell", "n", "u", "at", "label", "side")
+    rest = cells.repartition("cell").sortWithinPartitions("cell", "n", "u").mapInArrow(_across, "a long, b long")
     second = _links(units, sketches, rest, "rest")
     met.drop()
     sketched.drop()

@@ -107,3 +107,63 @@ def test_a_large_group_of_near_copies(spark):
         rows.append((i, " ".join(w) if i % 2 else " ".join(line + words(90, 2000 + i))))
     got = jaccard.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({1, *range(0, 250, 2)})
+
+
+@pytest.mark.parametrize("block,few,batch", [(8, 4, 7), (64, 10_000, 3), (4096, 1, 10_000)])
+def test_blocks_samples_and_batches_change_nothing(spark, monkeypatch, block, few, batch):
+    """Many short texts around one common line, some of 0.8 and more, against all pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    common = words(12, 77)
+    texts = []
+    for i in range(160):
+        tail = words(3 + i % 4, 3000 + i // 3)
+        texts.append(" ".join([*common, *tail[: len(tail) - i % 2]]))
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    head = list(range(len(texts)))
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                head[max(a, b)] = min(a, b)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = jaccard.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted({find(i) for i in head})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_cells_hold_every_pair_of_two_labels_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rows = [(1, 20, u, 0, u % 3) for u in range(23)] + [(2, 20, 100 + u, 0, 9) for u in range(30)] + [(3, 20 + 20 * (u // 6), 200 + u, 0, u) for u in range(12)] + [(4, 20, 300, 0, 1), (4, 20, 301, 0, 2)]
+    cells = jaccard._cells(spark.createDataFrame(rows, "h long, n int, u long, at int, label long")).collect()
+    pairs = []
+    for cell in {r["cell"] for r in cells}:
+        own = [r for r in cells if r["cell"] == cell]
+        pairs += [tuple(sorted((a["u"], b["u"]))) for i, a in enumerate(own) for b in own[:i] if (a["side"] < 0 or a["side"] != b["side"]) and a["label"] != b["label"]]
+    want = {tuple(sorted((a[2], b[2]))) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and a[4] != b[4]}
+    assert len(pairs) == len(set(pairs)) and set(pairs) <= want
+    assert {p for p in want if all(5 * min(x, y) >= 4 * max(x, y) for x, y in [[next(r[1] for r in rows if r[2] == u) for u in p]])} <= set(pairs)
+    assert not any(100 <= r["u"] < 130 for r in cells)  # one label: nothing to compare
+
+
+def test_a_meeting_without_possible_pairs_ends_soon():
+    import time
+
+    import pyarrow as pa
+
+    n = 64_000
+    h, size, u, at = np.ones(n, np.int64), np.full(n, 50, np.int32), np.arange(n), np.zeros(n, np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (h, size, u, at)], names=["h", "n", "u", "at"])
+    began = time.time()
+    out = list(jaccard._met(batch.slice(k, 1000) for k in range(0, n, 1000)))
+    assert sum(b.num_rows for b in out) == n
+    assert sum(b.num_rows for b in jaccard._neighbours(batch.slice(k, 1000) for k in range(0, n, 1000))) == n * jaccard.REACH - sum(range(jaccard.REACH + 1))
+    assert time.time() - began < 20
