@@ -106,19 +106,31 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def _fit(max_values: int, options: dict):
-    """Sorted rows (o, th, label, features) to one row: the model that FTRL finds."""
+def level(sizes: list[int], total: int) -> int:
+    """The greatest bound that leaves at most `total` of the sizes together, each cut to the bound."""
+    left, rest = total, sorted(sizes)
+    for i, size in enumerate(rest):
+        if size * (len(rest) - i) > left:
+            return left // (len(rest) - i)
+        left -= size
+    return max(rest, default=0)
+
+
+def sampled(feature: np.ndarray, most: int) -> np.ndarray:
+    """The features, or those `most` of least hash, in their order."""
+    if len(feature) <= most:
+        return feature
+    mixed = feature.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
+    return feature[np.sort(np.argsort(mixed, kind="stable")[:most])]
+
+
+def _fit(most: int, options: dict):
+    """Sorted rows (o, th, label, features) to one row: the model that FTRL finds with at most `most` features a text."""
 
     def run(batches):
         import pyarrow as pa
 
-        rows, left = [], max_values
-        for batch in batches:
-            for label, packed in zip(batch.column(2).to_pylist(), batch.column(3)):
-                feature = np.frombuffer(packed.as_py(), "<u4")
-                left -= len(feature)
-                if left >= 0:
-                    rows.append((label, feature))
+        rows = [(label, sampled(np.frombuffer(packed.as_py(), "<u4"), most)) for batch in batches for label, packed in zip(batch.column(2).to_pylist(), batch.column(3))]
         m = ftrl(rows, **options)
         yield pa.RecordBatch.from_arrays([pa.array([m.index.astype("<i8").tobytes()], pa.binary()), pa.array([m.weight.astype("<f8").tobytes()], pa.binary()), pa.array([m.bias])], names=["index", "weight", "bias"])
 
@@ -128,10 +140,12 @@ def _fit(max_values: int, options: dict):
 def fitted(sample: DataFrame, of, max_values: int, **options) -> Model:
     """FTRL's model of a bounded sample (o, th, label, text), in the order of its first three columns.
 
-    Rows that would bring the features beyond `max_values` are left out; an empty sample gives a model without weights.
+    Where the features are more than `max_values`, the longest texts keep a sample of theirs, those of least hash, so that
+    every row takes part. An empty sample gives a model without weights.
     """
     found = Stored(sample.select("o", "th", F.col("label").cast("double").alias("label"), "text").mapInArrow(collected(of), "o long, th long, label double, features binary"), "sample")
-    rows = found.df.coalesce(1).sortWithinPartitions("o", "th", "label").mapInArrow(_fit(max_values, options), "index binary, weight binary, bias double").collect()
+    sizes = [r[0] for r in found.df.select((F.length("features") / 4).cast("int")).collect()]  # at most as many as the sample's rows
+    rows = found.df.coalesce(1).sortWithinPartitions("o", "th", "label").mapInArrow(_fit(level(sizes, max_values), options), "index binary, weight binary, bias double").collect()
     found.drop()
     if not rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)

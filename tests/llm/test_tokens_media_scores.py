@@ -255,6 +255,26 @@ def test_toxic_scores_match_a_fit_by_hand(spark):
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-w)))
 
 
+def test_the_bound_on_features_is_shared_by_all_texts():
+    for sizes, total in [([5, 1, 9], 15), ([5, 1, 9], 9), ([5, 1, 9], 3), ([5, 1, 9], 2), ([], 4), ([7], 0)]:
+        most = toxicity.level(sizes, total)
+        assert sum(min(x, most) for x in sizes) <= total and (most >= max(sizes, default=0) or sum(min(x, most + 1) for x in sizes) > total)
+    feature = np.arange(1000, dtype="<u4")[::-1].copy()
+    some = toxicity.sampled(feature, 100)
+    assert len(some) == 100 and (np.diff(some.astype(int)) < 0).all() and toxicity.sampled(feature, 1000) is feature
+
+
+def test_one_long_text_does_not_end_a_fit(spark):
+    texts = [(i, f"{'vile thing' if i % 4 == 0 else 'kind thing'} here w{i % 9}") for i in range(300)]
+    long = [(1000 + i, " ".join(f"x{i}y{j}" for j in range(4000))) for i in range(2)]
+    docs = spark.createDataFrame(texts + long, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 and i < 1000)) for i, _ in texts + long], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_values=9000)
+    assert len(model.index)
+    got = {r["doc_id"]: r["score"] for r in toxicity.with_score(docs, model, keep=["doc_id"]).collect()}
+    assert min(got[i] for i, _ in texts if i % 4 == 0) > max(got[i] for i, _ in texts if i % 4)
+
+
 def test_a_repeated_id_is_bounded(spark, empty):
     docs = spark.createDataFrame([(7, f"text {i % 40} of one id") for i in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(7, 1)] * 50 + [(7, 0)], "doc_id long, toxic int")
