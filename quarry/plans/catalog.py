@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scores
 from quarry.operators import rules
-from quarry.plans import base, carriers, checks, detect, find, graph, more, patterns, projects, scan, state, stats  # noqa: F401
+from quarry.plans import base, carriers, checks, contexts, detect, find, graph, more, patterns, projects, scan, state, stats  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
