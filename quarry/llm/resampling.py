@@ -77,7 +77,7 @@ def gains(docs: DataFrame, target: DataFrame, buckets: int, **how) -> DataFrame:
     spark = docs.sparkSession
     every = spark.range(buckets).select(F.col("id").alias("bucket"))
     source, aim = counts(docs, "s", buckets=buckets, **how), counts(target, "t", buckets=buckets, **how)
-    met = every.join(source, "bucket", "left").join(aim, "bucket", "left").fillna(0, ["s", "t"])
+    met = Stored(every.join(source, "bucket", "left").join(aim, "bucket", "left").fillna(0, ["s", "t"]), "counts").df
     totals = met.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
     ratio = ((F.col("t") + 1) * (F.col("all_s") + buckets)).cast("double") / ((F.col("s") + 1) * (F.col("all_t") + buckets)).cast("double")
     return met.crossJoin(totals).select("bucket", F.floor(F.lit(1000.0) * F.ln(ratio)).alias("gain"))  # totals are one row
