@@ -82,3 +82,19 @@ def adjusted_severity(severity: Column, context: Column, is_entry: Column) -> Co
 def maintainability_index(volume: Column, complexity: Column, loc: Column) -> Column:
     raw = F.lit(171.0) - 5.2 * F.log(F.greatest(volume, F.lit(1.0))) - 0.23 * complexity - 16.2 * F.log(F.greatest(loc, F.lit(1.0)))
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
+
+
+def deduction(severity: Column) -> Column:
+    """What an issue takes from a score of a hundred."""
+    return F.when(severity == "critical", 10.0).when(severity == "high", 5.0).when(severity == "medium", 2.0).when(severity == "low", 0.5).otherwise(0.0)
+
+
+def hundred(lost: Column, trend: Column) -> Column:
+    """100 less the deductions, 5 more if things improve and 10 less if they get worse, from 0 to 100."""
+    change = F.when(trend == "IMPROVING", 5.0).when(trend == "DEGRADING", -10.0).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - lost + change))
+
+
+def debt_level(age: Column) -> Column:
+    """The warning that debt of so many days is worth: none before a week."""
+    return F.when(age >= 30, "critical").when(age >= 14, "warning").when(age >= 7, "info")

@@ -32,9 +32,19 @@ def code_hash(content: Column, language: Column) -> Column:
     return F.sha2(normalized_code(content, language), 256)
 
 
+# How messages refer to lines, and what a flow's message looks like.
+LINE_REFERENCE = r"\s*\(line \d+\)|\bat line \d+\b"
+TAINT_MESSAGE = r"Unsanitized data flow:\s*(\S+)\s+\(line \d+\)\s*->\s*(\S+)\s+\[([^\]]+)\]"
+
+
 def finding_fingerprint(rule: Column, path: Column, message: Column) -> Column:
-    """Key of a finding that outlives shifted lines: rule, path, and the message without line references."""
-    stable = F.regexp_replace(message, r"(?i)\s*(?:\(line \d+\)|at line \d+)", "")
+    """Key of a finding that outlives shifted lines: rule, path, and the message without line references.
+
+    The message of a flow is its source, sink and type alone.
+    """
+    parts = [F.regexp_extract(message, TAINT_MESSAGE, i) for i in (1, 2, 3)]
+    flow = F.concat(F.lit("taint:"), parts[0], F.lit("->"), parts[1], F.lit("["), parts[2], F.lit("]"))
+    stable = F.when(message.rlike(TAINT_MESSAGE), flow).otherwise(F.regexp_replace(message, LINE_REFERENCE, ""))
     return F.sha2(F.concat_ws(":", rule, path, stable), 256)
 
 

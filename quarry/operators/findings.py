@@ -212,3 +212,20 @@ def module_debt(current: DataFrame, baseline: DataFrame, debt: DataFrame) -> Dat
         F.count_if(F.col("n").isNotNull() & F.coalesce("held", F.lit(False))).alias("stays"),
     )
     return per.where("findings > 0").select("module", "findings", "new_debt", "resolved_debt", (F.col("stays") + F.col("new_debt")).alias("total_debt"))
+
+
+def with_first_flow(findings: DataFrame, flows: DataFrame, reach: int = 3) -> DataFrame:
+    """Findings (rule_id, path, line, ...) with `flow` and `vulnerability_class` of the first flow that starts or ends near them.
+
+    Flows have path, position, source, source_line, sink, sink_line; first is by position, near is within `reach` lines. `flow` has
+    position, source and sink with their lines, and is null without one, or for line 0. The class is the middle of a
+    rule's name of three words or more. Both ends of a flow meet findings by blocks of lines.
+    """
+    size = reach + 1
+    named = lambda n: F.concat(F.col(n), F.lit(" (line "), F.col(f"{n}_line").cast("string"), F.lit(")"))
+    ends = flows.select("path", F.struct("position", named("source").alias("source"), named("sink").alias("sink")).alias("flow"), F.explode(F.array("source_line", "sink_line")).alias("at")).withColumn("block", F.floor(F.col("at") / size))
+    asked = findings.select("path", "line").where("line > 0").distinct().withColumn("block", F.explode(F.array(*[F.floor(F.col("line") / size) + k for k in (-1, 0, 1)])))
+    near = asked.join(ends, ["path", "block"]).where(F.abs(F.col("at") - F.col("line")) <= reach).groupBy("path", "line").agg(F.min("flow").alias("flow"))
+    parts = F.split("rule_id", "-")
+    middle = F.when(F.size(parts) >= 3, F.array_join(F.slice(parts, F.lit(2), F.size(parts) - 2), "-")).otherwise("unknown")
+    return findings.join(near, ["path", "line"], "left").withColumn("vulnerability_class", F.when(F.col("flow").isNotNull(), middle))

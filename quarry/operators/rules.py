@@ -75,9 +75,17 @@ def match_patterns(files: DataFrame, rules: Sequence[Rule], *, honour_markers: b
 
 
 def file_metrics(files: DataFrame) -> DataFrame:
-    """size_bytes and line_count (newlines + 1; an empty file has none)."""
+    """size_bytes, line_count and hash, the SHA-256 of the lines each with a line feed.
+
+    A line feed ends a line and begins none, and a carriage return before it belongs to it; an empty file has no line. A
+    binary file has no lines and the hash of its content.
+    """
     content = F.coalesce(F.col("content"), F.lit(""))
-    return files.withColumn("size_bytes", F.octet_length(content)).withColumn("line_count", F.when(F.length(content) == 0, 0).otherwise(F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1))
+    plain = F.replace(content, F.lit("\r\n"), F.lit("\n"))
+    ended = F.when((plain == "") | F.endswith(plain, F.lit("\n")), plain).otherwise(F.concat(plain, F.lit("\n")))
+    binary = F.contains(content, F.lit("\0"))
+    count = F.when(binary, 0).otherwise(F.length(ended) - F.length(F.replace(ended, F.lit("\n"), F.lit(""))))
+    return files.withColumn("size_bytes", F.octet_length(content)).withColumn("line_count", count).withColumn("hash", F.sha2(F.encode(F.when(binary, content).otherwise(ended), "UTF-8"), 256))
 
 
 def validate_metrics(files: DataFrame, rules: Sequence[MetricRule]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import scores, text
 from quarry.operators import findings as O
 from quarry.plans.base import query
+from quarry.plans.carriers import CARRIERS
 
 ENTRIES = [
     {"rules": ["xss-dom"], "file": "src/m1/*", "reason": "vendored"},
@@ -16,7 +17,7 @@ ENTRIES = [
     {"rules": ["cmd-injection"], "enabled": False, "reason": "off"},
 ]
 _ENTRY = """((rule_id = 'xss-dom' AND regexp_matches(path, '^src/m1/.*$')) OR (path = 'src/m2/f2.py' OR line = 7) OR (rule_id = 'weak-crypto' AND line = 12))"""
-_FP = r"sha256(rule_id || ':' || path || ':' || regexp_replace(message, '(?i)\s*(?:\(line \d+\)|at line \d+)', '', 'g'))"
+_FP = f"sha256(rule_id || ':' || path || ':' || CASE WHEN regexp_matches(message, '{text.TAINT_MESSAGE}') THEN regexp_replace(regexp_extract(message, '{text.TAINT_MESSAGE}'), '{text.TAINT_MESSAGE}', 'taint:\\1->\\2[\\3]') ELSE regexp_replace(message, '{text.LINE_REFERENCE}', '', 'g') END)"
 _RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE {} END"
 
 
@@ -102,9 +103,13 @@ def j1_known(findings, baseline):
     return O.apply_baseline(key(findings), key(baseline))[1].select("seq")
 
 
-@query("j2_fingerprint", f"SELECT seq, {_FP} AS fp FROM findings", ("findings",))
+_FLOW_MESSAGE = "CASE WHEN sup % 3 = 0 THEN 'Found. Unsanitized data flow: in' || CAST(sup % 9 AS STRING) || ' (line ' || CAST(line AS STRING) || ') -> out.run [' || severity || ' use] (line ' || CAST(seq % 90 AS STRING) || ')' ELSE message END"
+
+
+@query("j2_fingerprint", f"SELECT seq, {_FP} AS fp FROM (SELECT seq, rule_id, path, {_FLOW_MESSAGE} AS message FROM findings)", ("findings",))
 def j2(findings):
-    return findings.select("seq", text.finding_fingerprint(F.col("rule_id"), F.col("path"), F.col("message")).alias("fp"))
+    told = findings.withColumn("message", F.expr(_FLOW_MESSAGE))
+    return told.select("seq", text.finding_fingerprint(F.col("rule_id"), F.col("path"), F.col("message")).alias("fp"))
 
 
 @query("j3_snapshot_compare", """WITH a AS (SELECT DISTINCT code_hash FROM issues WHERE snapshot = 1), b AS (SELECT code_hash, max(state) AS state FROM issues WHERE snapshot = 2 GROUP BY code_hash)
@@ -221,6 +226,18 @@ def j31(findings):
     return findings.select("seq", F.when(line.between(start, end), line).when(line.between(1, end - start + 1), line + (start - 1)).otherwise(start).alias("fixed"))
 
 
+CARRIERS["flows"] = "SELECT o_orderkey AS position, 'src/m' || CAST(o_custkey % 7 AS STRING) || '/f' || CAST(o_custkey % 211 AS STRING) || '.py' AS path, CAST(o_orderkey % 50 AS INT) AS source_line, CAST(o_custkey % 61 AS INT) AS sink_line, 'in' || CAST(o_orderkey % 5 AS STRING) AS source, o_orderstatus AS sink FROM orders"
+
+
+@query("j33_taint_context", """SELECT seq, line, path, message, position, source || ' (line ' || source_line || ')' AS source, sink || ' (line ' || sink_line || ')' AS sink, vulnerability_class FROM (
+  SELECT f.*, t.*, CASE WHEN len(string_split(f.rule_id, '-')) >= 3 THEN array_to_string(string_split(f.rule_id, '-')[2:-2], '-') ELSE 'unknown' END AS vulnerability_class, row_number() OVER (PARTITION BY f.seq, f.line, f.path, f.message, f.rule_id ORDER BY t.position) AS n
+  FROM (SELECT DISTINCT seq, line, path, message, rule_id FROM (SELECT seq, line, path, message, 'scan-' || rule_id || CASE WHEN sup % 2 = 0 THEN '-0' ELSE '' END AS rule_id FROM findings WHERE line > 0)) f JOIN (SELECT position, path AS flow_path, source_line, sink_line, source, sink FROM flows) t ON f.path = t.flow_path AND (abs(t.source_line - f.line) <= 3 OR abs(t.sink_line - f.line) <= 3)) WHERE n = 1""", ("findings", "flows"))
+def j33_context(findings, flows):
+    named = findings.select("seq", "line", "path", "message", F.concat(F.lit("scan-"), "rule_id", F.when(F.col("sup") % 2 == 0, "-0").otherwise("")).alias("rule_id")).distinct()
+    told = O.with_first_flow(named, flows)
+    return told.where("flow IS NOT NULL").select("seq", "line", "path", "message", "flow.position", "flow.source", "flow.sink", "vulnerability_class")
+
+
 @query("j33_interval_first", """SELECT seq, p FROM (SELECT f.seq, c.line AS p, row_number() OVER (PARTITION BY f.seq ORDER BY c.line) AS n FROM findings f JOIN changed c ON f.path = c.path AND c.line BETWEEN f.line - 3 AND f.line + 3 WHERE f.severity = 'high') WHERE n = 1""", ("findings", "changed"))
 def j33(findings, changed):
     # within 3 lines means the same or a neighbouring block of 4: an equi-join on blocks

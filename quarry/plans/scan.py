@@ -31,7 +31,7 @@ def f1_by_rule(files):
     return R.match_patterns(files, RULES).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("n_files"))
 
 
-@query("f2_metric_rules", """WITH m AS (SELECT path, strlen(coalesce(content, '')) AS size_bytes, CASE WHEN coalesce(content, '') = '' THEN 0 ELSE len(string_split(content, chr(10))) END AS line_count FROM files)
+@query("f2_metric_rules", """WITH m AS (SELECT path, strlen(coalesce(content, '')) AS size_bytes, CASE WHEN coalesce(content, '') = '' THEN 0 ELSE len(string_split(content, chr(10))) - ends_with(content, chr(10))::INT END AS line_count FROM files)
 SELECT path, 0 AS line, 'max-size' AS rule_id, 'medium' AS severity, size_bytes AS value FROM m WHERE size_bytes > 4000
 UNION ALL SELECT path, 0, 'max-lines', 'low', line_count FROM m WHERE line_count > 20""", ("files",))
 def f2(files):
@@ -315,9 +315,16 @@ def s2(files):
     return files.select("path", language_of(F.col("path")).alias("detected"))
 
 
-@query("s3_file_stats", "SELECT path, strlen(coalesce(content, '')) AS size_bytes, CASE WHEN coalesce(content, '') = '' THEN 0 ELSE len(string_split(content, chr(10))) END AS line_count, sha256(coalesce(content, '')) AS hash FROM files", ("files",))
+# whole texts, some with a last line feed, carriage returns, or nothing in them
+_ENDS = "SELECT path, CASE doc_id % 5 WHEN 0 THEN content || chr(10) WHEN 1 THEN replace(content, chr(10), chr(13) || chr(10)) WHEN 2 THEN CASE WHEN doc_id % 20 = 2 THEN '' ELSE content || chr(10) || chr(10) END ELSE content END AS content FROM files"
+
+
+@query("s3_file_stats", f"""WITH e AS ({_ENDS}), p AS (SELECT path, content, replace(content, chr(13) || chr(10), chr(10)) AS plain FROM e), n AS (SELECT path, content, CASE WHEN plain = '' OR ends_with(plain, chr(10)) THEN plain ELSE plain || chr(10) END AS ended FROM p)
+SELECT path, strlen(content) AS size_bytes, length(ended) - length(replace(ended, chr(10), '')) AS line_count, sha256(ended) AS hash FROM n""", ("files",))
 def s3(files):
-    return R.file_metrics(files).select("path", "size_bytes", "line_count", F.sha2(F.coalesce("content", F.lit("")), 256).alias("hash"))
+    files.createOrReplaceTempView("s3_files")
+    told = files.sparkSession.sql(_ENDS.replace("FROM files", "FROM s3_files"))
+    return R.file_metrics(told).select("path", "size_bytes", "line_count", "hash")
 
 
 @query("s6_discovery_stats", "SELECT language, count(*) AS n, sum(strlen(coalesce(content, '')))::BIGINT AS bytes FROM files GROUP BY language", ("files",))

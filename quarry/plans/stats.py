@@ -55,11 +55,11 @@ def a7(findings):
     return findings.groupBy("path").agg(F.round(scores.decayed(10.0, F.sum(scores.penalty(F.col("severity")))), 3).alias("score"))
 
 
-@query("a9_hundred_scale", "SELECT frame_id, greatest(0.0, least(100.0, 100.0 - sum(CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 5 WHEN 'medium' THEN 2 WHEN 'low' THEN 0.5 ELSE 0 END) / 200))::DOUBLE AS score FROM findings GROUP BY frame_id", ("findings",))
+@query("a9_hundred_scale", """SELECT path, line, greatest(0.0, least(100.0, 100.0 - sum(CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 5 WHEN 'medium' THEN 2 WHEN 'low' THEN 0.5 ELSE 0 END) + CASE line % 3 WHEN 0 THEN 5 WHEN 1 THEN -10 ELSE 0 END))::DOUBLE AS score FROM findings GROUP BY path, line""", ("findings",))
 def a9(findings):
-    s = F.col("severity")
-    lost = F.sum(F.when(s == "critical", 10.0).when(s == "high", 5.0).when(s == "medium", 2.0).when(s == "low", 0.5).otherwise(0.0))
-    return findings.groupBy("frame_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - lost / 200)).alias("score"))
+    trend = F.when(F.col("line") % 3 == 0, "IMPROVING").when(F.col("line") % 3 == 1, "DEGRADING").otherwise("STABLE")
+    lost = findings.groupBy("path", "line").agg(F.sum(scores.deduction(F.col("severity"))).alias("lost"))
+    return lost.select("path", "line", scores.hundred(F.col("lost"), trend).alias("score"))
 
 
 WEIGHTS = {"complexity": 0.25, "duplication": 0.20, "maintainability": 0.20, "naming": 0.15, "documentation": 0.15, "testability": 0.05}
@@ -84,10 +84,12 @@ def a11_hotspots(metrics):
     return metrics.select("file_id", "impact").orderBy(F.desc("impact"), "file_id").limit(10)
 
 
-@query("a12_debt_report", "SELECT type, count(*) AS n, max(date_diff('day', ts::DATE, DATE '2024-02-15'))::INT AS age, CASE WHEN max(date_diff('day', ts::DATE, DATE '2024-02-15')) >= 30 THEN 'critical' WHEN max(date_diff('day', ts::DATE, DATE '2024-02-15')) >= 14 THEN 'warning' ELSE 'info' END AS level FROM issues GROUP BY type", ("issues",))
+@query("a12_debt_report", """WITH g AS (SELECT type, user_hash, count(*) AS n, max(date_diff('day', ts::DATE, DATE '2024-02-01'))::INT AS age FROM (SELECT type, ts, split_part(code_hash, ':', 1) AS user_hash FROM issues) GROUP BY type, user_hash)
+SELECT type, user_hash, n, age, CASE WHEN age >= 30 THEN 'critical' WHEN age >= 14 THEN 'warning' WHEN age >= 7 THEN 'info' END AS level FROM g""", ("issues",))
 def a12(issues):
-    age = F.max(F.datediff(F.lit("2024-02-15").cast("date"), F.to_date("ts")))
-    return issues.groupBy("type").agg(F.count(F.lit(1)).alias("n"), age.alias("age")).withColumn("level", F.when(F.col("age") >= 30, "critical").when(F.col("age") >= 14, "warning").otherwise("info"))
+    age = F.max(F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("ts")))
+    g = issues.withColumn("user_hash", F.split_part("code_hash", F.lit(":"), F.lit(1))).groupBy("type", "user_hash").agg(F.count(F.lit(1)).alias("n"), age.alias("age"))
+    return g.withColumn("level", scores.debt_level(F.col("age")))
 
 
 @query("a14_frame_requests", "SELECT frame, count(*) AS calls, sum(tokens_in + tokens_out)::BIGINT AS tokens, round(sum(duration_ms), 2) AS ms, count(*) FILTER (NOT ok) AS errors FROM requests GROUP BY frame", ("requests",))
