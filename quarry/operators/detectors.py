@@ -94,8 +94,9 @@ def structure_findings(tree: DataFrame, *, most_lines: int = 50, most_params: in
 
 
 def unused_imports(tree: DataFrame) -> DataFrame:
-    used = tree.where("kind in ('name', 'call')").select("path", F.split_part("name", F.lit("."), F.lit(1)).alias("name")).distinct()
-    imports = tree.where("kind = 'import' and not startswith(value, '__future__')")
+    """Imported names that their file neither uses nor lists in __all__; not of __future__, not *, not for type checkers only."""
+    used = tree.where("kind in ('name', 'call', 'export')").select("path", F.split_part("name", F.lit("."), F.lit(1)).alias("name")).distinct()
+    imports = tree.where("kind = 'import' AND NOT startswith(value, '__future__') AND name <> '*' AND NOT coalesce(has_doc, false)")
     return _found(imports.join(used, ["path", "name"], "left_anti"), "unused-import", "low", F.col("value"))
 
 
@@ -106,6 +107,33 @@ def unreferenced(tree: DataFrame) -> DataFrame:
     return _found(defs.join(used, "name", "left_anti"), "unreferenced", "low", F.col("name"))
 
 
+# Names that frameworks call, and decorators that make a function an entry point.
+DISPATCHED = (
+    "generic_visit", "setUp", "tearDown", "setUpClass", "tearDownClass", "setUpModule", "tearDownModule", "get_queryset", "get_context_data", "get_object", "form_valid", "form_invalid", "get_form_class",
+    "get_success_url", "dispatch", "model_post_init", "main",
+)
+ENTRY_DECORATORS = (
+    "route", "get", "post", "put", "delete", "patch", "before_request", "after_request", "teardown_request", "errorhandler", "before_app_request", "after_app_request", "app_errorhandler", "teardown_appcontext",
+    "api_route", "websocket", "on_event", "middleware", "login_required", "permission_required", "csrf_exempt", "require_http_methods", "staff_member_required", "task", "shared_task", "periodic_task",
+    "command", "group", "callback", "fixture", "mark", "parametrize", "abstractmethod", "staticmethod", "classmethod", "property", "cached_property", "overload", "override",
+)
+
+
+def unreferenced_definitions(tree: DataFrame) -> DataFrame:
+    """path, kind (unreferenced_function or unreferenced_class), name, line: definitions that their own file never names.
+
+    A name inside the definition itself does not count, any attribute of that name does. Of definitions with one name the last
+    counts. Dunder names, names that frameworks call and functions with an entry decorator are exempt.
+    """
+    inside = F.element_at(F.split("parent", r"\."), -1)
+    used = tree.where((F.col("kind") == "attribute") | ((F.col("kind") == "name") & (F.coalesce(inside, F.lit("")) != F.col("name")))).select("path", "name").distinct()
+    defs = tree.where("kind in ('function', 'class')").groupBy("path", "name").agg(F.max_by(F.struct("kind", "line", "bases"), F.struct("line", "end_line")).alias("d"))
+    entry = F.exists(F.coalesce(F.when(F.col("d.kind") == "function", F.col("d.bases")), F.array().cast("array<string>")), lambda m: F.lower(F.element_at(F.split(m, r"\."), -1)).isin(*ENTRY_DECORATORS))
+    exempt = F.col("name").isin(*DISPATCHED) | F.startswith("name", F.lit("visit_")) | F.col("name").rlike("^__.*__$") | entry
+    left = defs.where(~exempt).join(used, ["path", "name"], "left_anti")
+    return left.select("path", F.concat(F.lit("unreferenced_"), "d.kind").alias("kind"), "name", F.col("d.line").alias("line"))
+
+
 def documentation_coverage(tree: DataFrame) -> DataFrame:
     """path, share of documented functions and classes (100 where there are none)."""
     d = tree.where("kind in ('function', 'class', 'module')")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import detectors as D
 from quarry.operators import graphs as G
 from quarry.operators import projects as P
 from quarry.operators import taint
 from quarry.plans.base import query
 from quarry.plans.carriers import CARRIERS
+from quarry.sources import python_ast
 
 # Rings of 3 to 11 symbols, some broken, some with chords.
 CARRIERS["rings"] = """SELECT 'r' || CAST(block AS STRING) || '_' || CAST(i AS STRING) AS source, 'r' || CAST(block AS STRING) || '_' || CAST((i + 1) % size AS STRING) AS target,
@@ -125,3 +127,35 @@ def j25(code, documents):
     own = code.select("path", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(v, F.lit("")).alias("name")) for k, v in asked.items()])).alias("x")).select("path", "x.kind", "x.name")
     files = code.select("path", "content").unionByName(documents.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")))
     return P.named_elsewhere(own, files).select("path", "kind", "name", "elsewhere")
+
+
+# Files whose imports, exports, uses and definitions vary with the columns of the part.
+CARRIERS["scattered"] = """SELECT p_partkey AS id, p_size AS size, 'lib/f' || CAST(p_partkey AS STRING) || '.py' AS path,
+ 'from __future__ import annotations' || chr(10) || 'import os' || chr(10) ||
+ CASE p_size % 4 WHEN 0 THEN 'import json as j' WHEN 1 THEN 'from typing import TYPE_CHECKING' WHEN 2 THEN 'from x import *' ELSE 'from a import b, c' END || chr(10) ||
+ CASE WHEN p_size % 3 = 0 THEN 'if typing.TYPE_CHECKING:' || chr(10) || '    import late' ELSE 'import early.inner' || chr(10) || 'pass' END || chr(10) ||
+ CASE p_size % 5 WHEN 0 THEN '__all__ = ["os", "b"]' WHEN 1 THEN 'os.getcwd()' WHEN 2 THEN 'j.loads(c)' WHEN 3 THEN 'early.inner.run(TYPE_CHECKING)' ELSE 'pass' END || chr(10) ||
+ 'def alone' || CAST(p_partkey AS STRING) || '(n):' || chr(10) || '    return alone' || CAST(p_partkey AS STRING) || '(n - 1)' || chr(10) ||
+ CASE WHEN p_size % 7 = 0 THEN '@app.route("/x")' ELSE '@other' END || chr(10) || 'def view' || CAST(p_partkey AS STRING) || '():' || chr(10) || '    pass' || chr(10) ||
+ 'class Repo' || CAST(p_partkey AS STRING) || '(Base):' || chr(10) || '    def visit_Name(self): pass' || chr(10) || '    def go' || CAST(p_partkey AS STRING) || '(self): return self.step' || chr(10) || '    def step(self): pass' || chr(10) ||
+ CASE WHEN p_size % 2 = 0 THEN 'alone' || CAST(p_partkey AS STRING) || '(1)' WHEN p_size % 3 = 0 THEN 'alone' || CAST(p_partkey + 1 AS STRING) || '(go' || CAST(p_partkey + 2 AS STRING) || ')' ELSE 'Repo' || CAST(p_partkey AS STRING) END AS content FROM part"""
+
+
+@query("j23_file_unused_imports", """SELECT path, module, line FROM (
+  SELECT path, 'os' AS module, 2 AS line, size % 5 NOT IN (0, 1) AS lost FROM scattered UNION ALL SELECT path, 'json', 3, size % 4 = 0 AND size % 5 <> 2 FROM scattered
+  UNION ALL SELECT path, 'typing.TYPE_CHECKING', 3, size % 4 = 1 AND size % 5 <> 3 FROM scattered UNION ALL SELECT path, 'a.b', 3, size % 4 = 3 AND size % 5 <> 0 FROM scattered UNION ALL SELECT path, 'a.c', 3, size % 4 = 3 AND size % 5 <> 2 FROM scattered
+  UNION ALL SELECT path, 'early.inner', 4, size % 3 <> 0 AND size % 5 <> 3 FROM scattered) WHERE lost""", ("scattered",))
+def j23(scattered):
+    found = D.unused_imports(python_ast.parse(scattered))
+    return found.select("path", F.col("detail").alias("module"), F.col("line").cast("int").alias("line"))
+
+
+@query("j24_project_orphans", """WITH d AS (SELECT path, 'unreferenced_function' AS kind, 'alone' || id AS name, 7 AS line FROM scattered WHERE size % 2 <> 0
+  UNION ALL SELECT path, 'unreferenced_function', 'view' || id, 10 FROM scattered WHERE size % 7 <> 0 UNION ALL SELECT path, 'unreferenced_class', 'Repo' || id, 12 FROM scattered WHERE size % 2 = 0 OR size % 3 = 0
+  UNION ALL SELECT path, 'unreferenced_function', 'go' || id, 14 FROM scattered),
+w AS (SELECT DISTINCT path, unnest(regexp_extract_all(content, '[\\pL\\pN_]+')) AS name FROM scattered), c AS (SELECT name, count(*) AS n FROM w GROUP BY name)
+SELECT d.path, kind, d.name, line FROM d JOIN c ON c.name = d.name WHERE n = 1""", ("scattered",))
+def j24(scattered):
+    """Definitions that neither their own file nor any other names."""
+    found = D.unreferenced_definitions(python_ast.parse(scattered))
+    return P.without_cross_file(found, scattered).select("path", "kind", "name", F.col("line").cast("int").alias("line"))

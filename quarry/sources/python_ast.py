@@ -12,7 +12,10 @@ SCHEMA = (
 
 
 def _rows(path: str, source: str | None) -> list[tuple]:
-    """kind is module, function, class, import, call, name, handler, dead, literal or error."""
+    """kind is module, function, class, import, export, call, name, attribute, read, write, handler, dead, literal or error.
+
+    A function's bases are its decorators; an import's has_doc says that only type checkers read it; exports are the names of __all__.
+    """
     import ast
 
     out: list[tuple] = []
@@ -41,6 +44,12 @@ def _rows(path: str, source: str | None) -> list[tuple]:
     def dotted(node):
         return f"{dotted(node.value)}.{node.attr}" if isinstance(node, ast.Attribute) else node.id if isinstance(node, ast.Name) else ""
 
+    def type_checking(node):
+        return isinstance(node, ast.If) and (isinstance(node.test, ast.Name) and node.test.id or isinstance(node.test, ast.Attribute) and node.test.attr) == "TYPE_CHECKING"
+
+    #: Lines of blocks that only type checkers read.
+    typing_only = {n.lineno for block in ast.walk(tree) if type_checking(block) for s in block.body for n in ast.walk(s) if hasattr(n, "lineno")}
+
     def visit(node, parent):
         for body in (getattr(node, f, None) for f in ("body", "orelse", "finalbody")):
             if isinstance(body, list):
@@ -51,7 +60,8 @@ def _rows(path: str, source: str | None) -> list[tuple]:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             a = node.args
             params = [p.arg for p in (*a.posonlyargs, *a.args, *a.kwonlyargs) if p.arg not in ("self", "cls")]
-            add("function", node.name, parent, node, len(params), deepest(node), branches(node), ast.get_docstring(node) is not None, None, ",".join(params))
+            marks = [dotted(d.func if isinstance(d, ast.Call) else d) for d in node.decorator_list]
+            add("function", node.name, parent, node, len(params), deepest(node), branches(node), ast.get_docstring(node) is not None, marks, ",".join(params))
             inner = f"{parent}.{node.name}" if parent else node.name
         elif isinstance(node, ast.ClassDef):
             add("class", node.name, parent, node, has_doc=ast.get_docstring(node) is not None, bases=[dotted(b) for b in node.bases])
@@ -59,12 +69,17 @@ def _rows(path: str, source: str | None) -> list[tuple]:
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
             for n in node.names:
                 module = n.name if isinstance(node, ast.Import) else f"{node.module or ''}.{n.name}"
-                add("import", (n.asname or n.name).split(".")[0], parent, node, value=module)
+                add("import", (n.asname or n.name).split(".")[0], parent, node, has_doc=node.lineno in typing_only, value=module)
+        elif isinstance(node, ast.Assign) and isinstance(node.value, ast.List) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets):
+            for e in node.value.elts:
+                if isinstance(e, ast.Constant) and isinstance(e.value, str):
+                    add("export", e.value, parent, e)
         elif isinstance(node, ast.Call):
             add("call", dotted(node.func), parent, node, len(node.args) + len(node.keywords))
         elif isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load):
             add("name", node.id, parent, node)
         elif isinstance(node, ast.Attribute):
+            add("attribute", node.attr, parent, node)
             target = dotted(node)
             if target.startswith("self."):
                 add("write" if isinstance(node.ctx, ast.Store) else "read", target[5:], parent, node)
