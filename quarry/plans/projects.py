@@ -8,6 +8,7 @@ from quarry.operators import detectors as D
 from quarry.operators import graphs as G
 from quarry.operators import projects as P
 from quarry.operators import taint
+from quarry.operators import windows
 from quarry.plans.base import query
 from quarry.plans.carriers import CARRIERS
 from quarry.sources import python_ast
@@ -159,3 +160,22 @@ def j24(scattered):
     """Definitions that neither their own file nor any other names."""
     found = D.unreferenced_definitions(python_ast.parse(scattered))
     return P.without_cross_file(found, scattered).select("path", "kind", "name", F.col("line").cast("int").alias("line"))
+
+
+# Documents as bodies of one word a line, with up to three targets, some outside.
+CARRIERS["bodies"] = "SELECT doc_id AS id, replace(text, ' ', chr(10)) AS text, CAST(doc_id % 50 + 1 AS INT) AS start FROM documents"
+CARRIERS["aims"] = "SELECT doc_id AS id, CAST(doc_id % 50 + CASE doc_id % 4 WHEN 0 THEN 40 WHEN 1 THEN 90 WHEN 2 THEN 7 ELSE -9 END AS INT) AS line FROM documents UNION ALL SELECT doc_id, CAST(doc_id % 50 + 1 + n_chars % 300 AS INT) FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, CAST(doc_id % 50 + 44 AS INT) FROM documents WHERE doc_id % 5 < 2"
+
+
+@query("w12_centred_windows", """WITH b AS (SELECT id, start, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) AS lines, text FROM bodies WHERE text <> ''),
+n AS (SELECT *, len(lines) AS total FROM b),
+t AS (SELECT DISTINCT n.id, a.line - start AS aim FROM n JOIN aims a ON a.id = n.id AND a.line - start BETWEEN 0 AND total - 1),
+u AS (SELECT * FROM t UNION ALL SELECT id, least(5, total - 1) FROM n WHERE id NOT IN (SELECT id FROM t)),
+c AS (SELECT sig, reach, sp * 9 + rp AS place FROM (SELECT unnest([5, 3, 2, 1]) AS sig, unnest([0, 1, 2, 3]) AS sp), (SELECT unnest([20, 15, 10, 7, 5, 3, 2, 1, 0]) AS reach, unnest(range(9)) AS rp)),
+s AS (SELECT DISTINCT id, place, i FROM (SELECT n.id, place, unnest(range(least(sig, total))) AS i FROM n, c UNION ALL SELECT n.id, place, unnest(range(greatest(0, aim - reach), least(total, aim + reach + 1))) FROM n JOIN u ON u.id = n.id, c)),
+g AS (SELECT s.id, place, i, i - coalesce(lag(i) OVER w, i - 1) - 1 AS gap, lines[i + 1] AS line, total - 1 - max(i) OVER (PARTITION BY s.id, place) AS rest FROM s JOIN n ON n.id = s.id WINDOW w AS (PARTITION BY s.id, place ORDER BY i)),
+x AS (SELECT id, place, string_agg(CASE WHEN gap > 0 THEN '    ... [' || gap || ' lines omitted] ...' || chr(10) ELSE '' END || line, chr(10) ORDER BY i) || CASE WHEN max(rest) > 0 THEN chr(10) || '    ... [' || max(rest) || ' lines omitted] ...' ELSE '' END AS excerpt FROM g GROUP BY id, place),
+f AS (SELECT id, arg_min(excerpt, place) AS excerpt, min(place) AS place FROM x WHERE length(excerpt) // 4 <= 60 GROUP BY id)
+SELECT bodies.id, sha256(coalesce(excerpt, CASE WHEN length(text) // 4 <= 60 THEN text ELSE text[:240] END)) AS excerpt, sig AS top, reach FROM bodies LEFT JOIN f ON f.id = bodies.id LEFT JOIN c ON c.place = f.place""", ("bodies", "aims"))
+def w12(bodies, aims):
+    return windows.centred(bodies, aims, 60).select("id", F.sha2("excerpt", 256).alias("excerpt"), "top", "reach")
