@@ -36,18 +36,44 @@ def string_key(c: Column) -> Column:
     return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long"), F.lit(0))
 
 
-def _composite(n: Node) -> Column:
-    span = max(n.high - n.low, 1.0)
-    place = F.floor((F.col(n.dim).cast("double") - F.lit(n.low)) / F.lit(span) * F.lit(float(2**DIM_BITS - 1)))
-    place = F.least(F.greatest(place.cast("long"), F.lit(0)), F.lit(2**DIM_BITS - 1))
-    return F.shiftleft(place, TIE_BITS).bitwiseOR(F.col("tie").bitwiseAND(F.lit(2**TIE_BITS - 1)))
-
-
-def _locate(root: Node, of) -> Column:
-    """A nested CASE that walks the tree; `of(node)` gives the value at a leaf."""
-    if not root.kids:
-        return of(root)
-    return F.when(_composite(root) < F.lit(root.cut), _locate(root.kids[0], of)).otherwise(_locate(root.kids[1], of))
+class Tree:
+    """The tree as arrays by node number, level by level, which rows walk down with one step a level."""
+
+    def __init__(self, root: Node, dims: list[str]):
+        self.nodes, self.depth = [root], 0
+        level = [root]
+        while any(n.kids for n in level):
+            level = [k for n in level for k in n.kids]
+            self.nodes += level
+            self.depth += 1
+        number = {id(n): i for i, n in enumerate(self.nodes)}
+        self.number = number
+        array = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
+        self.dim = array([dims.index(n.dim) + 1 if n.dim else 1 for n in self.nodes], "int")
+        self.low = array([n.low for n in self.nodes], "double")
+        self.span = array([max(n.high - n.low, 1.0) for n in self.nodes], "double")
+        self.cut = array([n.cut for n in self.nodes], "long")
+        self.first = array([number[id(n.kids[0])] if n.kids else -1 for n in self.nodes], "int")
+        self.values = F.array(*[F.col(d).cast("double") for d in dims])
+
+    def key(self, node: Column) -> Column:
+        """A row's place in its node's dimension, with bits of a hash below it that part ties."""
+        at = node + 1
+        place = F.floor((F.element_at(self.values, F.element_at(self.dim, at)) - F.element_at(self.low, at)) / F.element_at(self.span, at) * F.lit(float(2**DIM_BITS - 1)))
+        place = F.least(F.greatest(place.cast("long"), F.lit(0)), F.lit(2**DIM_BITS - 1))
+        return F.shiftleft(place, TIE_BITS).bitwiseOR(F.col("tie").bitwiseAND(F.lit(2**TIE_BITS - 1)))
+
+    def leaf(self) -> Column:
+        """The number of the leaf that a row comes to."""
+        if not self.depth:
+            return F.lit(0)
+
+        def step(node, _):
+            first = F.element_at(self.first, node + 1)
+            right = F.when(self.key(node) >= F.element_at(self.cut, node + 1), 1).otherwise(0)
+            return F.when(first < 0, node).otherwise(first + right)
+
+        return F.aggregate(F.array(*map(F.lit, range(self.depth))), F.lit(0), step)
 
 
 def _frontier(root: Node) -> list[Node]:
@@ -56,20 +82,20 @@ def _frontier(root: Node) -> list[Node]:
 
 def _split(base: DataFrame, root: Node, dims: list[str], widths: dict[str, float]) -> None:
     """Splits every leaf of the tree that still stands for more than one shard."""
-    leaves = _frontier(root)
-    index = {id(n): i for i, n in enumerate(leaves)}
-    live = [n for n in leaves if n.leaves > 1]
-    node = _locate(root, lambda n: F.lit(index[id(n)]))
-    spans = {r["node"]: r for r in base.groupBy(node.alias("node")).agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]).collect()}
+    live = [n for n in _frontier(root) if n.leaves > 1]
+    index = Tree(root, dims).number
+    rows = base.withColumn("node", Tree(root, dims).leaf())
+    spans = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]).collect()}
     for n in live:
         if s := spans.get(index[id(n)]):
             n.dim = max(dims, key=lambda d: (s[f"hi_{d}"] - s[f"lo_{d}"]) / max(widths[d], 1.0))
             n.low, n.high = float(s[f"lo_{n.dim}"]), float(s[f"hi_{n.dim}"])
         else:
             n.dim = dims[0]
-    # one long a row: the node's number above the 30 bits of its key; -1 where there is nothing to split
-    code = _locate(root, lambda n: (_composite(n) + F.lit(index[id(n)] << 30)) if n.leaves > 1 else F.lit(-1).cast("long"))
-    coded = base.select("size", code.alias("code"))
+    # one long a row: the node's number above the 30 bits of its key; rows of whole nodes have nothing to split
+    split = F.col("node").isin([index[id(n)] for n in live])
+    tree = Tree(root, dims)
+    coded = rows.where(split).select("size", (tree.key(F.col("node")) + F.shiftleft(F.col("node").cast("long"), 30)).alias("code"))
     want = {index[id(n)]: (spans[index[id(n)]]["bytes"] if index[id(n)] in spans else 0) * ((n.leaves + 1) // 2) / n.leaves for n in live}
     found = {i: (i, 0) for i in want}  # the code's leading bits so far; bytes before them
     for step in range(ROUNDS):
@@ -127,8 +153,10 @@ def kd_shards(docs: DataFrame, *, n_shards: int | None = None, target_bytes: int
         widths = {d: float(total[f"hi_{d}"] - total[f"lo_{d}"]) for d in names}
         while any(n.leaves > 1 for n in _frontier(root)):
             _split(base, root, names, widths)
-    number = {id(n): i for i, n in enumerate(_frontier(root))}
-    placed = base.withColumn("shard", _locate(root, lambda n: F.lit(number[id(n)]))).select("doc_id", "size", "text_crc32", "tie", "shard")
+    tree = Tree(root, names)
+    shards = {tree.number[id(n)]: i for i, n in enumerate(_frontier(root))}
+    shard = F.element_at(F.array(*[F.lit(shards.get(i, -1)) for i in range(len(tree.nodes))]), tree.leaf() + 1)
+    placed = base.withColumn("shard", shard).select("doc_id", "size", "text_crc32", "tie", "shard")
     parts = max(1, math.ceil((total["n"] or 0) / (n_shards * ROWS_A_PART)))
     numbered = running_offset(placed, ["shard"], F.pmod(F.shiftright("tie", 20), F.lit(parts)), [F.col("doc_id"), F.col("text_crc32")], parts, F.lit(1), "slot")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -23,6 +23,50 @@ def test_shards_are_even_and_gapless(docs, rows):
     assert max(sizes.values()) - min(sizes.values()) <= 4 * largest
 
 
+def brute_shards(rows, dims, leaves):
+    """Shards by walking the tree over the rows themselves: a cut is where the running bytes of sorted keys come nearest to their share."""
+    widths = [max(r[2 + d] for r in rows) - min(r[2 + d] for r in rows) for d in range(dims)]
+
+    def split(own, n):
+        if n == 1:
+            return [own]
+        spans = [(max(r[2 + d] for r in own) - min(r[2 + d] for r in own)) / max(widths[d], 1.0) for d in range(dims)]
+        d = spans.index(max(spans))
+        low, high = min(r[2 + d] for r in own), max(r[2 + d] for r in own)
+        key = lambda r: (min(max(int((r[2 + d] - low) / max(high - low, 1.0) * 65535.0), 0), 65535) << 14) | (r[1] & 16383)
+        left = (n + 1) // 2
+        want = sum(r[0] for r in own) * left / n
+        cells = defaultdict(int)
+        for r in own:
+            cells[key(r)] += r[0]
+        before, cut = 0, None
+        for c in sorted(cells):
+            if before + cells[c] >= want:
+                cut = c + (before + cells[c] - want < want - before)
+                break
+            before += cells[c]
+        return split([r for r in own if key(r) < cut], left) + split([r for r in own if key(r) >= cut], n - left)
+
+    return split(rows, leaves)
+
+
+def test_every_row_lies_in_the_shard_of_its_medians(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    table = [(i, "w" * r.randrange(400), r.choice([5, 5, 5, r.randrange(1000)])) for i in range(700)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, x long")
+    ties = {x["doc_id"]: x["tie"] for x in docs.select("doc_id", F.xxhash64("doc_id", F.crc32(F.encode("text", "UTF-8"))).alias("tie")).collect()}
+    own = [(len(t) + 1, ties[i], i, len(t), x, i) for i, t, x in table]
+    for leaves in (6, 70):
+        want = {row[5]: n for n, shard in enumerate(brute_shards(own, 3, leaves)) for row in shard}
+        got = kd_shards(docs, n_shards=leaves, dims={"d_id": F.col("doc_id"), "d_size": F.octet_length("text"), "d_x": F.col("x")}).collect()
+        assert {g["doc_id"]: g["shard"] for g in got} == want
+        assert {g["doc_id"]: g["text_crc32"] for g in got} == {i: zlib.crc32(t.encode()) for i, t, _ in table}
+
+
 def test_shards_split_one_hot_value_and_odd_counts(spark):
     hot = spark.createDataFrame([(i, "word " * 20, "en", "src0") for i in range(900)], "doc_id long, text string, lang string, source string")
     got = kd_shards(hot, n_shards=5).groupBy("shard").count().collect()
