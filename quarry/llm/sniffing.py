@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import read_table
+from quarry.llm.common import free_name, read_table
 
 RATE = 8000
 BLOCK = 64
@@ -267,7 +267,10 @@ def samples_feature(payload: bytes) -> str:
     return f"cross={int(np.count_nonzero(high[1:] != high[:-1]))};sum={int(x.sum(dtype=np.int64))};bands={','.join(map(str, bands.tolist()))}"
 
 
-def _sniffed(keep: list[str], data_col: str, declared_col: str | None):
+RESULTS = ("media_type", "media_length", "declared_right", "carved")
+
+
+def _sniffed(keep: list[str], data_col: str, declared_col: str | None, named: list[str]):
     def run(batches):
         import pyarrow as pa
 
@@ -284,7 +287,7 @@ def _sniffed(keep: list[str], data_col: str, declared_col: str | None):
                 sizes.append(own[1] if own else None)
                 right.append(None if data is None or declared[i] is None else declared[i] == kinds[-1])
                 carved.append([{"offset": a, "length": n, "media_type": k, "sha256": hashlib.sha256(data[a : a + n]).hexdigest()} for a, n, k in found if a or not own])
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(kinds, pa.string()), pa.array(sizes, pa.int64()), pa.array(right, pa.bool_()), pa.array(carved, carved_type)], names=[*keep, "media_type", "media_length", "declared_right", "carved"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(kinds, pa.string()), pa.array(sizes, pa.int64()), pa.array(right, pa.bool_()), pa.array(carved, carved_type)], names=[*keep, *named])
 
     return run
 
@@ -294,12 +297,15 @@ def sniff_media(df: DataFrame, *, data_col: str = "media", declared_col: str | N
 
     media_type is what the bytes are, not what was declared; bytes of no known format are UNKNOWN and have
     no length. Null data gives a null type and nothing carved. Whole values are searched, whatever their length.
-    `keep` lists the columns passed through (all by default); none may be named as a result.
+    `keep` lists the columns passed through (all by default); a result whose name one of them has gets underscores before
+    it. Repeated rows repeat, an empty table stays empty.
     """
     keep = list(df.columns if keep is None else keep)
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["media_type string", "media_length long", "declared_right boolean", "carved array<struct<offset:long,length:long,media_type:string,sha256:string>>"]
+    named = [free_name(df.select(*keep), n) for n in RESULTS]
+    types = ("string", "long", "boolean", "array<struct<offset:long,length:long,media_type:string,sha256:string>>")
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{n}` {t}" for n, t in zip(named, types)]
     columns = dict.fromkeys([*keep, data_col, *([declared_col] if declared_col else [])])
-    return df.select(*columns).mapInArrow(_sniffed(keep, data_col, declared_col), ", ".join(fields))
+    return df.select(*columns).mapInArrow(_sniffed(keep, data_col, declared_col, named), ", ".join(fields))
 
 
 def _stored_media(batches):
@@ -339,7 +345,11 @@ def _digested(batches):
 
 
 def stored_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each whole text as a media value: UTF-8 bytes, zeros up to a positive multiple of 64, in a WAV file."""
+    """Each whole text as a media value: UTF-8 bytes, zeros up to a positive multiple of 64, in a WAV file.
+
+    Null counts as empty, texts of any length are whole, repeated rows repeat, other columns are ignored whatever their
+    names, an empty table stays empty.
+    """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_stored_media, "doc_id long, n_bytes long, media binary, declared string")
 
 

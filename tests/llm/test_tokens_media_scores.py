@@ -345,3 +345,12 @@ def test_posteriors_and_scores_match_brute_force(spark, docs, rows):
         assert r["posterior"] == pytest.approx(want[by_id[r["doc_id"]]], abs=1e-6)
         w = weights["bias"] + sum(weights.get(i, 0.0) for i in one_text(quality.shapes, by_id[r["doc_id"]]))
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-w)), abs=1e-6)
+
+
+def test_media_take_free_names_and_empty_tables(spark, empty, docs):
+    media = sniffing.stored_texts(docs.withColumnsRenamed({"lang": "media", "source": "n_bytes"}))
+    clash = media.withColumnsRenamed({"declared": "media_type", "n_bytes": "CARVED"})
+    out = sniffing.sniff_media(clash, declared_col="media_type")
+    assert out.columns == [*clash.columns, "_media_type", "media_length", "declared_right", "_carved"]
+    assert {r["_media_type"] for r in out.collect()} == {"audio/wav"}
+    assert sniffing.sniff_media(sniffing.stored_texts(empty)).count() == 0
