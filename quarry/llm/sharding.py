@@ -48,9 +48,9 @@ class Tree:
             self.depth += 1
         number = {id(n): i for i, n in enumerate(self.nodes)}
         self.number = number
-        array = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
+        array = lambda values, kind: F.expr(f"array({', '.join(map(repr, values))})").cast(f"array<{kind}>")  # noqa: E731  one expression, however many nodes
         self.dim = array([dims.index(n.dim) + 1 if n.dim else 1 for n in self.nodes], "int")
-        self.low = array([n.low for n in self.nodes], "double")
+        self.low = array([float(n.low) for n in self.nodes], "double")
         self.span = array([max(n.high - n.low, 1.0) for n in self.nodes], "double")
         self.cut = array([n.cut for n in self.nodes], "long")
         self.first = array([number[id(n.kids[0])] if n.kids else -1 for n in self.nodes], "int")
@@ -83,8 +83,9 @@ def _frontier(root: Node) -> list[Node]:
 def _split(base: DataFrame, root: Node, dims: list[str], widths: dict[str, float]) -> None:
     """Splits every leaf of the tree that still stands for more than one shard."""
     live = [n for n in _frontier(root) if n.leaves > 1]
-    index = Tree(root, dims).number
-    rows = base.withColumn("node", Tree(root, dims).leaf())
+    before_split = Tree(root, dims)
+    index = before_split.number
+    rows = base.withColumn("node", before_split.leaf())
     spans = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]).collect()}
     for n in live:
         if s := spans.get(index[id(n)]):
@@ -155,7 +156,7 @@ def kd_shards(docs: DataFrame, *, n_shards: int | None = None, target_bytes: int
             _split(base, root, names, widths)
     tree = Tree(root, names)
     shards = {tree.number[id(n)]: i for i, n in enumerate(_frontier(root))}
-    shard = F.element_at(F.array(*[F.lit(shards.get(i, -1)) for i in range(len(tree.nodes))]), tree.leaf() + 1)
+    shard = F.element_at(F.expr(f"array({', '.join(str(shards.get(i, -1)) for i in range(len(tree.nodes)))})"), tree.leaf() + 1)
     placed = base.withColumn("shard", shard).select("doc_id", "size", "text_crc32", "tie", "shard")
     parts = max(1, math.ceil((total["n"] or 0) / (n_shards * ROWS_A_PART)))
     numbered = running_offset(placed, ["shard"], F.pmod(F.shiftright("tie", 20), F.lit(parts)), [F.col("doc_id"), F.col("text_crc32")], parts, F.lit(1), "slot")
