@@ -143,26 +143,28 @@ def finding_keywords(text: Column, stop: tuple[str, ...] = ("this", "that", "wit
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[\s\p{Punct}]+"), lambda w: (F.length(w) > 3) & ~w.isin(*stop)))
 
 
-VERBS = ("get", "fetch", "load", "create", "add", "update", "delete", "remove", "list", "find")
-VERB_CLASS = {"get": "read", "fetch": "read", "load": "read", "list": "read", "find": "read", "create": "create", "add": "create", "update": "update", "delete": "delete", "remove": "delete"}
+VERB_CLASS = {
+    "query": ("get", "fetch", "load", "find", "retrieve", "query"),
+    "create": ("create", "add", "insert", "post", "save", "submit", "process"),
+    "update": ("update", "edit", "modify", "patch", "put"),
+    "delete": ("delete", "remove", "destroy", "drop"),
+}
+VERBS = tuple(v for verbs in VERB_CLASS.values() for v in verbs)
 
 
 def operation_stem(name: Column) -> Column:
     """The name without its first matching verb, the next letter lower-cased."""
     out = None
     for v in VERBS:
-        hit = F.startswith(name, F.lit(v)) & (F.length(name) > len(v))
-        stem = F.concat(F.lower(F.substring(name, len(v) + 1, 1)), F.substring(name, len(v) + 2, 1000))
+        hit = F.startswith(F.lower(name), F.lit(v)) & (F.length(name) > len(v))
+        stem = F.concat(F.lower(F.substring(name, len(v) + 1, 1)), F.substring(name, F.lit(len(v) + 2), F.length(name)))
         out = F.when(hit, stem) if out is None else out.when(hit, stem)
     return out.otherwise(name)
 
 
 def verb_class(name: Column) -> Column:
-    out = None
-    for v, c in VERB_CLASS.items():
-        hit = F.startswith(F.lower(name), F.lit(v))
-        out = F.when(hit, c) if out is None else out.when(hit, c)
-    return out
+    """What a name's verb does: query, create, update, delete, or null; of several verbs the first that it begins with."""
+    return F.coalesce(*[F.when(F.startswith(F.lower(name), F.lit(v)), F.lit(c)) for c, verbs in VERB_CLASS.items() for v in verbs])
 
 
 def bare_type(name: Column) -> Column:

@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from quarry.operators.rules import Conjunction, Rule, lines
 
 # The patterns of the line detectors.
-SQL_VERBS = "(?:SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)"
 SQL_INJECTION = (
-    Rule("sql-concat", rf"(?i)[\"']{SQL_VERBS}.*?[\"'][\s]*\+", "critical"),
-    Rule("sql-fstring", rf"(?i)f[\"']{SQL_VERBS}.*?\{{.*?\}}", "critical"),
-    Rule("sql-format", rf"(?i)[\"']{SQL_VERBS}.*?[\"']\.format\(", "critical"),
-    Rule("sql-percent", rf"(?i)[\"']{SQL_VERBS}.*?[\"'][\s]*%", "critical"),
-    Rule("sql-template", rf"(?i)`{SQL_VERBS}[^`]*\$\{{", "critical"),
-    Rule("sql-sprintf", rf"(?i)fmt\.Sprintf\s*\(\s*[\"`]{SQL_VERBS}", "critical"),
-    Rule("sql-string-format", rf"(?i)String\.format\s*\(\s*[\"']{SQL_VERBS}", "critical"),
+    Rule("sql-concat", r"(?i)[\"'](?:SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER).*?[\"'][\s]*\+", "critical"),
+    Rule("sql-fstring", r"(?i)f[\"'](?:SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER).*?\{.*?\}", "critical"),
+    Rule("sql-format", r"(?i)[\"'](?:SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER).*?[\"']\.format\(", "critical"),
+    Rule("sql-percent", r"(?i)[\"'](?:SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER).*?[\"'][\s]*%", "critical"),
+    Rule("sql-template", r"(?i)`(?:SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)[^`]*\$\{", "critical"),
+    Rule("sql-sprintf", r"(?i)fmt\.Sprintf\s*\(\s*[\"`](?:SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)", "critical"),
+    Rule("sql-string-format", r"(?i)String\.format\s*\(\s*[\"'](?:SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)", "critical"),
 )
 XSS = (
     Rule("xss-inner-html", r"\.innerHTML\s*=", "high"),

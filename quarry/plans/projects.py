@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import contracts
 from quarry.operators import detectors as D
 from quarry.operators import graphs as G
 from quarry.operators import projects as P
@@ -179,3 +180,25 @@ f AS (SELECT id, arg_min(excerpt, place) AS excerpt, min(place) AS place FROM x
 SELECT bodies.id, sha256(coalesce(excerpt, CASE WHEN length(text) // 4 <= 60 THEN text ELSE text[:240] END)) AS excerpt, sig AS top, reach FROM bodies LEFT JOIN f ON f.id = bodies.id LEFT JOIN c ON c.place = f.place""", ("bodies", "aims"))
 def w12(bodies, aims):
     return windows.centred(bodies, aims, 60).select("id", F.sha2("excerpt", 256).alias("excerpt"), "top", "reach")
+
+
+CARRIERS["asked_ops"] = """SELECT CAST(c_custkey AS BIGINT) AS seq, CASE c_nationkey % 6 WHEN 0 THEN 'get' WHEN 1 THEN 'Fetch' WHEN 2 THEN 'create' WHEN 3 THEN 'item' ELSE 'remove' END || 'Thing' || CAST(c_custkey % 120 AS STRING) AS name,
+ CASE c_nationkey % 4 WHEN 0 THEN 'String' WHEN 1 THEN 'List<int>' WHEN 2 THEN NULL ELSE 'Order?' END AS input_type, CASE c_nationkey % 5 WHEN 0 THEN 'bool' WHEN 1 THEN 'number' WHEN 2 THEN '' ELSE 'double' END AS output_type FROM customer"""
+CARRIERS["offered_ops"] = """SELECT CAST(s_suppkey AS BIGINT) AS position, CASE s_nationkey % 5 WHEN 0 THEN 'get' WHEN 1 THEN 'load' WHEN 2 THEN 'item' WHEN 3 THEN 'thing' ELSE 'delete' END || CASE s_nationkey % 5 WHEN 3 THEN '' ELSE 'Thing' END || CAST(s_suppkey % 80 AS STRING) AS name,
+ CASE s_nationkey % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'long[]' ELSE NULL END AS input_type, CASE s_nationkey % 4 WHEN 0 THEN 'Boolean' WHEN 1 THEN 'int' ELSE 'decimal' END AS output_type FROM supplier"""
+_STEM = "CASE WHEN regexp_matches({0}, '(?i)^(get|fetch|load|create|delete|remove).') THEN lower(substr(regexp_replace({0}, '(?i)^(get|fetch|load|create|delete|remove)', ''), 1, 1)) || substr(regexp_replace({0}, '(?i)^(get|fetch|load|create|delete|remove)', ''), 2) ELSE {0} END"
+_BARE = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '^list<(.*)>$', '\\1'), '\\[\\]$', ''), '\\?$', '')"
+_GROUP = "CASE WHEN {0} IN ('string', 'str', 'text', 'varchar') THEN ['s'] WHEN {0} = 'number' THEN ['i', 'f'] WHEN {0} IN ('int', 'integer', 'long') THEN ['i'] WHEN {0} IN ('float', 'double', 'decimal') THEN ['f'] WHEN {0} IN ('bool', 'boolean') THEN ['b'] ELSE [{0}] END"
+_SAME = lambda a, b: f"list_has_any({_GROUP.format(_BARE.format(a))}, {_GROUP.format(_BARE.format(b))})"
+
+
+@query("j19_contract_gaps", f"""WITH k AS (SELECT key, arg_max(position, position * 2 + sub) AS position FROM (SELECT name AS key, position, 0 AS sub FROM offered_ops UNION ALL SELECT {_STEM.format('name')}, position, 1 FROM offered_ops WHERE {_STEM.format('name')} <> name) GROUP BY key),
+m AS (SELECT a.*, coalesce(e.position, n.position) AS position FROM asked_ops a LEFT JOIN k e ON e.key = a.name LEFT JOIN k n ON n.key = {_STEM.format('a.name')}),
+t AS (SELECT m.name, m.seq, m.position, coalesce(m.input_type, '') AS sent, coalesce(m.output_type, '') AS wanted, coalesce(o.input_type, '') AS taken, coalesce(o.output_type, '') AS given, o.name AS offer FROM m LEFT JOIN offered_ops o ON o.position = m.position)
+SELECT 'missing_operation' AS kind, name, seq, NULL::BIGINT AS position FROM t WHERE position IS NULL
+UNION ALL SELECT 'input_type_missing', name, seq, position FROM t WHERE position IS NOT NULL AND sent <> '' AND taken = ''
+UNION ALL SELECT 'input_type_mismatch', name, seq, position FROM t WHERE position IS NOT NULL AND sent <> '' AND taken <> '' AND NOT {_SAME('sent', 'taken')}
+UNION ALL SELECT 'output_type_mismatch', name, seq, position FROM t WHERE position IS NOT NULL AND wanted <> '' AND given <> '' AND NOT {_SAME('wanted', 'given')}
+UNION ALL SELECT 'unused_operation', name, NULL, position FROM offered_ops WHERE name NOT IN (SELECT offer FROM t WHERE offer IS NOT NULL)""", ("asked_ops", "offered_ops"))
+def j19(asked, offered):
+    return contracts.contract_gaps(asked, offered)

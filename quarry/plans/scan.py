@@ -262,7 +262,7 @@ def x24(part):
     return part.select("p_partkey", F.array_join(F.array_sort(text.finding_keywords(F.concat_ws(" ", "p_name", "p_type"))), ",").alias("words"))
 
 
-@query("x25_operation_stem", "SELECT name, CASE WHEN starts_with(name, 'get') THEN lower(substr(name, 4, 1)) || substr(name, 5) WHEN starts_with(name, 'fetch') THEN lower(substr(name, 6, 1)) || substr(name, 7) ELSE lower(substr(name, 7, 1)) || substr(name, 8) END AS stem, CASE WHEN regexp_matches(name, '^(get|fetch)') THEN 'read' WHEN starts_with(name, 'create') THEN 'create' ELSE 'delete' END AS verb FROM consumer_ops", ("consumer_ops",))
+@query("x25_operation_stem", "SELECT name, CASE WHEN starts_with(name, 'get') THEN lower(substr(name, 4, 1)) || substr(name, 5) WHEN starts_with(name, 'fetch') THEN lower(substr(name, 6, 1)) || substr(name, 7) ELSE lower(substr(name, 7, 1)) || substr(name, 8) END AS stem, CASE WHEN regexp_matches(name, '^(get|fetch)') THEN 'query' WHEN starts_with(name, 'create') THEN 'create' ELSE 'delete' END AS verb FROM consumer_ops", ("consumer_ops",))
 def x25(ops):
     return ops.select("name", text.operation_stem(F.col("name")).alias("stem"), text.verb_class(F.col("name")).alias("verb"))
 
