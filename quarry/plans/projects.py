@@ -48,14 +48,14 @@ y AS (SELECT x.*, p.path, p.p_size FROM x JOIN project p ON p.b = x.b AND p.i =
 sinks AS (SELECT b, i, 6 AS sink_line, 'os.system' AS sink, 'CMD-argument' AS sink_type FROM project WHERE i = 4 UNION ALL SELECT b, i, 7, 'db.execute', 'SQL-value' FROM project WHERE p_size % 4 = 0),
 met AS (SELECT s.*, y.*, row_number() OVER (PARTITION BY s.b, s.i, sink ORDER BY CASE WHEN label = sink_type THEN 0 ELSE 1 END, confidence DESC, source_path, source_line) AS n
   FROM sinks s JOIN y ON y.b = s.b AND y.i = s.i AND label IN (sink_type, '*'))
-SELECT path, sink_line, sink, sink_type, source_path, source_line, label = sink_type AS dangerous, round(CASE WHEN label = sink_type THEN confidence ELSE confidence * 0.3 END, 5) AS confidence FROM met WHERE n = 1"""
+SELECT path, sink_line, sink, sink_type, source_path, source_line, label = sink_type AS dangerous, round(CASE WHEN label = sink_type THEN confidence ELSE confidence * 0.3 END, 4) AS confidence FROM met WHERE n = 1"""
 
 
 @query("c16_interprocedural_taint", _TAINT, ("project",))
 def c16(project):
     """Taint from any function to any sink, through arguments, returns and imports, up to five files away."""
     out = taint.taint_paths(project.select("path", "content"))
-    return out.select("path", "sink_line", "sink", "sink_type", "source_path", "source_line", F.array_contains("labels", F.col("sink_type")).alias("dangerous"), F.round("confidence", 5).alias("confidence"))
+    return out.select("path", "sink_line", "sink", "sink_type", "source_path", "source_line", F.array_contains("labels", F.col("sink_type")).alias("dangerous"), F.round("confidence", 4).alias("confidence"))
 
 
 @query("c13_cross_file_secrets", """SELECT p.path, 13 AS line, CASE WHEN p.i = 4 THEN 'flag' WHEN p.p_size % 5 = 0 THEN 'log' WHEN p.p_size % 5 = 2 THEN 'sql' ELSE 'header' END AS kind,
