@@ -27,7 +27,9 @@ SAMPLE, FEW, COMMON = 16, 4096, 1 << 17
 #: The most counts of one sketch.
 COUNTS = 4096
 #: Pairs that a task holds before it writes them.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
+#: Texts whose shingles a task holds at once.
+SLICE = 512
 #: Places along a meeting that count as neighbours, and the units of a block of a large meeting.
 REACH, BLOCK = 16, 4096
 SKETCHES = "u long, n int, fp long, counts binary"
@@ -73,9 +75,16 @@ def most_common(a: np.ndarray, b: np.ndarray) -> int | None:
     return int(np.minimum(a, b).sum())
 
 
+def _slices(batches):
+    """The batches in parts of at most SLICE rows."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _sketches(batches):
     """(u, words) -> (u, n, fp, counts); wordless units have no row."""
-    for batch in batches:
+    for batch in _slices(batches):
         rows = []
         for u, t in zip(batch.column(0).to_pylist(), batch.column(1)):
             h = shingles(t.as_py())
@@ -103,7 +112,7 @@ def _sets(batches):
     """(u, words) -> (u, shingles as bytes)."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _slices(batches):
         out = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["u", "shingles"])
 
@@ -111,7 +120,7 @@ def _sets(batches):
 def _hashes(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _slices(batches):
         out = [shingles(t.as_py()) for t in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
 
@@ -122,22 +131,20 @@ def _prefixes(common: np.ndarray, counts: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            units = np.asarray(batch.column(0))
-            for k in range(0, len(units), 1024):
-                rows = []
-                for u, t in zip(units[k : k + 1024].tolist(), batch.column(1)[k : k + 1024]):
-                    h = shingles(t.as_py())
-                    n = len(h)
-                    if not n:
-                        continue
-                    if len(common):
-                        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                        h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
-                    p = n - (4 * n + 4) // 5 + 1
-                    rows.append((h[:p].view(np.int64), np.full(p, u, np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["h", "u", "n", "at"])
+        for batch in _slices(batches):
+            rows = []
+            for u, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = shingles(t.as_py())
+                n = len(h)
+                if not n:
+                    continue
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
+                p = n - (4 * n + 4) // 5 + 1
+                rows.append((h[:p].view(np.int64), np.full(p, u, np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["h", "u", "n", "at"])
 
     return run
 
