@@ -19,7 +19,7 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Stored, free_name, release
@@ -36,7 +36,7 @@ WHITE_TABLE = np.zeros(256, bool)
 WHITE_TABLE[[9, 10, 11, 12, 13, 32]] = True
 SPANS = "mini long, cls binary, doc long, u long, start int, n int"
 PACKED = "core long, cls binary, n int, doc long, mini long, packed binary"
-PIECES = f"parent binary, at int, {PACKED}"
+PIECES = f"parent binary, ats array<int>, {PACKED}"
 RUNS = "cls binary, off int, len int, keeper long"
 #: Odd multipliers of the rolling hashes.
 P, Q, R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -161,7 +161,7 @@ def rows_of(schema: str, columns):
     """A record batch of the columns, by a schema of plain names and types."""
     import pyarrow as pa
 
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
     fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
@@ -221,7 +221,10 @@ def halves(reach: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _split(k: int, m: int, depth: int):
-    """Packed strings to their pieces: consecutive windows that have the minimiser at places of one part."""
+    """Packed strings to their different pieces: consecutive windows that have the minimiser at places of one part.
+
+    A piece that a string holds several times (one line over and over) is one row, with all the windows it begins at.
+    """
     low, high = halves(k - m, depth)
 
     def run(batches):
@@ -243,12 +246,18 @@ def _split(k: int, m: int, depth: int):
                     seen = first[i] + np.flatnonzero(grams[first[i] : first[i + 1] - m + 1] == mini)
                     anchor = seen[np.searchsorted(seen, own)]  # a window's leftmost run of m words with the minimiser's hash
                     place = low[anchor - own]
+                    found: dict[bytes, tuple] = {}
                     cuts = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1]), True])
                     for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                         at, a, z = int(anchor[x]), int(place[x]), int(high[place[x]])
                         core = xxh3_64_intdigest(joined[starts[at - a] : ends[at + k - z - 1]], a)
                         packed = joined[starts[own[x]] : ends[own[y - 1] + k - 1]]
-                        rows.append((parent, x, core - (1 << 64) if core >> 63 else core, xxh3_128_digest(packed), y - x, doc, mini, packed))
+                        cls = xxh3_128_digest(packed)
+                        if cls in found:
+                            found[cls][1].append(x)
+                        else:
+                            found[cls] = (parent, [x], core - (1 << 64) if core >> 63 else core, cls, y - x, doc, mini, packed)
+                    rows += found.values()
                 if len(rows) >= 4096:
                     yield rows_of(PIECES, zip(*rows))
                     rows.clear()
@@ -269,17 +278,23 @@ def _marked(spans: DataFrame) -> DataFrame:
     return spans.join(spans.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("load")), "core")
 
 
+def _run(off: Column, length: Column, keeper: Column) -> Column:
+    return F.struct(off.alias("off"), length.alias("len"), keeper.alias("keeper"))
+
+
 def _alone(marked: DataFrame) -> DataFrame:
-    """Where a bucket has one span only, the span's first document keeps all its windows."""
-    return marked.where("kinds = 1").select("cls", F.lit(0).alias("off"), F.col("n").alias("len"), F.col("doc").alias("keeper"))
+    """Where a bucket has one span only, the span's first document keeps all its windows: cls, runs."""
+    return marked.where("kinds = 1").select("cls", F.array(_run(F.lit(0), F.col("n"), F.col("doc"))).alias("runs"))
 
 
 def _solved(packed: DataFrame, buckets: Callable, k: int, m: int) -> DataFrame:
-    return packed.select(*[f.split()[0] for f in PACKED.split(", ")]).repartition("core").sortWithinPartitions("core", "doc", "cls").mapInArrow(buckets(k, m), RUNS)
+    """What the kernel finds, one row a span: cls, runs."""
+    found = packed.select(*[f.split()[0] for f in PACKED.split(", ")]).repartition("core").sortWithinPartitions("core", "doc", "cls").mapInArrow(buckets(k, m), RUNS)
+    return found.groupBy("cls").agg(F.collect_set(_run(F.col("off"), F.col("len"), F.col("keeper"))).alias("runs"))
 
 
 def _refined(large: DataFrame, buckets: Callable, k: int, m: int, depth: int, used: list[Stored]) -> DataFrame:
-    """Runs of the spans of too large buckets, by smaller ones."""
+    """Runs of the spans of too large buckets, by smaller ones: cls, runs."""
     pieces = Stored(large.mapInArrow(_split(k, m, depth), PIECES), "pieces")
     # equal pieces are one, with the first document that has them
     kinds = pieces.df.groupBy("core", "cls").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("mini").alias("mini"), F.first("packed").alias("packed"))
@@ -289,8 +304,9 @@ def _refined(large: DataFrame, buckets: Callable, k: int, m: int, depth: int, us
     again = marked.df.where(f"kinds > 1 AND load > {BUCKET}")
     if 1 << depth <= k - m and not again.isEmpty():
         runs = runs.unionByName(_refined(again.select(*[f.split()[0] for f in PACKED.split(", ")]), buckets, k, m, depth + 1, used))
-    of = pieces.df.select("parent", "at", F.col("cls").alias("piece")).distinct()
-    return of.join(runs, F.col("piece") == F.col("cls")).select(F.col("parent").alias("cls"), (F.col("at") + F.col("off")).alias("off"), "len", "keeper")
+    of = pieces.df.select("parent", "ats", F.col("cls").alias("piece")).join(runs, F.col("piece") == F.col("cls"))
+    moved = F.flatten(F.transform("ats", lambda at: F.transform("runs", lambda r: _run(at + r["off"], r["len"], r["keeper"]))))
+    return of.select(F.col("parent").alias("cls"), moved.alias("runs")).groupBy("cls").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def repeated(docs: DataFrame, buckets: Callable, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M) -> DataFrame:
@@ -318,8 +334,7 @@ def repeated(docs: DataFrame, buckets: Callable, *, id_col: str = "doc_id", text
     runs = _solved(packed.df.join(large, "core", "left_anti"), buckets, k, m)
     if not large.isEmpty():
         runs = runs.unionByName(_refined(packed.df.join(large, "core", "left_semi"), buckets, k, m, 1, used))
-    run = F.struct("off", "len", "keeper")
-    decided = _alone(marked.df).select("cls", F.array(run).alias("runs")).unionByName(runs.groupBy("cls").agg(F.collect_set(run).alias("runs")))
+    decided = _alone(marked.df).unionByName(runs)
     # one row a span, however many runs it has; its windows as one range for each run that a smaller document keeps
     lost = F.transform(F.filter("runs", lambda r: r["keeper"] < F.col("doc")), lambda r: F.struct((F.col("start") + r["off"]).alias("from"), (F.col("start") + r["off"] + r["len"] + (k - 1)).alias("to")))
     hits = shared.df.join(decided, "cls").where(F.exists("runs", lambda r: r["keeper"] < F.col("doc"))).select("doc", "u", lost.alias("lost"))

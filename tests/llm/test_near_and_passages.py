@@ -144,6 +144,18 @@ def test_halving_ends_at_single_places():
         assert (low == high).all()
 
 
+def test_one_line_over_and_over_splits_into_few_pieces():
+    line = "this line comes over and over again".split()
+    packed = " ".join(line * 60).encode()
+    words, first = passages.word_hashes(np.frombuffer(packed, np.uint8), np.array([0, len(packed)]))
+    mini = int(passages.gram_hashes(words, 6).view(np.int64)[:7].min())
+    batch = passages.rows_of(passages.PACKED, ([1], [b"c" * 16], [len(words) - 49], [7], [mini], [packed]))
+    pieces = [r for b in passages._split(50, 6, 1)([batch]) for r in b.to_pylist()]
+    assert len(pieces) <= 2 * len(line)
+    covered = sorted(at + i for r in pieces for at in r["ats"] for i in range(r["n"]))
+    assert covered == list(range(len(words) - 49))
+
+
 def test_cut_keeps_columns_of_any_name(spark):
     text = " ".join(words(80, 4))
     rows = [(1, text, "d", 5, None, "r"), (2, "x " + text, "d", 6, None, "r"), (None, text + " y", None, 7, 1, None), (3, None, None, None, None, None)]
