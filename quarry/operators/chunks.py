@@ -118,15 +118,23 @@ def sequence_ratio(a, b, least: float = 0.0):
 def similar_functions(functions: DataFrame, least: float = 0.8) -> DataFrame:
     """Pairs of a file's functions (file, name, body) with token sets of Jaccard `least` or more: percent, cut down.
 
-    Pairs meet by shared tokens, counted in both directions; only tokens of the same file meet.
+    Functions of equal token sets are one class. Classes are compared, not functions: two that reach `least` share a token among
+    the first n - ceil(least * n) + 1 of each, so they meet by these, and the pairs found are then told out to their members.
+    A file's own pairs can be as many as the square of a class; nothing larger is made.
     """
-    tokens = functions.select("file", "name", F.explode(F.array_distinct(F.split(F.lower("body"), r"[^a-z0-9_]+"))).alias("t")).where("t <> ''")
-    sizes = tokens.groupBy("file", "name").agg(F.count(F.lit(1)).alias("n"))
-    a, b = tokens.alias("a"), tokens.alias("b")
-    common = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.name") < F.col("b.name"))).groupBy(F.col("a.file").alias("file"), F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b")).agg(F.count(F.lit(1)).alias("both"))
-    sa, sb = sizes.select("file", F.col("name").alias("name_a"), F.col("n").alias("na")), sizes.select("file", F.col("name").alias("name_b"), F.col("n").alias("nb"))
-    j = common.join(sa, ["file", "name_a"]).join(sb, ["file", "name_b"]).withColumn("sim", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
-    return j.where(F.col("sim") >= least).select("file", "name_a", "name_b", F.floor(F.col("sim") * 100).alias("percent"))
+    tokens = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split(F.lower("body"), r"[^a-z0-9_]+")))))
+    members = functions.groupBy("file", "name").agg(F.array_remove(tokens, "").alias("tokens")).where("size(tokens) > 0")
+    n = F.size("tokens")
+    classes = members.select("file", "tokens").distinct()
+    keyed = classes.select("file", "tokens", F.explode(F.slice("tokens", F.lit(1), (n - F.ceil(least * n - 1e-9) + 1).cast("int"))).alias("t"))
+    a, b = keyed.select("file", "t", F.col("tokens").alias("a")), keyed.select("file", "t", F.col("tokens").alias("b"))
+    near = F.least(F.size("a"), F.size("b")) >= least * F.greatest(F.size("a"), F.size("b")) - 1e-9
+    both = F.size(F.array_intersect("a", "b"))
+    pairs = a.join(b, ["file", "t"]).where((F.col("a") < F.col("b")) & near).select("file", "a", "b").distinct().withColumn("sim", both / (F.size("a") + F.size("b") - both))
+    pairs = pairs.where(F.col("sim") >= least).unionByName(classes.select("file", F.col("tokens").alias("a"), F.col("tokens").alias("b"), F.lit(1.0).alias("sim")))
+    of = lambda k, name: members.select("file", F.col("tokens").alias(k), F.col("name").alias(name))
+    told = pairs.join(of("a", "x"), ["file", "a"]).join(of("b", "y"), ["file", "b"]).where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return told.select("file", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"), F.floor(F.col("sim") * 100).alias("percent"))
 
 
 def next_block_lacks(lines: DataFrame, head: str, inside: str, reach: int) -> DataFrame:
