@@ -187,12 +187,14 @@ def evicted(entries: DataFrame, at: str, key: str, most: int) -> DataFrame:
 def nearest_function(targets: DataFrame, functions: DataFrame) -> DataFrame:
     """Adds number: the function (path, number, first, last) of the target's file that encloses or is nearest to its line.
 
-    Ties go to the first by number; targets in files without functions go. A file's functions are one array, so a
-    target meets them in its own row and the join does not multiply rows.
+    Ties go to the first by number; targets in files without functions go. A file's functions are one array, one entry for
+    those that begin and end alike, and each different line of a file meets it once, however many targets are there.
     """
-    per = functions.groupBy("path").agg(F.collect_list(F.struct("first", "last", "number")).alias("of"))
+    alike = functions.groupBy("path", "first", "last").agg(F.min(F.struct("number")).alias("least"))
+    per = alike.groupBy("path").agg(F.collect_list(F.struct("first", "last", "least.number")).alias("of"))
     apart = F.transform("of", lambda f: F.struct(F.greatest(f["first"] - F.col("line"), F.col("line") - f["last"], F.lit(0)).alias("apart"), f["number"].alias("number")))
-    return targets.join(per, "path").withColumn("number", F.array_min(apart)["number"]).drop("of")
+    met = targets.select("path", "line").distinct().join(per, "path").select(F.col("path").alias("__path"), F.col("line").alias("__line"), F.array_min(apart)["number"].alias("number"))
+    return targets.join(met, (F.col("path") == F.col("__path")) & F.col("line").eqNullSafe(F.col("__line"))).drop("__path", "__line")
 
 
 def module_debt(current: DataFrame, baseline: DataFrame, debt: DataFrame) -> DataFrame:

@@ -26,3 +26,13 @@ def test_similar_functions_match_brute_force(spark):
             want.add((f, x, y, int(len(a & b) / len(a | b) * 100)))
     got = similar_functions(spark.createDataFrame(rows, "file string, name int, body string")).collect()
     assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_each_line_meets_functions_once(spark):
+    from quarry.operators.findings import nearest_function
+
+    targets = spark.range(20_000).select(F.lit("a").alias("path"), (F.col("id") % 3 * 10).cast("int").alias("line"), F.col("id").alias("seq"))
+    targets = targets.unionByName(spark.sql("SELECT 'a' AS path, CAST(NULL AS INT) AS line, -1L AS seq")).unionByName(spark.sql("SELECT 'b' AS path, 1 AS line, -2L AS seq"))
+    functions = spark.range(5_000).select(F.lit("a").alias("path"), F.col("id").alias("number"), (F.col("id") % 2 * 15).cast("int").alias("first"), (F.col("id") % 2 * 15 + 2).cast("int").alias("last"))
+    got = {(r["line"], r["number"]): r["n"] for r in nearest_function(targets, functions).groupBy("line", "number").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(0, 0): 6667, (10, 1): 6667, (20, 1): 6666, (None, 0): 1}
