@@ -75,35 +75,42 @@ def _found(df: DataFrame, rule: str, severity: str, detail: Column) -> DataFrame
 
 def structure_findings(tree: DataFrame, *, most_lines: int = 50, most_params: int = 5, most_nesting: int = 4, most_complexity: int = 10, class_lines: int = 500) -> DataFrame:
     """Long, wide, deep and complex functions, large classes, empty and bare handlers, dead code, missing docs."""
-    f, c = tree.where("kind = 'function'"), tree.where("kind = 'class'")
+    f, c, h = (F.col("kind") == k for k in ("function", "class", "handler"))
     span = F.col("end_line") - F.col("line") + 1
-    parts = [
-        _found(f.where(span > most_lines), "long-function", "medium", F.col("name")),
-        _found(f.where(F.col("n_params") > most_params), "many-parameters", "medium", F.col("name")),
-        _found(f.where(F.col("nesting") > most_nesting), "deep-nesting", "medium", F.col("name")),
-        _found(f.where(F.col("complexity") > most_complexity), "complex-function", "high", F.col("name")),
-        _found(c.where(span > class_lines), "god-class", "high", F.col("name")),
-        _found(tree.where("kind = 'handler' and name = 'bare'"), "bare-except", "high", F.col("name")),
-        _found(tree.where("kind = 'handler' and value = 'empty'"), "empty-except", "medium", F.col("name")),
-        _found(tree.where("kind = 'dead'"), "dead-code", "low", F.col("name")),
-        _found(c.where(~F.col("name").rlike("^_?[A-Z][A-Za-z0-9]*$")), "class-name", "low", F.col("name")),
-        _found(f.where((F.length("name") == 1)), "function-name", "low", F.col("name")),
+    rules = [
+        (f & (span > most_lines), "long-function", "medium"),
+        (f & (F.col("n_params") > most_params), "many-parameters", "medium"),
+        (f & (F.col("nesting") > most_nesting), "deep-nesting", "medium"),
+        (f & (F.col("complexity") > most_complexity), "complex-function", "high"),
+        (c & (span > class_lines), "god-class", "high"),
+        (h & (F.col("name") == "bare"), "bare-except", "high"),
+        (h & (F.col("value") == "empty"), "empty-except", "medium"),
+        (F.col("kind") == "dead", "dead-code", "low"),
+        (c & ~F.col("name").rlike("^_?[A-Z][A-Za-z0-9]*$"), "class-name", "low"),
+        (f & (F.length("name") == 1), "function-name", "low"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    # one pass: a row meets all rules, so the files are parsed once
+    met = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"))) for hit, rule, severity in rules]))
+    return tree.select("path", "line", F.explode(met).alias("m"), F.col("name").alias("detail")).select("path", "line", "m.rule_id", "m.severity", "detail")
 
 
 def unused_imports(tree: DataFrame) -> DataFrame:
     """Imported names that their file neither uses nor lists in __all__; not of __future__, not *, not for type checkers only."""
-    used = tree.where("kind in ('name', 'call', 'export')").select("path", F.split_part("name", F.lit("."), F.lit(1)).alias("name")).distinct()
-    imports = tree.where("kind = 'import' AND NOT startswith(value, '__future__') AND name <> '*' AND NOT coalesce(has_doc, false)")
-    return _found(imports.join(used, ["path", "name"], "left_anti"), "unused-import", "low", F.col("value"))
+    taken = F.col("kind").isin("name", "call", "export")
+    asked = (F.col("kind") == "import") & ~F.startswith("value", F.lit("__future__")) & (F.col("name") != "*") & ~F.coalesce("has_doc", F.lit(False))
+    # a file meets its own names in one group, which is no more than the tree that it was parsed into
+    per = tree.where(taken | asked).groupBy("path").agg(
+        F.collect_set(F.when(taken, F.split_part("name", F.lit("."), F.lit(1)))).alias("used"), F.collect_list(F.when(asked, F.struct("name", "line", "value"))).alias("imports")
+    )
+    lost = F.filter("imports", lambda i: F.col("path").isNull() | ~F.array_contains("used", i["name"]))
+    return _found(per.select("path", F.explode(lost).alias("i")).select("path", "i.line", "i.value"), "unused-import", "low", F.col("value"))
 
 
 def unreferenced(tree: DataFrame) -> DataFrame:
     """Functions and classes that no file refers to; dunder, private and test names are exempt."""
     used = tree.where("kind in ('name', 'call')").select(F.element_at(F.split("name", r"\."), -1).alias("name")).distinct()
     defs = tree.where("kind in ('function', 'class') and not name rlike '^(_|test)'")
-    return _found(defs.join(used, "name", "left_anti"), "unreferenced", "low", F.col("name"))
+    return _found(defs.join(used.hint("merge"), "name", "left_anti"), "unreferenced", "low", F.col("name"))
 
 
 # Names that frameworks call, and decorators that make a function an entry point.
@@ -129,7 +136,7 @@ def unreferenced_definitions(tree: DataFrame) -> DataFrame:
     defs = tree.where("kind in ('function', 'class')").groupBy("path", "name").agg(F.max_by(F.struct("kind", "line", "bases"), F.struct("line", "end_line")).alias("d"))
     entry = F.exists(F.coalesce(F.when(F.col("d.kind") == "function", F.col("d.bases")), F.array().cast("array<string>")), lambda m: F.lower(F.element_at(F.split(m, r"\."), -1)).isin(*ENTRY_DECORATORS))
     exempt = F.col("name").isin(*DISPATCHED) | F.startswith("name", F.lit("visit_")) | F.col("name").rlike("^__.*__$") | entry
-    left = defs.where(~exempt).join(used, ["path", "name"], "left_anti")
+    left = defs.where(~exempt).join(used.hint("merge"), ["path", "name"], "left_anti")
     return left.select("path", F.concat(F.lit("unreferenced_"), "d.kind").alias("kind"), "name", F.col("d.line").alias("line"))
 
 
@@ -147,10 +154,10 @@ def code_graph(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.when(F.col("kind") == "function", "function").when(F.lower("name").contains("mixin"), "mixin").when(F.coalesce(abstract, F.lit(False)), "interface").otherwise("class")
     nodes = tree.where("kind in ('function', 'class')").select(own.alias("fqn"), "name", kind.alias("kind"), F.col("path").alias("file_path"), F.col("path").rlike(r"(^|/)test").alias("is_test"))
     inside = F.concat("path", F.lit("::"), F.col("parent"))
-    calls = tree.where("kind = 'call' and parent <> ''").select(inside.alias("source"), F.element_at(F.split("name", r"\."), -1).alias("target"), F.lit("calls").alias("relation"))
-    bases = tree.where("kind = 'class'").select(own.alias("source"), F.explode("bases").alias("target"), F.lit("inherits").alias("relation"))
-    imports = tree.where("kind = 'import'").select(F.col("path").alias("source"), F.col("value").alias("target"), F.lit("imports").alias("relation"))
-    return nodes, calls.unionByName(bases).unionByName(imports).distinct()
+    edge = lambda source, target, relation: F.struct(source.alias("source"), target.alias("target"), F.lit(relation).alias("relation"))
+    called = F.array(edge(inside, F.element_at(F.split("name", r"\."), -1), "calls"))
+    ends = F.when((F.col("kind") == "call") & (F.col("parent") != ""), called).when(F.col("kind") == "class", F.transform("bases", lambda b: edge(own, b, "inherits"))).when(F.col("kind") == "import", F.array(edge(F.col("path"), F.col("value"), "imports")))
+    return nodes, tree.select(F.explode(ends).alias("e")).select("e.*").distinct()
 
 
 def data_flow(tree: DataFrame) -> DataFrame:

@@ -73,18 +73,18 @@ def c33(code):
 
 @query("c25_bare_handlers", "SELECT path, 'bare-except' AS rule_id FROM code WHERE contains(content, 'except:') UNION ALL SELECT path, 'empty-except' FROM code WHERE contains(content, 'except:')", ("code",))
 def c25(code):
-    return D.structure_findings(python_ast.parse(code)).where(F.col("rule_id").isin("bare-except", "empty-except")).select("path", "rule_id")
+    return D.structure_findings(python_ast.parse(code, ("handler",))).where(F.col("rule_id").isin("bare-except", "empty-except")).select("path", "rule_id")
 
 
 @query("c36_dead_code", "SELECT path, 8 AS line FROM code WHERE contains(content, 'y = 2')", ("code",))
 def c36(code):
-    tree = python_ast.parse(code)
+    tree = python_ast.parse(code, ("dead",))
     return tree.where("kind = 'dead'").select("path", (F.col("line") - 1).cast("int").alias("line"))
 
 
 @query("c49_wide_functions", "SELECT path, 'load' AS name, 6 AS n_params FROM code WHERE contains(content, 'c, d, e')", ("code",))
 def c49(code):
-    return python_ast.parse(code).where("kind = 'function' and n_params > 5").select("path", "name", F.col("n_params").cast("int").alias("n_params"))
+    return python_ast.parse(code, ("function",)).where("kind = 'function' and n_params > 5").select("path", "name", F.col("n_params").cast("int").alias("n_params"))
 
 
 @query("x32_halstead", None, ("code",))
@@ -94,27 +94,27 @@ def x32(code):
 
 @query("c53_doc_coverage", "SELECT path, CASE WHEN contains(content, 'Loads.') THEN 50.0 ELSE 0.0 END::DOUBLE AS coverage FROM code", ("code",))
 def c53(code):
-    return D.documentation_coverage(python_ast.parse(code)).select("path", F.col("coverage").cast("double").alias("coverage"))
+    return D.documentation_coverage(python_ast.parse(code, ("function", "class", "module"))).select("path", F.col("coverage").cast("double").alias("coverage"))
 
 
 @query("j23_unused_imports", "SELECT path, 'json' AS module FROM code UNION ALL SELECT path, 'os' FROM code WHERE NOT contains(content, 'os.')", ("code",))
 def j23(code):
-    return D.unused_imports(python_ast.parse(code)).select("path", F.col("detail").alias("module"))
+    return D.unused_imports(python_ast.parse(code, ("name", "call", "export", "import"))).select("path", F.col("detail").alias("module"))
 
 
 @query("j24_unreferenced", "SELECT path, 'Part' || CAST(id AS STRING) AS name FROM code UNION ALL SELECT path, 'load' FROM code", ("code",))
 def j24(code):
-    return D.unreferenced(python_ast.parse(code)).select("path", F.col("detail").alias("name"))
+    return D.unreferenced(python_ast.parse(code, ("name", "call", "function", "class"))).select("path", F.col("detail").alias("name"))
 
 
 @query("g8_code_graph", "SELECT relation, count(*) AS n FROM (SELECT path, 'inherits' AS relation FROM code UNION ALL SELECT path, 'imports' FROM code UNION ALL SELECT path, 'imports' FROM code) GROUP BY relation", ("code",))
 def g8(code):
-    return D.code_graph(python_ast.parse(code))[1].where("relation <> 'calls'").groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    return D.code_graph(python_ast.parse(code, ("function", "class", "call", "import")))[1].where("relation <> 'calls'").groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("g12_data_flow", "SELECT path, 'state' AS field, 'write' AS kind FROM code WHERE contains(content, 'self.state')", ("code",))
 def g12(code):
-    return D.data_flow(python_ast.parse(code)).select("path", "field", "kind")
+    return D.data_flow(python_ast.parse(code, ("read", "write"))).select("path", "field", "kind")
 
 
 @query("c16_taint", "SELECT path, 'input' AS source, 'os.system' AS sink, 'CMD-argument' AS sink_type FROM code WHERE contains(content, 'os.system(x)')", ("code",))

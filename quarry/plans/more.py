@@ -71,7 +71,7 @@ def w11(files):
 
 @query("v7_code_chunks", "SELECT path, 'Part' || CAST(id AS STRING) AS name, 'class' AS chunk_type, 3 AS start, len(string_split(content, chr(10))) AS \"end\" FROM code", ("code",))
 def v7(code):
-    return chunks.definitions(code, python_ast.parse(code)).select("path", "name", "chunk_type", "start", "end")
+    return chunks.definitions(code, python_ast.parse(code, ("function", "class"))).select("path", "name", "chunk_type", "start", "end")
 
 
 @query("v11_should_chunk", "SELECT path, length(content) // 4 > 60 AS chunk FROM code", ("code",))
@@ -157,12 +157,12 @@ def c2_pages(pages):
 @query("c50_magic_numbers", "SELECT path, '2' AS value FROM code WHERE contains(content, 'y = 2')", ("code",))
 def c50(code):
     ok = ("0", "1", "-1")
-    return python_ast.parse(code).where((F.col("kind") == "literal") & (F.col("name") == "int") & ~F.col("value").isin(*ok)).select("path", "value")
+    return python_ast.parse(code, ("literal",)).where((F.col("kind") == "literal") & (F.col("name") == "int") & ~F.col("value").isin(*ok)).select("path", "value")
 
 
 @query("c55_data_clumps", "SELECT clump, n FROM (SELECT clump, count(*) AS n FROM code, (VALUES ('a,b,c'), ('b,c,d'), ('c,d,e'), ('a,b,filename')) AS v(clump) WHERE contains(content, 'c, d, e') OR clump = 'a,b,filename' GROUP BY clump) WHERE n > 2", ("code",))
 def c55(code):
-    f = python_ast.parse(code).where("kind = 'function' and n_params >= 3")
+    f = python_ast.parse(code, ("function",)).where("kind = 'function' and n_params >= 3")
     runs = f.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(F.split("value", ",")) - 3), lambda i: F.array_join(F.array_sort(F.slice(F.split("value", ","), i + 1, 3)), ","))).alias("clump"))
     return runs.groupBy("clump").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
 

@@ -148,7 +148,7 @@ CARRIERS["scattered"] = """SELECT p_partkey AS id, p_size AS size, 'lib/f' || CA
   UNION ALL SELECT path, 'typing.TYPE_CHECKING', 3, size % 4 = 1 AND size % 5 <> 3 FROM scattered UNION ALL SELECT path, 'a.b', 3, size % 4 = 3 AND size % 5 <> 0 FROM scattered UNION ALL SELECT path, 'a.c', 3, size % 4 = 3 AND size % 5 <> 2 FROM scattered
   UNION ALL SELECT path, 'early.inner', 4, size % 3 <> 0 AND size % 5 <> 3 FROM scattered) WHERE lost""", ("scattered",))
 def j23(scattered):
-    found = D.unused_imports(python_ast.parse(scattered))
+    found = D.unused_imports(python_ast.parse(scattered, ("name", "call", "export", "import")))
     return found.select("path", F.col("detail").alias("module"), F.col("line").cast("int").alias("line"))
 
 
@@ -159,7 +159,7 @@ w AS (SELECT DISTINCT path, unnest(regexp_extract_all(content, '[\\pL\\pN_]+'))
 SELECT d.path, kind, d.name, line FROM d JOIN c ON c.name = d.name WHERE n = 1""", ("scattered",))
 def j24(scattered):
     """Definitions that neither their own file nor any other names."""
-    found = D.unreferenced_definitions(python_ast.parse(scattered))
+    found = D.unreferenced_definitions(python_ast.parse(scattered, ("name", "attribute", "function", "class")))
     return P.without_cross_file(found, scattered).select("path", "kind", "name", F.col("line").cast("int").alias("line"))
 
 

@@ -36,3 +36,25 @@ def test_each_line_meets_functions_once(spark):
     functions = spark.range(5_000).select(F.lit("a").alias("path"), F.col("id").alias("number"), (F.col("id") % 2 * 15).cast("int").alias("first"), (F.col("id") % 2 * 15 + 2).cast("int").alias("last"))
     got = {(r["line"], r["number"]): r["n"] for r in nearest_function(targets, functions).groupBy("line", "number").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == {(0, 0): 6667, (10, 1): 6667, (20, 1): 6666, (None, 0): 1}
+
+
+def test_files_are_dealt_before_they_are_parsed(spark):
+    from quarry.sources import python_ast, python_flows
+
+    files = spark.createDataFrame([(f"a{i}.py", "import os\nx = os.getcwd()") for i in range(40)], FILES).coalesce(1)
+    for rows in (python_ast.parse(files), python_ast.terms(files), python_flows.imports(files)):
+        assert rows.rdd.getNumPartitions() > 1
+    kinds = {r["kind"] for r in python_ast.parse(files, ("import", "call")).select("kind").collect()}
+    assert kinds == {"import", "call"}
+
+
+def test_a_tree_is_parsed_once(spark):
+    from quarry.operators import detectors as D
+    from quarry.sources import python_ast
+
+    tree = python_ast.parse(spark.createDataFrame([("a.py", "import os, re\nclass A(B):\n  def f(self):\n    try: re.x()\n    except: pass"), (None, "import q"), ("b.py", "((")], FILES))
+    for df in (D.structure_findings(tree), D.unused_imports(tree), D.code_graph(tree)[1]):
+        assert plan_of(df).count("MapInArrow") == 1
+    assert sorted((r["path"] or "", r["detail"]) for r in D.unused_imports(tree).collect()) == [("", "q"), ("a.py", "os")]
+    assert sorted(r["rule_id"] for r in D.structure_findings(tree).collect()) == ["bare-except", "empty-except", "function-name"]
+    assert sorted(tuple(r) for r in D.code_graph(tree)[1].where("relation <> 'imports'").collect()) == [("a.py::A", "B", "inherits"), ("a.py::A.f", "x", "calls")]
