@@ -2,7 +2,8 @@
 
 Every definition of a variable is a node. A use joins the last definition before it, in its function, else at the top
 of its file, else in the file that it is imported from. Arguments lead to parameters and returns to callers, in the
-same file or through imports. A fact is a node with a label, the kind of sink that it is still dangerous for, and keeps
+same file or through imports. Joins are hinted to sort and merge: names compress so well that what looks small enough to
+broadcast does not fit the driver. A fact is a node with a label, the kind of sink that it is still dangerous for, and keeps
 the best confidence and its source. Each round joins only the facts that got better with the edges, until none does.
 """
 
@@ -38,10 +39,10 @@ def _names(flows: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = Window.partitionBy("path", "scope", "name").orderBy("seq", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = both.withColumn("at", F.last("at", ignorenulls=True).over(before)).where("own = 0").drop("own")
     top = defs.where("scope = ''").groupBy("path", "name").agg(F.max("seq").alias("top"))
-    met = met.join(top, ["path", "name"], "left")
-    exported = imports.join(top.select(F.col("path").alias("target_file"), F.col("name").alias("symbol"), F.col("top").alias("there")), ["target_file", "symbol"])
+    met = met.join(top.hint("merge"), ["path", "name"], "left")
+    exported = imports.join(top.select(F.col("path").alias("target_file"), F.col("name").alias("symbol"), F.col("top").alias("there")).hint("merge"), ["target_file", "symbol"])
     exported = exported.groupBy("path", F.col("alias").alias("name")).agg(F.max_by(F.struct("target_file", "symbol", "there"), "line").alias("far"))
-    met = met.join(exported, ["path", "name"], "left")
+    met = met.join(exported.hint("merge"), ["path", "name"], "left")
     node = F.coalesce(_node("path", "scope", "name", "at"), F.when(F.col("scope") != "", _node("path", F.lit(""), "name", "top")), _node("far.target_file", F.lit(""), "far.symbol", "far.there"))
     is_far = F.col("at").isNull() & ((F.col("scope") == "") | F.col("top").isNull())
     uses = met.select("path", "scope", F.col("name").alias("src"), "seq", node.alias("node"), is_far.alias("far")).where("node IS NOT NULL")
@@ -49,12 +50,12 @@ def _names(flows: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     functions = flows.where("dst_kind = 'param' AND pos = -1").groupBy("path", F.col("label").alias("name")).agg(F.max_by("scope", "line").alias("to_scope"))
     called = flows.where("dst_kind = 'arg'").select("path", F.col("dst").alias("name")).union(flows.where("src_kind = 'call'").select("path", F.col("src").alias("name"))).distinct()
     called = called.withColumn("last", F.element_at(F.split("name", r"\."), -1)).withColumn("head", F.regexp_replace("name", r"\.?[^.]*$", ""))
-    here = called.join(functions.withColumnRenamed("name", "last"), ["path", "last"]).select("path", "name", F.col("path").alias("to_path"), "to_scope", F.lit(0).alias("rank"))
+    here = called.join(functions.withColumnRenamed("name", "last").hint("merge"), ["path", "last"]).select("path", "name", F.col("path").alias("to_path"), "to_scope", F.lit(0).alias("rank"))
     there = functions.select(F.col("path").alias("target_file"), F.col("name").alias("function"), "to_scope")
-    by_symbol = called.join(imports.where("symbol IS NOT NULL").select("path", F.col("alias").alias("name"), F.col("symbol").alias("function"), "target_file"), ["path", "name"])
-    by_module = called.join(imports.where("symbol IS NULL").select("path", F.col("alias").alias("head"), "target_file"), ["path", "head"]).withColumn("function", F.col("last"))
+    by_symbol = called.join(imports.where("symbol IS NOT NULL").select("path", F.col("alias").alias("name"), F.col("symbol").alias("function"), "target_file").hint("merge"), ["path", "name"])
+    by_module = called.join(imports.where("symbol IS NULL").select("path", F.col("alias").alias("head"), "target_file").hint("merge"), ["path", "head"]).withColumn("function", F.col("last"))
     away = by_symbol.select("path", "name", "function", "target_file").unionByName(by_module.select("path", "name", "function", "target_file"))
-    away = away.join(there, ["target_file", "function"]).select("path", "name", F.col("target_file").alias("to_path"), "to_scope", F.lit(1).alias("rank"))
+    away = away.join(there.hint("merge"), ["target_file", "function"]).select("path", "name", F.col("target_file").alias("to_path"), "to_scope", F.lit(1).alias("rank"))
     scopes = here.unionByName(away).groupBy("path", "name").agg(F.min(F.struct("rank", "to_path", "to_scope")).alias("to"))
     return uses, scopes.select("path", "name", "to.to_path", "to.to_scope")
 
@@ -73,11 +74,11 @@ def edges_of(flows: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame
     args = scopes.select("path", F.col("name").alias("dst"), "to_path", "to_scope")
     params = flows.where("dst_kind = 'param' AND pos >= 0").select(F.col("path").alias("to_path"), F.col("scope").alias("to_scope"), "pos", _node("path", "scope", "dst", "seq").alias("param"))
     rows = flows.where("src_kind <> 'none'")
-    var = rows.where("src_kind = 'var'").join(uses, ["path", "scope", "src", "seq"]).withColumn("factor", F.when(F.col("far"), HOP).otherwise(1.0)).drop("far")
-    call = rows.where("src_kind = 'call'").join(calls, ["path", "src"]).withColumnRenamed("returned", "node").withColumn("factor", F.lit(HOP))
+    var = rows.where("src_kind = 'var'").join(uses.hint("merge"), ["path", "scope", "src", "seq"]).withColumn("factor", F.when(F.col("far"), HOP).otherwise(1.0)).drop("far")
+    call = rows.where("src_kind = 'call'").join(calls.hint("merge"), ["path", "src"]).withColumnRenamed("returned", "node").withColumn("factor", F.lit(HOP))
     seed = rows.where("src_kind = 'source'").withColumn("node", F.lit(None).cast("string")).withColumn("factor", F.col("confidence"))
     begun = cut(var.unionByName(call).unionByName(seed))
-    arg = begun.where("dst_kind = 'arg'").join(args, ["path", "dst"]).join(params, ["to_path", "to_scope", "pos"]).withColumn("to", F.col("param")).withColumn("factor", F.col("factor") * HOP)
+    arg = begun.where("dst_kind = 'arg'").join(args.hint("merge"), ["path", "dst"]).join(params.hint("merge"), ["to_path", "to_scope", "pos"]).withColumn("to", F.col("param")).withColumn("factor", F.col("factor") * HOP)
     sink_node = F.concat("path", F.lit("#"), "scope", F.lit("#sink#"), "dst", F.lit("#"), F.col("line").cast("string"), F.lit("#"), F.col("seq").cast("string"))
     to = F.when(F.col("dst_kind") == "def", _node("path", "scope", "dst", "seq")).when(F.col("dst_kind") == "ret", F.concat("path", F.lit("#"), "scope", F.lit("#ret"))).otherwise(sink_node)
     plain = begun.where("dst_kind IN ('def', 'ret', 'sink')").withColumn("to", to)
@@ -106,14 +107,14 @@ def fixpoint(edges: DataFrame) -> DataFrame:
     known = delta = cut(facts(seeds))
     while not delta.isEmpty():
         b = F.col("best")
-        come = delta.join(steps, delta["node"] == steps["from"]).select(
+        come = delta.join(steps.hint("merge"), delta["node"] == steps["from"]).select(
             F.col("dst").alias("node"), "label", "cleaned",
             fact(b["confidence"] * F.col("factor"), b["source_path"], b["source_line"], b["source"], F.array_distinct(F.concat(b["by"], F.col("more")))),
         )
         old = known.select("node", "label", F.col("best").alias("old"))
         better = F.col("old").isNull() | (F.col("best") < F.col("old"))
-        delta = cut(facts(come).join(old, ["node", "label"], "left").where(better).drop("old"))
-        known = cut(known.join(delta.select("node", "label"), ["node", "label"], "left_anti").unionByName(delta))
+        delta = cut(facts(come).join(old.hint("merge"), ["node", "label"], "left").where(better).drop("old"))
+        known = cut(known.join(delta.select("node", "label").hint("merge"), ["node", "label"], "left_anti").unionByName(delta))
     return known
 
 
@@ -124,7 +125,7 @@ def solved(flows: DataFrame, imports: DataFrame) -> DataFrame:
     flow: its labels lack the sink's type and its confidence is SANITIZED of what it was.
     """
     edges, sinks = edges_of(cut(flows), imports)
-    found = sinks.join(fixpoint(cut(edges)).withColumnRenamed("label", "on"), "node")
+    found = sinks.join(fixpoint(cut(edges)).withColumnRenamed("label", "on").hint("merge"), "node")
     own = F.col("on") == F.col("label")
     per = found.groupBy("node", "path", "line", "sink", "label").agg(
         F.min(F.when(own, F.col("best"))).alias("open"), F.min(F.when(F.col("on") == ANY, F.col("best"))).alias("any"), F.array_sort(F.collect_set(F.when(F.col("on") != ANY, F.col("on")))).alias("labels")

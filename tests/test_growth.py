@@ -58,3 +58,16 @@ def test_a_tree_is_parsed_once(spark):
     assert sorted((r["path"] or "", r["detail"]) for r in D.unused_imports(tree).collect()) == [("", "q"), ("a.py", "os")]
     assert sorted(r["rule_id"] for r in D.structure_findings(tree).collect()) == ["bare-except", "empty-except", "function-name"]
     assert sorted(tuple(r) for r in D.code_graph(tree)[1].where("relation <> 'imports'").collect()) == [("a.py::A", "B", "inherits"), ("a.py::A.f", "x", "calls")]
+
+
+def test_taint_steps_are_not_broadcast(spark):
+    from quarry.operators import taint
+    from quarry.operators.graphs import cut
+    from quarry.sources import python_flows
+
+    files = cut(spark.createDataFrame([("a.py", "import os\ndef f(x):\n    os.system(x)\nf(input())")], FILES))
+    flows = cut(python_flows.flows(files, taint.SOURCES, taint.SINKS, taint.SANITIZERS))
+    none = spark.createDataFrame([], "path string, alias string, symbol string, target_file string, line int")
+    for df in (*taint._names(flows, none), *taint.edges_of(flows, none)):
+        assert "Broadcast" not in plan_of(df)
+    assert [(r["sink"], r["labels"]) for r in taint.taint_paths(files).collect()] == [("os.system", ["CMD-argument", "CODE-execution", "FILE-path", "HTML-content", "SQL-value"])]
