@@ -28,8 +28,9 @@ def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     tries = F.array(F.when(stem != "", F.concat(stem, F.lit(".py"))), _joined(stem, F.lit("__init__.py")), F.when(F.col("module") != "", beside))
     candidates = asked.select("folder", "module", "level", F.posexplode(tries).alias("rank", "target_file")).where("target_file IS NOT NULL")
     there = files.select(F.col("path").alias("target_file")).distinct()
-    found = candidates.join(there, "target_file").groupBy("folder", "module", "level").agg(F.min_by("target_file", "rank").alias("target_file"))
-    return rows.join(found, ["folder", "module", "level"], "left").select(*imports.columns, "target_file")
+    # broadcasts are chosen by compressed sizes, and paths compress tenfold: the driver would hold what looks small
+    found = candidates.join(there.hint("merge"), "target_file").groupBy("folder", "module", "level").agg(F.min_by("target_file", "rank").alias("target_file"))
+    return rows.join(found.hint("merge"), ["folder", "module", "level"], "left").select(*imports.columns, "target_file")
 
 
 def owning_modules(paths: DataFrame, modules: DataFrame) -> DataFrame:
@@ -56,14 +57,15 @@ WORD = r"[\p{L}\p{N}_]+"
 def named_elsewhere(names: DataFrame, files: DataFrame) -> DataFrame:
     """Names (path, name, ...) with `elsewhere`: how many files (path, content) other than their own have the name as a whole word.
 
-    An inverted index of the words that are asked for: each file counts once a word, files of one path as one.
+    Each file counts once a word, files of one path as one. Texts are dealt by path, so that a path's words are told apart where
+    they stand and only counts of words travel.
     """
-    asked = names.select("name").distinct()
-    words = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(WORD), F.lit(0)))).alias("name"))
-    words = words.join(asked, "name", "left_semi").distinct()
-    counts = words.groupBy("name").agg(F.count(F.lit(1)).alias("files"))
-    own = words.select("path", "name", F.lit(1).alias("own"))
-    met = names.join(counts, "name", "left").join(own, ["path", "name"], "left")
+    dealt = files.select("path", "content").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    words = F.array_distinct(F.regexp_extract_all("content", F.lit(WORD), F.lit(0)))
+    counts = dealt.select("path", F.explode(words).alias("name")).distinct().groupBy("name").agg(F.count(F.lit(1)).alias("files"))
+    mine = names.groupBy("path").agg(F.collect_set("name").alias("mine"))
+    own = dealt.join(mine.hint("merge"), "path").select("path", F.explode(F.array_intersect(words, "mine")).alias("name")).distinct().withColumn("own", F.lit(1))
+    met = names.join(counts.hint("merge"), "name", "left").join(own.hint("merge"), ["path", "name"], "left")
     return met.select(*names.columns, (F.coalesce("files", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("elsewhere"))
 
 
@@ -92,8 +94,8 @@ def imported_secrets(constants: DataFrame, imports: DataFrame) -> DataFrame:
     given = constants.where(F.col("name").rlike(SENSITIVE)).select(F.col("path").alias("target_file"), "name").distinct()
     met = imports.where("target_file IS NOT NULL").select("path", "symbol", "target_file").distinct()
     # `from a import b` stands twice; the row without a symbol is then that of a module a.b
-    named = met.where("symbol IS NOT NULL").join(given.withColumnRenamed("name", "symbol"), ["target_file", "symbol"]).withColumnRenamed("symbol", "name")
-    whole = met.where("symbol IS NULL").drop("symbol").join(given, "target_file")
+    named = met.where("symbol IS NOT NULL").join(given.withColumnRenamed("name", "symbol").hint("merge"), ["target_file", "symbol"]).withColumnRenamed("symbol", "name")
+    whole = met.where("symbol IS NULL").drop("symbol").join(given.hint("merge"), "target_file")
     return named.select("path", "name", "target_file").unionByName(whole.select("path", "name", "target_file")).groupBy("path", "name").agg(F.min("target_file").alias("from_file"))
 
 
@@ -112,10 +114,10 @@ def cross_file_findings(files: DataFrame, secrets: DataFrame) -> DataFrame:
     plain = ~F.col("text").rlike(COMMENT)
     flags = rows.where(plain & F.col("text").rlike(SWITCHED_OFF)).select("path", "line", F.lit("flag").alias("kind"), F.regexp_extract("text", SWITCHED_OFF, 1).alias("name"), F.lit(None).cast("string").alias("from_file"))
     near = Window.partitionBy("path").orderBy("line").rangeBetween(-2, 2)
-    mine = rows.join(secrets.select("path").distinct(), "path", "left_semi").withColumn("safe", F.max(F.col("text").rlike(SAFE)).over(near))
+    mine = rows.join(secrets.select("path").distinct().hint("merge"), "path", "left_semi").withColumn("safe", F.max(F.col("text").rlike(SAFE)).over(near))
     kind = F.when(F.col("text").rlike(LOG_SINK), "log").when(F.col("text").rlike(SQL_SINK), "sql").when(F.col("text").rlike(HTTP_SINK), "header")
     words = mine.where(plain & ~F.col("safe")).withColumn("kind", kind).where("kind IS NOT NULL").select("path", "line", "kind", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("at", "name"))
-    met = words.join(secrets, ["path", "name"]).groupBy("path", "line", "kind").agg(F.min(F.struct("at", "name", "from_file")).alias("first"))
+    met = words.join(secrets.hint("merge"), ["path", "name"]).groupBy("path", "line", "kind").agg(F.min(F.struct("at", "name", "from_file")).alias("first"))
     return flags.unionByName(met.select("path", "line", "kind", "first.name", "first.from_file"))
 
 

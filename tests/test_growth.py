@@ -71,3 +71,23 @@ def test_taint_steps_are_not_broadcast(spark):
     for df in (*taint._names(flows, none), *taint.edges_of(flows, none)):
         assert "Broadcast" not in plan_of(df)
     assert [(r["sink"], r["labels"]) for r in taint.taint_paths(files).collect()] == [("os.system", ["CMD-argument", "CODE-execution", "FILE-path", "HTML-content", "SQL-value"])]
+
+
+def test_cross_file_joins_are_not_broadcast(spark):
+    from quarry.operators import projects
+
+    files = spark.createDataFrame([("a.py", 'TOKEN = "x"\n'), ("b.py", "from a import TOKEN\nprint(TOKEN)\n")], FILES)
+    found = projects.cross_file_check(files)
+    assert "Broadcast" not in plan_of(found)
+    assert [tuple(r) for r in found.collect()] == [("b.py", 2, "log", "TOKEN", "a.py")]
+
+
+def test_words_are_told_apart_without_a_shuffle(spark):
+    from quarry.operators.projects import named_elsewhere
+
+    files = spark.createDataFrame([("a", "x y y"), ("a", "y z"), ("b", "x"), (None, "z"), (None, "z"), ("c", None)], FILES)
+    names = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z"), ("c", "q"), (None, "z")], "path string, name string")
+    found = named_elsewhere(names, files)
+    plan = plan_of(found)
+    assert "REPARTITION_BY_NUM" in plan and "LeftSemi" not in plan
+    assert sorted((r["path"] or "", r["name"], r["elsewhere"]) for r in found.collect()) == [("", "z", 2), ("a", "x", 1), ("a", "y", 0), ("b", "z", 2), ("c", "q", 0)]
