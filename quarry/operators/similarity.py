@@ -43,6 +43,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Scores that a task works out at once.
+SCORES = 1 << 18
+
+
 def _nearest(block, n: int, kinds: list):
     """(id, label, embedding) to the n best of this task for each query of the block."""
 
@@ -53,14 +57,14 @@ def _nearest(block, n: int, kinds: list):
         ids, rows = block.value
         unit = rows / np.sqrt((rows * rows).sum(1, keepdims=True))
         best = None  # columns query, id, label, score
-        for batch in batches:
-            if not len(batch):
-                continue
+        floor = np.full((len(ids), 1), -np.inf)  # each query's n-th best score so far
+        step = max(1, SCORES // len(ids))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, len(b), step)):
             v = np.array([x.as_py() for x in batch.column(2)], np.float64)
             score = np.round(unit @ (v / np.sqrt((v * v).sum(1, keepdims=True))).T, 6)
             own, label = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            q, at = np.divmod(np.arange(score.size), len(batch))
-            found = [q, own[at], label[at], score.ravel()]
+            q, at = np.nonzero(~(score < floor))
+            found = [q, own[at], label[at], score[q, at]]
             if best is not None:
                 found = [np.concatenate(x) for x in zip(best, found)]
             order = np.lexsort((found[1], -found[3], found[0]))
@@ -68,6 +72,9 @@ def _nearest(block, n: int, kinds: list):
             first = np.searchsorted(found[0], found[0])
             keep = np.arange(len(order)) - first < n
             best = [x[keep] for x in found]
+            last = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True])
+            full = last[np.diff(np.r_[-1, last]) == n]
+            floor[best[0][full], 0] = np.nan_to_num(best[3][full], nan=-np.inf)
         if best is not None:
             columns = [np.asarray(ids)[best[0]], *best[1:]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["query", "id", "label", "score"])

@@ -91,3 +91,23 @@ def test_words_are_told_apart_without_a_shuffle(spark):
     plan = plan_of(found)
     assert "REPARTITION_BY_NUM" in plan and "LeftSemi" not in plan
     assert sorted((r["path"] or "", r["name"], r["elsewhere"]) for r in found.collect()) == [("", "z", 2), ("a", "x", 1), ("a", "y", 0), ("b", "z", 2), ("c", "q", 0)]
+
+
+def test_a_search_sorts_few_scores_at_once(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.operators import similarity
+
+    r = np.random.default_rng(5)
+    v, q = r.normal(size=(9000, 8)), r.normal(size=(300, 8))
+    sizes, sort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
+    block = type("Sent", (), {"value": (list(range(300)), q)})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9000)), pa.array([1] * 9000), pa.array(v.tolist())], names=["id", "label", "embedding"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    got = pa.Table.from_batches(list(similarity._nearest(block, 5, kinds)(iter([batch, batch.slice(0, 0)])))).to_pydict()
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(unit(q) @ unit(v).T, 6)
+    assert got["id"] == [i for s in score for i in sort((np.arange(9000), -s))[:5].tolist()]
+    assert max(sizes) <= (1 << 18) + 300 * 5
