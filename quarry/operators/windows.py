@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from itertools import accumulate, product
 
-from quarry.functions.text import estimated_tokens
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: How many lines around a target are tried, and how many of the top are kept besides `signature`, in this order.
 REACHES, TOPS = (20, 15, 10, 7, 5, 3, 2, 1, 0), (3, 2, 1)
 
 
-def _omitted(n: Column) -> Column:
-    return F.concat(F.lit("    ... ["), n.cast("string"), F.lit(" lines omitted] ..."))
+def excerpt(text: str, ats: list[int], budget: int, signature: int) -> tuple[str, int | None, int | None]:
+    """(excerpt, top, reach) of one text around its lines `ats`, numbered from 0; those outside do not count."""
+    lines = text.removesuffix("\n").split("\n") if text else []
+    total = len(lines)
+    until = [0, *accumulate(map(len, lines))]
+    places = sorted({x for x in ats if x is not None and 0 <= x < total}) or [min(signature, total - 1)]
+    omitted = "    ... [{} lines omitted] ...".format
+    for top, reach in product(sorted({signature, *TOPS}, reverse=True), REACHES) if total else ():
+        islands = [[0, min(top, total) - 1]]
+        for x in places:
+            a, b = max(0, x - reach), min(total - 1, x + reach)
+            if a > islands[-1][1] + 1:
+                islands.append([a, b])
+            else:
+                islands[-1][1] = max(islands[-1][1], b)
+        gaps = [a - b - 1 for (a, _), (_, b) in zip([*islands[1:], (total, 0)], islands)]
+        size = sum(until[b + 1] - until[a] + b - a + 1 + (len(omitted(gap)) + 1 if gap else 0) for (a, b), gap in zip(islands, gaps)) - 1
+        if size // 4 <= budget:
+            parts = [x for (a, b), gap in zip(islands, gaps) for x in (*lines[a : b + 1], *([omitted(gap)] if gap else []))]
+            return "\n".join(parts), top, reach
+    return text if len(text) // 4 <= budget else text[: budget * 4], None, None
 
 
 def centred(bodies: DataFrame, targets: DataFrame, budget: int, signature: int = 5) -> DataFrame:
@@ -23,38 +42,18 @@ def centred(bodies: DataFrame, targets: DataFrame, budget: int, signature: int =
     Targets are line numbers of the file that the body begins in at `start`; one outside does not count, and a body without
     any is centred below its first lines. If nothing fits, the text is cut at four characters a token (top and reach are null).
 
-    Windows are intervals, merged as islands per body and reach; what they hold is a difference of running sums of line
-    lengths, so no text is built but the one that is returned.
+    A body's targets are one array, so each body is worked out in its own row by `excerpt`, and its text travels once.
     """
-    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n$", ""), "\n")
-    own = bodies.select("id", "start", F.coalesce("text", F.lit("")).alias("text"), F.when(F.coalesce("text", F.lit("")) == "", F.array().cast("array<string>")).otherwise(lines).alias("lines")).withColumn("total", F.size("lines"))
-    whole = own.where("total > 0")
-    sums = whole.select("id", F.posexplode("lines").alias("at", "line"))
-    upto = F.sum(F.length("line")).over(Window.partitionBy("id").orderBy("at"))
-    sums = sums.select("id", "at", (upto - F.length("line")).alias("before"), upto.alias("until"))
-
-    tops = sorted({signature, *TOPS}, reverse=True)
-    tries = F.array(*[F.struct(F.lit(i * len(REACHES) + k).alias("place"), F.lit(top).alias("top"), F.lit(reach).alias("reach")) for i, top in enumerate(tops) for k, reach in enumerate(REACHES)])
-    inner = whole.select("id", "start", "total").join(targets.select("id", "line").distinct(), "id").withColumn("at", F.col("line") - F.col("start")).where("at >= 0 AND at < total").groupBy("id").agg(F.collect_set("at").alias("ats"))
-    alone = F.array(F.least(F.lit(signature), F.col("total") - 1))
-    aimed = whole.select("id", "total").join(inner, "id", "left").select("id", "total", F.explode(tries).alias("t"), F.coalesce("ats", alone.cast("array<int>")).alias("ats")).select("id", "total", "t.*", "ats")
-    head = F.struct(F.lit(0).alias("a"), (F.least("top", "total") - 1).alias("b"))
-    around = F.transform("ats", lambda x: F.struct(F.greatest(F.lit(0), x - F.col("reach")).cast("int").alias("a"), F.least(F.col("total") - 1, x + F.col("reach")).cast("int").alias("b")))
-    spans = aimed.select("id", "total", "place", "top", "reach", F.explode(F.concat(F.array(head), around)).alias("s")).select("id", "total", "place", "top", "reach", "s.a", "s.b")
-
-    order = Window.partitionBy("id", "place").orderBy("a", "b")
-    new = F.col("a") > F.coalesce(F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1
-    islands = spans.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    islands = islands.groupBy("id", "total", "place", "top", "reach", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    after = F.coalesce(F.lead("a").over(Window.partitionBy("id", "place").orderBy("island")), F.col("total")) - F.col("b") - 1
-    islands = islands.withColumn("gap", after)
-    first = islands.join(sums.select("id", F.col("at").alias("a"), "before"), ["id", "a"]).join(sums.select("id", F.col("at").alias("b"), "until"), ["id", "b"])
-    mark = F.when(F.col("gap") > 0, F.length(_omitted(F.col("gap"))) + 1).otherwise(0)
-    cost = F.sum(F.col("until") - F.col("before") + F.col("b") - F.col("a") + 1 + mark) - 1
-    fits = first.groupBy("id", "place", "top", "reach").agg(cost.alias("size")).where(F.floor(F.col("size") / 4) <= budget)
-    chosen = fits.groupBy("id").agg(F.min(F.struct("place", "top", "reach")).alias("c"))
-    pieces = islands.join(chosen.select("id", F.col("c.place").alias("place")), ["id", "place"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("a", "b", "gap"))).alias("pieces"))
-    told = own.join(chosen, "id", "left").join(pieces, "id", "left")
-    parts = F.flatten(F.transform("pieces", lambda p: F.concat(F.slice("lines", p["a"] + 1, p["b"] - p["a"] + 1), F.when(p["gap"] > 0, F.array(_omitted(p["gap"]))).otherwise(F.array().cast("array<string>")))))
-    cut = F.when(estimated_tokens(F.col("text")) <= budget, F.col("text")).otherwise(F.substring("text", 1, budget * 4))
-    return told.select("id", F.when(F.col("pieces").isNull(), cut).otherwise(F.array_join(parts, "\n")).alias("excerpt"), "c.top", "c.reach")
+    aims = targets.groupBy("id").agg(F.collect_set("line").alias("aims"))
+    rows = bodies.select("id", "start", "text").join(aims.hint("merge"), "id", "left")
+    shown = rows.withColumn("ats", F.transform("aims", lambda x: x - F.col("start"))).select("id", F.coalesce("text", F.lit("")).alias("text"), "ats")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [excerpt(text.as_py(), ats.as_py() or [], budget, signature) for text, ats in zip(batch.column(1), batch.column(2))]
+            columns = list(zip(*found)) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32())))], names=["id", "excerpt", "top", "reach"])
+
+    return shown.mapInArrow(run, f"id {bodies.schema['id'].dataType.simpleString()}, excerpt string, top int, reach int")

@@ -111,3 +111,16 @@ def test_a_search_sorts_few_scores_at_once(spark, monkeypatch):
     score = np.round(unit(q) @ unit(v).T, 6)
     assert got["id"] == [i for s in score for i in sort((np.arange(9000), -s))[:5].tolist()]
     assert max(sizes) <= (1 << 18) + 300 * 5
+
+
+def test_centred_windows_take_one_shuffle_of_texts(spark):
+    from quarry.operators.windows import centred
+
+    text = "\n".join(f"line {i}" for i in range(200))
+    bodies = spark.createDataFrame([(1, 10, text), (2, 1, "x\n\n"), (3, 1, None), (4, 1, "y" * 900)], "id long, start int, text string")
+    aims = spark.createDataFrame([(1, 60), (1, 60), (1, 999), (4, 1)], "id long, line int")
+    found = centred(bodies, aims, 60)
+    assert plan_of(found).count("Window") == 0
+    got = {r["id"]: (r["excerpt"], r["top"], r["reach"]) for r in found.collect()}
+    assert got[2] == ("x\n", 5, 20) and got[3] == ("", None, None) and got[4] == ("y" * 240, None, None)
+    assert got[1][0].startswith("line 0\nline 1\n") and "line 50\n" in got[1][0] and len(got[1][0]) // 4 <= 60 and got[1][0].endswith("lines omitted] ...")
