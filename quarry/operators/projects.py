@@ -28,7 +28,7 @@ def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     tries = F.array(F.when(stem != "", F.concat(stem, F.lit(".py"))), _joined(stem, F.lit("__init__.py")), F.when(F.col("module") != "", beside))
     candidates = asked.select("folder", "module", "level", F.posexplode(tries).alias("rank", "target_file")).where("target_file IS NOT NULL")
     there = files.select(F.col("path").alias("target_file")).distinct()
-    # broadcasts are chosen by compressed sizes, and paths compress tenfold: the driver would hold what looks small
+    # broadcasts are chosen by compressed sizes, and paths compress well: the driver would hold what only looks small
     found = candidates.join(there.hint("merge"), "target_file").groupBy("folder", "module", "level").agg(F.min_by("target_file", "rank").alias("target_file"))
     return rows.join(found.hint("merge"), ["folder", "module", "level"], "left").select(*imports.columns, "target_file")
 

@@ -2,8 +2,8 @@
 
 Every definition of a variable is a node. A use joins the last definition before it, in its function, else at the top
 of its file, else in the file that it is imported from. Arguments lead to parameters and returns to callers, in the
-same file or through imports. Joins are hinted to sort and merge: names compress so well that what looks small enough to
-broadcast does not fit the driver. A fact is a node with a label, the kind of sink that it is still dangerous for, and keeps
+same file or through imports. Joins are hinted to sort and merge: names compress well, so what looks small enough to
+broadcast may not fit the driver. A fact is a node with a label, the kind of sink that it is still dangerous for, and keeps
 the best confidence and its source. Each round joins only the facts that got better with the edges, until none does.
 """
 
