@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import exact_dedup, jaccard, packing, suffixes, toxicity
-from quarry.llm.common import Stored, read_table, release
+from quarry.llm.common import Stored, bounded_batches, read_table, release
 
 ORACLE_SQL = None
 
@@ -22,6 +22,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have the bias's score and stay; repeated rows go or stay together; whole texts are scored.
     An empty table stays empty, and columns keep their names.
     """
+    bounded_batches(spark)
     return toxicity.without_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
@@ -30,6 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are one group; null ids come last; of rows that repeat id and text one stays; an empty table stays empty.
     """
+    bounded_batches(spark)
     return exact_dedup.exact_dedup(docs)
 
 
@@ -38,6 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Wordless texts are one component; null ids come last; rows of other components stay even if they repeat an id.
     """
+    bounded_batches(spark)
     return jaccard.near_dedup(docs)
 
 
@@ -46,6 +49,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null texts stay null, texts of any length are whole, rows that repeat an id are told apart; an empty table stays empty.
     """
+    bounded_batches(spark)
     return suffixes.suffix_dedup(docs)
 
 
@@ -54,6 +58,7 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are their end id alone; repeated rows are packed as often as they occur; an empty table gives no piece.
     """
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

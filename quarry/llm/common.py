@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, [\x20\x09-\x0D]; bytes.split() without arguments splits on exactly these.
 WHITE = " \t\n\x0b\x0c\r"
+#: The session's bound on the bytes of an Arrow batch, and its value where the session names none.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 21
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark send Python workers about BATCH_BYTES of rows at once, unless the session sets a bound of its own.
+
+    All rows are sent. A worker keeps what its largest batch took, so the default of 64 MB, or 10,000 rows, stays with
+    every worker for as long as the executor runs.
+    """
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name` with as many underscores before it as no column of the table has."""
     taken = {c.lower() for c in df.columns}

@@ -19,6 +19,8 @@ from quarry.llm.passages import P, Q, R, mixed, sliced, word_hashes
 BITS = 18
 #: The bounds of a fit: rows, by least hash, and features in all of them.
 MAX_ROWS, MAX_VALUES = 12_000, 24_000_000
+#: Bytes of text whose features are worked out at once: each byte takes some hundred more.
+SLICE = 1 << 18
 EPOCHS = 3
 THRESHOLD = 0.7
 #: A word's first so many bytes are features too: one n-gram for all inflections.
@@ -58,7 +60,7 @@ def _parts(texts):
     """A string array in slices: (first row, end, bytes, bounds)."""
     buffer = texts.buffers()[2]
     data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
-    for at, end, offsets in sliced(texts):
+    for at, end, offsets in sliced(texts, SLICE):
         yield at, end, data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 

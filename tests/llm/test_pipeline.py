@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline
 from quarry.llm import packing
+from quarry.llm.common import BATCH_BYTES, BATCH_KEY
 from tests.llm.conftest import words
 from tests.llm.test_jaccard import brute_labels
 
@@ -69,3 +70,38 @@ def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
     empty.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_no_stage_sends_a_worker_more_than_the_bound_at_once(spark, tmp_path, monkeypatch):
+    texts = [" ".join(words(400, 20_000 + i)) for i in range(2500)]
+    assert sum(map(len, texts)) > 2 * BATCH_BYTES
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    spark.createDataFrame([(0, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    most, plain = BATCH_BYTES + 100_000, type(docs).mapInArrow
+
+    def watched(self, f, schema, *rest):
+        def run(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes <= most, batch.nbytes
+                    yield batch
+
+            return f(small())
+
+        return plain(self, run, schema, *rest)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(BATCH_KEY)
+        try:
+            assert stage(spark, docs, f"file://{tmp_path}").count() >= len(rows), name
+        finally:
+            spark.conf.unset(BATCH_KEY)
+    # a session's own bound stays
+    spark.conf.set(BATCH_KEY, "1m")
+    try:
+        corpus_pipeline.drop_copies(spark, docs, "")
+        assert spark.conf.get(BATCH_KEY) == "1m"
+    finally:
+        spark.conf.unset(BATCH_KEY)
