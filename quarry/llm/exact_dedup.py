@@ -4,23 +4,31 @@ Sampled splitters range-partition the rows by a bounded prefix of the normalised
 then the order of preference inside a group, so copies meet but a huge group still spreads over tasks.
 Each partition is sorted (Spark's external sort), neighbours are compared in full, and runs that touch
 a partition's edge are joined across partitions by their digest: at most a few rows a partition.
+
+Executors write few files: without Hadoop's native library each file on a local file system starts processes
+(chmod), which hold the JVM's memory a second time until they run their own program.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WHITE, free_name, read_table, stored
+from quarry.llm.common import WHITE, bounded_batches, free_name, read_table, shuffle_partitions, stored
 
 RUNS = "row_id long, text_sha256 string, n long, best_len long, best_id long, pid int, first boolean, edge boolean"
 OUT_ROWS = 4096
+#: So many tasks' runs are written to one file.
+TASKS_A_FILE = 8
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
+    """The text without ASCII white space. replace() works on bytes; translate() makes an object of every character."""
+    valid = F.make_valid_utf8(F.coalesce(text, F.lit("")))
+    return reduce(lambda left, white: F.replace(left, F.lit(white), F.lit("")), WHITE, valid)
 
 
 def _runs(batches):
@@ -80,13 +88,16 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("prefix", F.substring("norm", 1, 16)).withColumn("h", F.xxhash64("norm"))
     order = [F.col("neg_len"), F.col("row_id").asc_nulls_last()]
     dealt = rows.repartitionByRange("prefix", "h", *order).sortWithinPartitions("prefix", "h", "norm", *order)
-    runs = stored(dealt.select("h", "norm", "row_id", "neg_len").mapInArrow(_runs, RUNS), "exact-runs")
+    found = dealt.select("h", "norm", "row_id", "neg_len").mapInArrow(_runs, RUNS)
+    # these rows are narrow, some hundred bytes for a text: a file for several tasks' rows
+    runs = stored(found.repartition(max(1, shuffle_partitions(docs.sparkSession) // TASKS_A_FILE)), "exact-runs")
     ends = runs.where("edge and first").groupBy("text_sha256").agg(F.sum("n").alias("all_n"), F.min(F.struct((-F.col("best_len")).alias("l"), F.col("best_id").isNull().alias("z"), F.col("best_id").alias("id"), F.col("pid").alias("p"))).alias("top"))
-    # only rows of runs at a partition's edge meet their run's other parts; all others are whole as they are
-    inner = runs.where("not edge").select(F.col("row_id").alias("doc_id"), F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("first").alias("kept"), "text_sha256")
-    joined = runs.where("edge").join(ends, "text_sha256")
-    outer = joined.select(F.col("row_id").alias("doc_id"), F.col("top.id").alias("keep_id"), F.col("all_n").alias("group_size"), (F.col("first") & (F.col("top.p") == F.col("pid"))).alias("kept"), "text_sha256")
-    return inner.unionByName(outer)
+    # only rows of runs at a partition's edge meet their run's other parts; all others are whole as they are.
+    # Broadcast, for there are about two runs a partition, and all rows then pass in one scan
+    ends = F.broadcast(ends.withColumnRenamed("text_sha256", "of"))
+    joined = runs.join(ends, F.col("edge") & (F.col("text_sha256") == F.col("of")), "left")
+    whole = lambda at_edge, inside: F.when(F.col("edge"), at_edge).otherwise(F.col(inside))
+    return joined.select(F.col("row_id").alias("doc_id"), whole(F.col("top.id"), "best_id").alias("keep_id"), whole(F.col("all_n"), "n").alias("group_size"), whole(F.col("first") & (F.col("top.p") == F.col("pid")), "first").alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,6 +117,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of equal texts; for nulls, ties and repeats see `exact_groups`."""
+    bounded_batches(spark)
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 

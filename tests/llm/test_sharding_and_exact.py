@@ -1,9 +1,14 @@
 import hashlib
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
-from quarry.llm.exact_dedup import exact_dedup, exact_groups
+from pyspark.sql import functions as F
+
+from quarry.llm.common import BATCH_BYTES, BATCH_KEY
+from quarry.llm.exact_dedup import TASKS_A_FILE, exact_dedup, exact_groups, normalised, op8_content_sort
 from quarry.llm.sharding import kd_shards
+from tests.llm.conftest import words
 
 
 def test_shards_are_even_and_gapless(docs, rows):
@@ -108,3 +113,65 @@ def test_one_huge_group_spreads_and_counts(spark):
     df = spark.createDataFrame([(i, "same text") for i in range(2000)] + [(5000 + i, f"t{i}") for i in range(500)], "doc_id long, text string").repartition(8)
     got = exact_groups(df).where("group_size > 1").collect()
     assert len(got) == 2000 and {r["keep_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1 and {r["group_size"] for r in got} == {2000}
+
+
+def test_copies_of_many_tasks_are_written_to_few_files(spark):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("exact-runs-*"))
+    df = spark.createDataFrame([(i, "same  text") for i in range(1500)] + [(5000 + i, f"t {i}") for i in range(2500)], "doc_id long, text string").repartition(8)
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        found = exact_groups(df)
+        (new,) = set(shared.glob("exact-runs-*")) - before
+        assert len(list(new.glob("part-*"))) <= 64 // TASKS_A_FILE
+        assert found.rdd.getNumPartitions() <= 64 // TASKS_A_FILE
+        got = found.collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    same = [r for r in got if r["group_size"] > 1]
+    assert len(got) == 4000 and len(same) == 1500 and {(r["keep_id"], r["group_size"]) for r in same} == {(0, 1500)}
+    assert {r["doc_id"] for r in got if r["kept"]} == {0, *range(5000, 7500)}
+
+
+def test_copies_are_sent_to_workers_in_bounded_batches(spark, tmp_path, monkeypatch):
+    texts = [" ".join(words(400, 30_000 + i)) for i in range(2500)]
+    assert sum(map(len, texts)) > 2 * BATCH_BYTES
+    path = f"file://{tmp_path}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(f"{path}/documents.parquet")
+    most, plain = BATCH_BYTES + 100_000, type(docs).mapInArrow
+
+    def watched(self, f, schema, *rest):
+        def run(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes <= most, batch.nbytes
+                    yield batch
+
+            return f(small())
+
+        return plain(self, run, schema, *rest)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    spark.conf.unset(BATCH_KEY)
+    try:
+        # one range: all texts reach one worker
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        assert op8_content_sort(spark, path).where("kept").count() == len(set(texts))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset(BATCH_KEY)
+
+
+def test_white_space_goes_and_nothing_else(spark):
+    texts = ["a b\tc\nd\x0be\x0cf\rg", "", " \t\n\x0b\x0c\r", "é\x85\u2028\xa0\x1c\x1f日 \U0001f600", "\x00 \x00", None, "plain"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", normalised(F.col("text")).alias("n")).collect()
+    white = str.maketrans("", "", " \t\n\x0b\x0c\r")
+    assert {r["i"]: r["n"] for r in got} == {i: (t or "").translate(white) for i, t in enumerate(texts)}
+    broken = [b"\xff a", b"a\xc3 b", b"\xf0\x9f\x98 \x80", b"\xc0\x80"]
+    rows = spark.createDataFrame([(bytearray(b),) for b in broken], "b binary").select(F.col("b").cast("string").alias("text"))
+    assert [r["n"] for r in rows.select(normalised(F.col("text")).alias("n")).collect()] == [b.decode(errors="replace").translate(white) for b in broken]
