@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 #: The session's bound on the bytes of an Arrow batch, and its value where the session names none.
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 21
+#: So many tasks' narrow rows are written to one file.
+TASKS_A_FILE = 8
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +83,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """All rows of a narrow table, in fewer partitions, to be written as fewer files.
+
+    Without Hadoop's native library each file on a local file system starts processes (chmod), which hold the
+    executor's memory a second time until they run their own program.
+    """
+    return df.repartition(max(1, shuffle_partitions(df.sparkSession) // TASKS_A_FILE))
+
+
 def running_offset(df: DataFrame, group: list[str], sub: Column, order: list[Column], n_sub: int, weight: Column, out: str) -> DataFrame:
     """Adds `out`: the sum of `weight` over the rows before this one in its group, as a long.
 

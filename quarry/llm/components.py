@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Stored
+from quarry.llm.common import Stored, gathered
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,10 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     only two sums a round come to the driver. Self-links and repeated edges are allowed.
     """
     start = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = Stored(start, "edges")
+    now = Stored(gathered(start), "edges")
     mark = None
     while True:
-        after = Stored(_star(_star(now.df, True), False), "edges")
+        after = Stored(gathered(_star(_star(now.df, True), False)), "edges")
         row = after.df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         now.drop()
         now = after

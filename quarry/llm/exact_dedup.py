@@ -4,9 +4,6 @@ Sampled splitters range-partition the rows by a bounded prefix of the normalised
 then the order of preference inside a group, so copies meet but a huge group still spreads over tasks.
 Each partition is sorted (Spark's external sort), neighbours are compared in full, and runs that touch
 a partition's edge are joined across partitions by their digest: at most a few rows a partition.
-
-Executors write few files: without Hadoop's native library each file on a local file system starts processes
-(chmod), which hold the JVM's memory a second time until they run their own program.
 """
 
 from __future__ import annotations
@@ -17,12 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WHITE, bounded_batches, free_name, read_table, shuffle_partitions, stored
+from quarry.llm.common import WHITE, bounded_batches, free_name, gathered, read_table, stored
 
 RUNS = "row_id long, text_sha256 string, n long, best_len long, best_id long, pid int, first boolean, edge boolean"
 OUT_ROWS = 4096
-#: So many tasks' runs are written to one file.
-TASKS_A_FILE = 8
 
 
 def normalised(text: Column) -> Column:
@@ -89,8 +84,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     order = [F.col("neg_len"), F.col("row_id").asc_nulls_last()]
     dealt = rows.repartitionByRange("prefix", "h", *order).sortWithinPartitions("prefix", "h", "norm", *order)
     found = dealt.select("h", "norm", "row_id", "neg_len").mapInArrow(_runs, RUNS)
-    # these rows are narrow, some hundred bytes for a text: a file for several tasks' rows
-    runs = stored(found.repartition(max(1, shuffle_partitions(docs.sparkSession) // TASKS_A_FILE)), "exact-runs")
+    runs = stored(gathered(found), "exact-runs")  # some hundred bytes for a text
     ends = runs.where("edge and first").groupBy("text_sha256").agg(F.sum("n").alias("all_n"), F.min(F.struct((-F.col("best_len")).alias("l"), F.col("best_id").isNull().alias("z"), F.col("best_id").alias("id"), F.col("pid").alias("p"))).alias("top"))
     # only rows of runs at a partition's edge meet their run's other parts; all others are whole as they are.
     # Broadcast, for there are about two runs a partition, and all rows then pass in one scan

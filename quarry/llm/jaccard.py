@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Stored, free_name, release
+from quarry.llm.common import Stored, free_name, gathered, release
 from quarry.llm.components import components
 from quarry.llm.passages import NO_ID, rows_of
 from quarry.llm.simhash import SEED, links as simhash_links, majority
@@ -299,7 +299,7 @@ def _links(units: DataFrame, sketches: DataFrame, pairs: DataFrame, tag: str) ->
     spark = units.sparkSession
     of = lambda k, n, c: sketches.select(F.col("u").alias(k), F.col("n").alias(n), F.col("counts").alias(c))
     both = pairs.distinct().join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-    possible = Stored(both.mapInArrow(_possible, "a long, b long"), f"{tag}-pairs")
+    possible = Stored(gathered(both.mapInArrow(_possible, "a long, b long")), f"{tag}-pairs")
     release(spark)
     # only the texts of units in such a pair travel, once
     wanted = possible.df.select(F.explode(F.array("a", "b")).alias("u")).distinct()
@@ -308,7 +308,7 @@ def _links(units: DataFrame, sketches: DataFrame, pairs: DataFrame, tag: str) ->
     release(spark)
     heads = sets.df.join(possible.df.select(F.col("a").alias("u")).distinct(), "u", "left_semi").select(F.col("u").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
     rest = possible.df.join(sets.df, F.col("b") == F.col("u")).select("a", "b", "shingles")
-    found = Stored(heads.unionByName(rest).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long"), f"{tag}-links")
+    found = Stored(gathered(heads.unionByName(rest).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long")), f"{tag}-links")
     sets.drop()
     possible.drop()
     release(spark)

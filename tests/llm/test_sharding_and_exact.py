@@ -5,8 +5,9 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BATCH_BYTES, BATCH_KEY
-from quarry.llm.exact_dedup import TASKS_A_FILE, exact_dedup, exact_groups, normalised, op8_content_sort
+from quarry.llm.common import BATCH_BYTES, BATCH_KEY, TASKS_A_FILE, Stored
+from quarry.llm.components import components
+from quarry.llm.exact_dedup import exact_dedup, exact_groups, normalised, op8_content_sort
 from quarry.llm.sharding import kd_shards
 from tests.llm.conftest import words
 
@@ -137,6 +138,26 @@ def test_copies_of_many_tasks_are_written_to_few_files(spark):
     assert {r["doc_id"] for r in got if r["kept"]} == {0, *range(5000, 7500)}
 
 
+def test_edges_are_written_to_few_files(spark, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was, files, plain = {k: spark.conf.get(k) for k in held}, [], Stored.__init__
+
+    def counted(self, df, tag):
+        plain(self, df, tag)
+        files.append(len(list(Path(self.path.removeprefix("file://")).glob("part-*"))))
+
+    monkeypatch.setattr(Stored, "__init__", counted)
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = components(spark.createDataFrame([(i, i + 1) for i in range(300) if i % 100 != 99], "a long, b long")).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {r["node"]: r["label"] for r in got} == {i: i // 100 * 100 for i in range(300)}
+    assert len(files) > 1 and max(files) <= 32 // TASKS_A_FILE
+
+
 def test_copies_are_sent_to_workers_in_bounded_batches(spark, tmp_path, monkeypatch):
     texts = [" ".join(words(400, 30_000 + i)) for i in range(2500)]
     assert sum(map(len, texts)) > 2 * BATCH_BYTES
