@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared checkpoint folder; a temporary one will do for executors inside this process only."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The shared checkpoint folder; a temporary one will do for executors inside this process only."""
     if spark.sparkContext.getCheckpointDir() is None:
         path, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
         if not path:
@@ -18,9 +19,38 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             path = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(path)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage in the shared checkpoint folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+class Steps:
+    """Tables in the shared checkpoint folder, as compressed columns, that are dropped together once nothing reads them.
+
+    A checkpoint is larger, being rows as they lie in memory, and stays until the folder is emptied.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{_shared(spark)}/steps-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Deletes the tables, and lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth): all nodes that `start` (node) reaches by edges (src, dst), with the least number of steps.
 

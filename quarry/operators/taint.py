@@ -5,6 +5,8 @@ of its file, else in the file that it is imported from. Arguments lead to parame
 same file or through imports. Joins are hinted to sort and merge: names compress well, so what looks small enough to
 broadcast may not fit the driver. A fact is a node with a label, the kind of sink that it is still dangerous for, and keeps
 the best confidence and its source. Each round joins only the facts that got better with the edges, until none does.
+Labels of one node that share a fact are one row, as bits. Sinks lead nowhere, so they meet the facts once, at the end.
+Steps are stored as compressed columns and deleted when the next ones stand.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.graphs import cut
+from quarry.operators.graphs import Steps
 from quarry.operators.projects import resolve_modules
 from quarry.sources import python_flows
 
@@ -26,6 +28,7 @@ HOP, SANITIZED = 0.75, 0.3
 #: The label that no sanitiser takes: it follows flows that are safe.
 ANY = "*"
 LABELS = (*sorted(set(SINKS.values())), ANY)
+BITS = {label: 1 << i for i, label in enumerate(LABELS)}
 
 
 def _names(flows: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,10 +69,12 @@ def _node(path, scope, name, seq) -> Column:
     return F.concat(part(path), F.lit("#"), part(scope), F.lit("#"), part(name), F.lit("#"), part(seq).cast("string"))
 
 
-def edges_of(flows: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, sinks): src, dst, factor, cleaned, by, and for seeds (no src) source, path, line; sinks: node, path, line, sink, label."""
+def edges_of(flows: DataFrame, imports: DataFrame, steps: Steps | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, sinks): src, dst, factor, cleaned, by, and for seeds (no src) source, path, line; sinks are edges into a sink call
+    at path, line, with sink and label. What is stored on the way goes to `steps`."""
+    steps = steps or Steps(flows.sparkSession)
     uses, scopes = _names(flows, imports)
-    uses, scopes = cut(uses), cut(scopes)
+    uses, scopes = steps.keep(uses), steps.keep(scopes)
     calls = scopes.select("path", F.col("name").alias("src"), F.concat("to_path", F.lit("#"), "to_scope", F.lit("#ret")).alias("returned"))
     args = scopes.select("path", F.col("name").alias("dst"), "to_path", "to_scope")
     params = flows.where("dst_kind = 'param' AND pos >= 0").select(F.col("path").alias("to_path"), F.col("scope").alias("to_scope"), "pos", _node("path", "scope", "dst", "seq").alias("param"))
@@ -77,45 +82,72 @@ def edges_of(flows: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame
     var = rows.where("src_kind = 'var'").join(uses.hint("merge"), ["path", "scope", "src", "seq"]).withColumn("factor", F.when(F.col("far"), HOP).otherwise(1.0)).drop("far")
     call = rows.where("src_kind = 'call'").join(calls.hint("merge"), ["path", "src"]).withColumnRenamed("returned", "node").withColumn("factor", F.lit(HOP))
     seed = rows.where("src_kind = 'source'").withColumn("node", F.lit(None).cast("string")).withColumn("factor", F.col("confidence"))
-    begun = cut(var.unionByName(call).unionByName(seed))
+    begun = steps.keep(var.unionByName(call).unionByName(seed))
     arg = begun.where("dst_kind = 'arg'").join(args.hint("merge"), ["path", "dst"]).join(params.hint("merge"), ["to_path", "to_scope", "pos"]).withColumn("to", F.col("param")).withColumn("factor", F.col("factor") * HOP)
+    to = F.when(F.col("dst_kind") == "def", _node("path", "scope", "dst", "seq")).otherwise(F.concat("path", F.lit("#"), "scope", F.lit("#ret")))
+    plain = begun.where("dst_kind IN ('def', 'ret')").withColumn("to", to)
     sink_node = F.concat("path", F.lit("#"), "scope", F.lit("#sink#"), "dst", F.lit("#"), F.col("line").cast("string"), F.lit("#"), F.col("seq").cast("string"))
-    to = F.when(F.col("dst_kind") == "def", _node("path", "scope", "dst", "seq")).when(F.col("dst_kind") == "ret", F.concat("path", F.lit("#"), "scope", F.lit("#ret"))).otherwise(sink_node)
-    plain = begun.where("dst_kind IN ('def', 'ret', 'sink')").withColumn("to", to)
+    ends = begun.where("dst_kind = 'sink'").withColumn("to", sink_node)
     kept = [F.col("node").alias("src"), F.col("to").alias("dst"), "factor", "cleaned", "by", F.col("src").alias("source"), "path", "line"]
-    sinks = plain.where("dst_kind = 'sink'").select(F.col("to").alias("node"), "path", "line", F.col("dst").alias("sink"), "label").distinct()
-    return plain.select(*kept).unionByName(arg.select(*kept)), sinks
+    return plain.select(*kept).unionByName(arg.select(*kept)), ends.select(*kept, F.col("dst").alias("sink"), "label")
 
 
-def fixpoint(edges: DataFrame) -> DataFrame:
-    """The best fact of each node and label: node, label, best (lost, source_path, source_line, source, by, confidence).
+def _bits(labels: Column) -> Column:
+    """The bits of all labels that these are not."""
+    return sum((F.when(F.array_contains(labels, x), 0).otherwise(bit) for x, bit in BITS.items()), F.lit(0))
+
+
+def _fact(confidence, path, line, source, by) -> Column:
+    """Facts compare by confidence, the highest first, then by place."""
+    return F.struct((-F.round(confidence, 6)).alias("lost"), path.alias("source_path"), line.alias("source_line"), source.alias("source"), by.alias("by")).alias("best")
+
+
+def _begun(edges: DataFrame, *more: str) -> DataFrame:
+    """Facts of the edges without src, at their dst: node, labels, best."""
+    c = F.col
+    return edges.where("src IS NULL").select(c("dst").alias("node"), _bits(c("cleaned")).alias("labels"), _fact(c("factor"), c("path"), c("line"), c("source"), c("by")), *more)
+
+
+def _led(facts: DataFrame, edges: DataFrame, *more: str) -> DataFrame:
+    """Facts (node, labels, best) led along the edges with src: node, labels, best; those without any label left are gone."""
+    b = F.col("best")
+    steps = edges.where("src IS NOT NULL").select(F.col("src").alias("from"), "dst", "factor", _bits(F.col("cleaned")).alias("passed"), F.col("by").alias("then"), *more)
+    led = facts.join(steps.hint("merge"), facts["node"] == steps["from"])
+    fact = _fact(-b["lost"] * F.col("factor"), b["source_path"], b["source_line"], b["source"], F.array_distinct(F.concat(b["by"], F.col("then"))))
+    return led.select(F.col("dst").alias("node"), F.col("labels").bitwiseAND(F.col("passed")).alias("labels"), fact, *more).where("labels <> 0")
+
+
+def _best(old: DataFrame | None, come: DataFrame) -> DataFrame:
+    """The best fact of each node and label, labels with one fact as one row: node, labels, best, and `fresh`, the labels that got it from `come`.
+
+    What comes is reduced where it stands first, so a node with very many edges is not one task's.
+    """
+    come = come.groupBy("node", "labels").agg(F.min("best").alias("best")).withColumn("new", F.lit(True))
+    both = come if old is None else come.unionByName(old.select("node", "labels", "best", F.lit(False).alias("new")))
+    # of equal facts the old one is the least, so only what is better is new
+    least = [F.min(F.when(F.col("labels").bitwiseAND(bit) != 0, F.struct("best", "new"))).alias(f"b{bit}") for bit in BITS.values()]
+    per = both.repartition("node").groupBy("node").agg(*least)
+    each = F.array_compact(F.array(*[F.when(F.col(f"b{bit}").isNotNull(), F.struct(F.col(f"b{bit}.best").alias("best"), F.lit(bit).alias("bit"), F.col(f"b{bit}.new").alias("new"))) for bit in BITS.values()]))
+    rows = per.select("node", each.alias("each")).select("node", "each", F.explode(F.array_distinct(F.col("each.best"))).alias("best"))
+    mine = F.filter("each", lambda x: x["best"] == F.col("best"))
+    total = lambda bits: F.aggregate(bits, F.lit(0), lambda t, x: t + x["bit"])
+    return rows.select("node", total(mine).alias("labels"), "best", total(F.filter(mine, lambda x: x["new"])).alias("fresh"))
+
+
+def fixpoint(edges: DataFrame) -> tuple[DataFrame, Steps]:
+    """The best fact of each node and label: node, labels (bits), best (lost, source_path, source_line, source, by); and where they are stored.
 
     Semi-naive: a round joins only facts that are new or better. Facts compare by confidence, then by
     place, and confidences only shrink along an edge, so a cycle ends and the result hangs on no order.
     """
-    labels = F.explode(F.array(*[F.lit(x) for x in LABELS])).alias("label")
-
-    def facts(rows: DataFrame) -> DataFrame:
-        return rows.where(~F.array_contains("cleaned", F.col("label"))).groupBy("node", "label").agg(F.min("best").alias("best"))
-
-    def fact(confidence, path, line, source, by):
-        kept = F.round(confidence, 6)
-        return F.struct((-kept).alias("lost"), path.alias("source_path"), line.alias("source_line"), source.alias("source"), by.alias("by"), kept.alias("confidence")).alias("best")
-
-    seeds = edges.where("src IS NULL").select(F.col("dst").alias("node"), "cleaned", fact(F.col("factor"), F.col("path"), F.col("line"), F.col("source"), F.col("by")), labels)
-    steps = cut(edges.where("src IS NOT NULL").select(F.col("src").alias("from"), "dst", "factor", "cleaned", F.col("by").alias("more")))
-    known = delta = cut(facts(seeds))
-    while not delta.isEmpty():
-        b = F.col("best")
-        come = delta.join(steps.hint("merge"), delta["node"] == steps["from"]).select(
-            F.col("dst").alias("node"), "label", "cleaned",
-            fact(b["confidence"] * F.col("factor"), b["source_path"], b["source_line"], b["source"], F.array_distinct(F.concat(b["by"], F.col("more")))),
-        )
-        old = known.select("node", "label", F.col("best").alias("old"))
-        better = F.col("old").isNull() | (F.col("best") < F.col("old"))
-        delta = cut(facts(come).join(old.hint("merge"), ["node", "label"], "left").where(better).drop("old"))
-        known = cut(known.join(delta.select("node", "label").hint("merge"), ["node", "label"], "left_anti").unionByName(delta))
-    return known
+    step = Steps(edges.sparkSession)
+    known = step.keep(_best(None, _begun(edges)))
+    while not (delta := known.where("fresh <> 0").select("node", F.col("fresh").alias("labels"), "best")).isEmpty():
+        after = Steps(edges.sparkSession)
+        known = after.keep(_best(known, _led(delta, edges)))
+        step.drop()
+        step = after
+    return known.drop("fresh"), step
 
 
 def solved(flows: DataFrame, imports: DataFrame) -> DataFrame:
@@ -124,22 +156,34 @@ def solved(flows: DataFrame, imports: DataFrame) -> DataFrame:
     One row a sink call, with its best source. Where sanitisers took the sink's own label on every way, the row is one of a safe
     flow: its labels lack the sink's type and its confidence is SANITIZED of what it was.
     """
-    edges, sinks = edges_of(cut(flows), imports)
-    found = sinks.join(fixpoint(cut(edges)).withColumnRenamed("label", "on").hint("merge"), "node")
-    own = F.col("on") == F.col("label")
-    per = found.groupBy("node", "path", "line", "sink", "label").agg(
-        F.min(F.when(own, F.col("best"))).alias("open"), F.min(F.when(F.col("on") == ANY, F.col("best"))).alias("any"), F.array_sort(F.collect_set(F.when(F.col("on") != ANY, F.col("on")))).alias("labels")
-    )
+    first, second, last = (Steps(flows.sparkSession) for _ in range(3))
+    edges, sinks = edges_of(first.keep(flows), first.keep(imports), first)
+    edges, sinks = second.keep(edges), second.keep(sinks)
+    first.drop()
+    known, third = fixpoint(edges)
+    place = ("path", "line", "sink", "label")
+    found = _led(known, sinks, *place).unionByName(_begun(sinks, *place))
+    has = lambda bit: F.col("labels").bitwiseAND(bit) != 0
+    own = sum((F.when(F.col("label") == x, F.lit(bit)).otherwise(0) for x, bit in BITS.items()), F.lit(0))
+    per = found.groupBy("node", *place).agg(F.min(F.when(has(own), F.col("best"))).alias("open"), F.min(F.when(has(BITS[ANY]), F.col("best"))).alias("any"), F.bit_or("labels").alias("labels"))
     best = F.coalesce("open", "any")
-    sure = F.when(F.col("open").isNull(), F.round(best["confidence"] * SANITIZED, 6)).otherwise(best["confidence"])
-    return per.select("path", best["source"].alias("source"), best["source_path"].alias("source_path"), best["source_line"].alias("source_line"), "sink", F.col("label").alias("sink_type"), F.col("line").alias("sink_line"), "labels", best["by"].alias("sanitizers"), sure.alias("confidence"))
+    confidence = -best["lost"]
+    sure = F.when(F.col("open").isNull(), F.round(confidence * SANITIZED, 6)).otherwise(confidence)
+    labels = F.array_compact(F.array(*[F.when(has(bit), F.lit(x)) for x, bit in BITS.items() if x != ANY]))
+    out = per.select("path", best["source"].alias("source"), best["source_path"].alias("source_path"), best["source_line"].alias("source_line"), "sink", F.col("label").alias("sink_type"), F.col("line").alias("sink_line"), labels.alias("labels"), best["by"].alias("sanitizers"), sure.alias("confidence"))
+    out = last.keep(out)
+    second.drop()
+    third.drop()
+    return out
 
 
 def taint_paths(files: DataFrame) -> DataFrame:
     """Flows of Python files (path, content) that import one another by `path`; columns as in `solved`."""
-    flows = python_flows.flows(files, SOURCES, SINKS, SANITIZERS)
-    imports = resolve_modules(python_flows.imports(files), files).where("target_file IS NOT NULL")
-    return solved(flows, cut(imports))
+    step = Steps(files.sparkSession)
+    imports = resolve_modules(step.keep(python_flows.imports(files)), files).where("target_file IS NOT NULL")
+    out = solved(python_flows.flows(files, SOURCES, SINKS, SANITIZERS), imports)
+    step.drop()
+    return out
 
 
 def taint_findings(paths: DataFrame) -> DataFrame:

@@ -73,6 +73,55 @@ def test_taint_steps_are_not_broadcast(spark):
     assert [(r["sink"], r["labels"]) for r in taint.taint_paths(files).collect()] == [("os.system", ["CMD-argument", "CODE-execution", "FILE-path", "HTML-content", "SQL-value"])]
 
 
+def test_taint_leaves_only_its_result_on_disk(spark):
+    import os
+
+    from quarry.operators import taint
+    from quarry.operators.graphs import cut
+
+    files = cut(spark.range(300).select(
+        F.concat(F.lit("p/m"), "id", F.lit(".py")).alias("path"),
+        F.concat(F.lit("import os\nfrom p.m"), F.col("id") + 1, F.lit(" import f\ndef f(x):\n    y = x\n    os.system(y)\nf(input())\n")).alias("content"),
+    ))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    stored = lambda: {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names}
+    before = stored()
+    out = taint.taint_paths(files)
+    assert sum(os.path.getsize(f) for f in stored() - before) < 100_000
+    assert out.where("confidence = 0.675 AND size(labels) = 5").count() == out.count() == 300
+
+
+def test_facts_match_brute_force_and_labels_share_rows(spark):
+    import random
+
+    from quarry.operators import taint
+
+    r = random.Random(8)
+    kinds = [x for x in taint.LABELS if x != taint.ANY]
+    row = lambda src, dst, i: (src, dst, r.choice([1.0, 0.75, 0.5625]), r.choice([[], [], r.sample(kinds, 2), kinds]), r.choice([[], ["int"]]), "input", f"p{i % 7}", i % 5)
+    edges = [row(f"n{r.randrange(40)}", f"n{r.randrange(40)}", i) for i in range(90)] + [row(None, f"n{r.randrange(40)}", i) for i in range(6)]
+    want, changed = {}, True
+    while changed:
+        changed = False
+        for src, dst, factor, cleaned, by, source, path, line in edges:
+            for label in set(taint.LABELS) - set(cleaned):
+                if src is None:
+                    fact = (-round(factor, 6), path, line, source, by)
+                elif (src, label) in want:
+                    lost, *place, old = want[src, label]
+                    fact = (-round(-lost * factor, 6), *place, [*dict.fromkeys(old + by)])
+                else:
+                    continue
+                if (dst, label) not in want or fact < want[dst, label]:
+                    want[dst, label], changed = fact, True
+    table = spark.createDataFrame(edges, "src string, dst string, factor double, cleaned array<string>, by array<string>, source string, path string, line int")
+    known, steps = taint.fixpoint(table)
+    rows = known.collect()
+    steps.drop()
+    assert {(k["node"], x): tuple(k["best"]) for k in rows for x, bit in taint.BITS.items() if k["labels"] & bit} == want
+    assert len(rows) == len({(node, str(fact)) for (node, _), fact in want.items()}) < len(want) / 2
+
+
 def test_cross_file_joins_are_not_broadcast(spark):
     from quarry.operators import projects
 
